@@ -300,15 +300,6 @@ def _(spark, sf):
     return G.page_departments(pages(spark, sf))
 
 
-@query("page_departments_profiles", f"""WITH {anchors()},
-a AS (SELECT page_id, text AS name, {resolved()} AS url, pos FROM anchors WHERE (regexp_matches(lower(href), 'department|dept') OR (regexp_matches(lower(href), 'school|college') AND contains(lower(href), 'of')))),
-h AS (SELECT page_id, x.text AS name, pos FROM {numbered('b', _HEAD)} r WHERE x.level IN ('h1', 'h2', 'h3', 'h4') AND regexp_matches(lower(x.text), 'department|school|college'))
-SELECT (SELECT count(*) FROM b) AS pages, (SELECT count(*) FROM a) + (SELECT count(*) FROM h) AS found""")
-def _(spark, sf):
-    p = profiles(spark, sf)
-    return p.agg(F.count("*").alias("pages")).crossJoin(G.page_departments(p).agg(F.count("*").alias("found")))
-
-
 def _sql_prog_dept(col):
     out = col
     for w in K.PROGRAM_WORDS:
@@ -367,7 +358,7 @@ def _(spark, sf):
 
 
 @query("department_subdomain", """SELECT page_id, CASE WHEN h <> 'www.example.com' THEN base END AS subdomain_base,
-  CASE WHEN h <> 'www.example.com' AND len(string_split(h, '.')) > 2 THEN concat(upper(substr(lab, 1, 1)), lower(substr(lab, 2))) END AS department FROM (
+  CASE WHEN h <> 'www.example.com' AND len(string_split(h, '.')) > 2 THEN array_to_string(list_transform(string_split(lab, ' '), lambda w: concat(upper(substr(w, 1, 1)), lower(substr(w, 2)))), ' ') END AS department FROM (
   SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS h, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) AS base,
     replace(split_part(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '.', 1), '-', ' ') AS lab FROM pages) p""")
 def _(spark, sf):

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acadspark.functions import names as N
+from acadspark.functions import urls as U
+from acadspark.operators.dedup import ORDER, _filled, _first, fold_confidence
 
 
 def with_ids(obs: DataFrame) -> DataFrame:
@@ -17,3 +19,32 @@ def with_ids(obs: DataFrame) -> DataFrame:
         "department_id": N.department_id(c("university"), c("department")),
         "lab_id": N.lab_id(c("university"), c("lab_name"), c("lab_website")),
     })
+
+
+def build_entities(obs: DataFrame) -> dict[str, DataFrame]:
+    """Entity tables (person, university, department, lab) and edge tables (person_department, person_lab,
+    lab_department, person_enrichment). Edges keep one row per observation; confidences are hundredths."""
+    o = with_ids(obs)
+    in_order = F.struct(*ORDER)
+    host = F.nullif(U.authority(F.col("profile_url")), F.lit(""))
+    person = o.groupBy("person_id").agg(
+        F.min_by("name", in_order).alias("name"), F.min_by("university_id", in_order).alias("university_id"),
+        F.min_by("department_id", in_order).alias("department_id"), _first("title"), _first("email"), _first("phone"),
+        _first("office"), _first("profile_url"), _first("personal_website")).join(
+        fold_confidence(o, "person_id"), "person_id")
+    university = o.groupBy("university_id").agg(
+        F.min_by("university", in_order).alias("name"), F.coalesce(F.min_by(host, in_order), F.lit("unknown.edu")).alias("domain"))
+    department = o.groupBy("department_id").agg(F.min_by("department", in_order).alias("name"), F.min_by("university_id", in_order).alias("university_id"))
+    labs = o.filter("lab_id IS NOT NULL")
+    lab = labs.groupBy("lab_id").agg(
+        F.min_by(F.coalesce(_filled("lab_name"), F.lit("Unknown Lab")), in_order).alias("name"), F.min_by("university_id", in_order).alias("university_id"),
+        F.min_by("department_id", in_order).alias("department_id"), F.min_by("lab_website", in_order).alias("website"))
+    role = N.lab_role(F.col("name"), F.col("lab_name"))
+    return {
+        "person": person, "university": university, "department": department, "lab": lab,
+        "person_department": o.select("obs_id", "person_id", "department_id", "title", F.lit("primary").alias("appointment"), F.lit(90).alias("pct")),
+        "person_lab": labs.select("obs_id", "person_id", "lab_id", role.alias("role"), F.lit(70).alias("pct"), F.lit("pending_verification").alias("status")),
+        "lab_department": lab.select("lab_id", "department_id", F.lit(80).alias("pct")),
+        "person_enrichment": o.filter(_filled("research_interests").isNotNull()).select(
+            "obs_id", "person_id", F.lit("profile").alias("enrichment_type"), F.lit(80).alias("pct")),
+    }

@@ -23,3 +23,16 @@ def page_records(pages: DataFrame) -> DataFrame:
         cited.alias("citation_count"), h.alias("h_index"), G.inner_text(c).alias("text"),
     )
     return rec.withColumn("areas", X.list_containing(F.col("text"), K.RESEARCH_AREAS))
+
+
+def lab_profiles(docs: DataFrame) -> DataFrame:
+    """Lab profile of each document text: size, themes, capabilities, output level and richness as flat columns."""
+    from acadspark.functions import scores as Z
+
+    f = docs.select("doc_id", "text", X.lab_fields(F.col("text")).alias("f"))
+    f = f.withColumns({"interests": X.list_containing(F.col("text"), K.RESEARCH_AREAS), "project": X.project_fields(F.col("text"))})
+    funding = F.filter(F.array(F.col("project.funding_agency")), lambda x: x != "")
+    p = Z.lab_profile(F.col("f.members"), F.col("f.projects"), F.col("interests"), F.col("f.equipment"), funding, F.lit(0), F.lit(""), F.coalesce("f.description", F.lit("")))
+    g = f.select("doc_id", p.alias("p"))
+    return g.select("doc_id", "p.size_class", "p.has_hierarchy", F.array_join("p.themes", "|").alias("themes"), "p.interdisciplinary", "p.funding_diversity",
+                    F.array_join("p.capabilities", "|").alias("capabilities"), "p.productivity", "p.richness", "p.presentation")
