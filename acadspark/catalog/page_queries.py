@@ -287,7 +287,7 @@ def _(spark, sf):
     return G.listing_labs(profiles(spark, sf))
 
 
-@query("page_departments", f"""WITH {anchors('pages')},
+@query("page_departments", f"""WITH {anchors('listing_pages')},
 links AS (SELECT page_id, text AS name, {resolved()} AS url, 'link' AS kind, 50 AS pct, pos FROM anchors
   WHERE (regexp_matches(lower(href), 'department|dept') OR (regexp_matches(lower(href), 'school|college') AND contains(lower(href), 'of')))
     AND NOT regexp_matches(lower(href), '^(mailto:|tel:|javascript:|#)') AND (NOT starts_with(href, 'http') OR regexp_matches(lower(href), '\\.edu|\\.ac\\.'))
@@ -297,7 +297,7 @@ heads AS (SELECT page_id, x.text AS name, CAST(NULL AS STRING) AS url, 'heading'
 a AS (SELECT * FROM (SELECT * FROM links UNION ALL SELECT * FROM heads) u WHERE length(name) BETWEEN 3 AND 150 AND NOT {S.rx('lower(name)', K.DEPARTMENT_SKIP)} AND (length(name) >= 20 OR {S.rx('lower(name)', K.DEPARTMENT_WORDS)}))
 SELECT page_id, name, url, kind, CAST(pct AS INTEGER) AS pct FROM (SELECT *, row_number() OVER (PARTITION BY page_id, name ORDER BY pos) AS rn FROM a) r WHERE rn = 1""")
 def _(spark, sf):
-    return G.page_departments(pages(spark, sf))
+    return G.page_departments(view(spark, sf, "listing_pages"))
 
 
 def _sql_prog_dept(col):
@@ -307,11 +307,11 @@ def _sql_prog_dept(col):
     return S.clean(out)
 
 
-@query("page_programs", f"""WITH {anchors()}
+@query("page_programs", f"""WITH {anchors('listing_pages')}
 SELECT page_id, CAST(pos AS BIGINT) AS pos, text AS program_name, {resolved()} AS program_url, {_sql_prog_dept('text')} AS department FROM anchors
 WHERE href <> '' AND text <> '' AND NOT {S.rx('lower(href)', K.PROGRAM_LINK_SKIP)} AND {S.rx('lower(text)', K.PROGRAM_LINK_WORDS)}""")
 def _(spark, sf):
-    return G.page_programs(profiles(spark, sf))
+    return G.page_programs(view(spark, sf, "listing_pages"))
 
 
 @query("nav_directories", f"""WITH {bodies('profile_pages')}, n AS (SELECT page_id, url, array_to_string(regexp_extract_all(body, '(?is)<(?:nav|header)(?:\\s[^>]*)?>(.*?)</(?:nav|header)>', 1), ' ') AS nav FROM b),
@@ -365,13 +365,11 @@ def _(spark, sf):
     return G.department_subdomain(pages(spark, sf), "www.example.com").select("page_id", "subdomain_base", "department")
 
 
-@query("paginate_sources", f"""WITH {anchors('pages')}, f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS n FROM anchors WHERE contains(href, 'a')),
+@query("paginate_sources", f"""WITH {anchors('listing_pages')}, f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS n FROM anchors WHERE contains(href, 'page')),
 t AS (SELECT page_id, n, {resolved()} AS target_url, page_url FROM f WHERE n < 5)
-SELECT (SELECT count(*) FROM pages) AS pages, CAST(0 AS BIGINT) AS followed""")
+SELECT t.page_id, CAST(t.n AS BIGINT) AS n, t.target_url, p.page_id AS target_page FROM t JOIN listing_pages p ON t.target_url = p.url WHERE t.target_url <> t.page_url""")
 def _(spark, sf):
-    # the test pages carry no pagination links, so the count of followed ones is zero; tests cover a linked fixture
-    p = pages(spark, sf)
-    return p.agg(F.count("*").alias("pages")).crossJoin(G.paginate_sources(p).agg(F.count("*").alias("followed")))
+    return G.paginate_sources(view(spark, sf, "listing_pages"))
 
 
 @query("block_position", f"""WITH {bodies()} SELECT page_id, CAST(pos AS BIGINT) AS block, x AS text

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from acadspark.functions import constants as K
+from acadspark.functions.steps import let
 
 SPACE = r"[ \t\n\x0B\f\r\x{00A0}]+"
 CONTROL = r"[\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{007F}-\x{009F}]"
@@ -31,15 +32,17 @@ def count_containing(col: Column, words) -> Column:
 
 def list_containing(col: Column, words) -> Column:
     """Words found in lower-cased ``col``, in list order."""
-    low = F.lower(col)
-    return F.array_compact(F.array(*[F.when(low.contains(w.lower()), F.lit(w)) for w in words]))
+    return let(F.lower(col), lambda low: F.array_compact(F.array(*[F.when(low.contains(w.lower()), F.lit(w)) for w in words])))
 
 
 def clean_text(col: Column) -> Column:
     """Decode entities, collapse white space, drop control characters; null becomes ''."""
-    out = F.coalesce(col, F.lit(""))
+    raw = F.coalesce(col, F.lit(""))
+    out = raw
     for entity, char in K.ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
+    # most texts hold no entity at all
+    out = F.when(raw.contains("&"), out).otherwise(raw)
     out = F.trim(F.regexp_replace(out, SPACE, " "))
     return F.regexp_replace(out, CONTROL, "")
 
@@ -114,11 +117,13 @@ def first_field(col: Column, patterns, min_len: int = 0, max_len: int | None = N
     """First pattern whose first match, cleaned, has an acceptable length; else null."""
     options = []
     for p in patterns:
-        got = clean_text(F.regexp_extract(F.coalesce(col, F.lit("")), p, group))
-        ok = F.length(got) > min_len
-        if max_len is not None:
-            ok = ok & (F.length(got) < max_len)
-        options.append(F.when(ok, F.substring(got, 1, cut) if cut else got))
+        def accept(got):
+            ok = F.length(got) > min_len
+            if max_len is not None:
+                ok = ok & (F.length(got) < max_len)
+            return F.when(ok, F.substring(got, 1, cut) if cut else got)
+
+        options.append(let(clean_text(F.regexp_extract(F.coalesce(col, F.lit("")), p, group)), accept))
     return F.coalesce(*options)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from acadspark.functions import constants as K
 from acadspark.functions import urls as U
+from acadspark.functions.steps import once
 
 FIELDS = ("profile_url", "personal_website", "lab_website")
 # fixed values: bonus per link type (hundredths) of the weighted quality score
@@ -22,7 +23,7 @@ def categorize_url(df: DataFrame, col: str, type_out: str = "link_type", pct_out
     url = F.col(col)
     staged = df.withColumns({"_host": U.bare_host(url), "_path": U.path(F.lower(url))})
     classed = staged.withColumn("_class", U.link_class(url, F.col("_host"), F.col("_path"), match))
-    return classed.withColumns({type_out: F.col("_class.link_type"), pct_out: F.col("_class.pct")}).drop("_host", "_path", "_class")
+    return once(classed.withColumns({type_out: F.col("_class.link_type"), pct_out: F.col("_class.pct")}).drop("_host", "_path", "_class"))
 
 
 def attach_links(people: DataFrame, accessible: Column | None = None, match: str = "suffix") -> DataFrame:
@@ -41,7 +42,7 @@ def attach_links(people: DataFrame, accessible: Column | None = None, match: str
                         F.col(f"_c_{f}.pct").alias("pct"), accessible.alias("is_accessible")))
         for f in FIELDS
     ]
-    return df.withColumn("links", F.array_compact(F.array(*structs))).drop(*parts, *classes)
+    return once(df.withColumn("links", F.array_compact(F.array(*structs))).drop(*parts, *classes))
 
 
 def link_table(people: DataFrame, *keep: str) -> DataFrame:

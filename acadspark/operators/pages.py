@@ -346,7 +346,7 @@ def api_result_links(raw: DataFrame, col: str = "payload") -> DataFrame:
             F.coalesce(h["snippet"], F.lit("")).alias("snippet"), F.lit(source).alias("source")))
 
     both = F.concat(hits(F.col("_p.webPages.value"), "url", "name", "bing"), hits(F.col("_p.organic_results"), "link", "title", "serpapi"))
-    return p.drop("_p", col).select(*[c for c in raw.columns if c != col], F.inline(both))
+    return p.select(*[c for c in raw.columns if c != col], F.inline(both))
 
 
 def select_field(pages: DataFrame, patterns, out: str = "value") -> DataFrame:

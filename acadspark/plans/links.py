@@ -32,3 +32,42 @@ def find_better_links(people: DataFrame, fetch: Callable[[DataFrame], DataFrame]
     new = better.select("obs_id", F.col("new_personal_website").alias("personal_website"), F.col("new_lab_website").alias("lab_website"))
     merged = C.merge_enhanced(flagged, new, ("personal_website", "lab_website"))
     return merged.withColumn("was_candidate", F.col("needs_replacement")).drop("links")
+
+
+def fill_missing_links(people: DataFrame, verified: DataFrame) -> DataFrame:
+    """Fill missing personal sites and scholar profiles with the first verified candidate, and count social profiles.
+
+    ``verified`` has obs_id, url, platform, name_ok, site_ok, platform_ok and scholar_ok.
+    """
+    def first(test, name):
+        return F.min_by("url", F.when(test, F.col("url"))).alias(name)
+
+    per = verified.groupBy("obs_id").agg(
+        first(F.col("name_ok") & F.col("site_ok"), "_site"), first(F.col("name_ok") & F.col("scholar_ok"), "_scholar"),
+        F.count_distinct(F.when(F.col("name_ok") & F.col("platform_ok"), F.col("platform"))).alias("n_social_profiles"))
+    j = people.join(per, "obs_id", "left")
+    missing = F.coalesce("personal_website", F.lit("")) == ""
+    return j.withColumns({
+        "personal_website": F.when(missing, F.col("_site")).otherwise(F.col("personal_website")), "google_scholar": F.col("_scholar"),
+        "site_filled": missing & F.col("_site").isNotNull(), "n_social_profiles": F.coalesce("n_social_profiles", F.lit(0)),
+    }).drop("_site", "_scholar")
+
+
+def process_links(people: DataFrame, mode: str, fetch: Callable[[DataFrame], DataFrame] | None = None, labs: DataFrame | None = None) -> DataFrame:
+    """Link processing by mode: ``categorize`` only, ``social`` (replace social links), ``labs`` (attach lab records) or ``full``.
+
+    ``labs`` has lab_url and its record columns.
+    """
+    if mode not in ("categorize", "social", "labs", "full"):
+        raise ValueError(f"unknown mode {mode!r}")
+    base = L.link_quality_weighted(L.link_groups(L.attach_links(people)))
+    out = base.select("obs_id", "n_social", "n_academic", "n_lab", "weighted_quality")
+    if mode in ("social", "full"):
+        better = find_better_links(people, fetch).select("obs_id", F.col("personal_website").alias("new_site"), F.col("lab_website").alias("new_lab"))
+        before = people.select("obs_id", F.col("personal_website").alias("old_site"), F.col("lab_website").alias("old_lab"))
+        changed = ~F.col("new_site").eqNullSafe(F.col("old_site")) | ~F.col("new_lab").eqNullSafe(F.col("old_lab"))
+        out = out.join(better.join(before, "obs_id").select("obs_id", changed.alias("replaced")), "obs_id")
+    if mode in ("labs", "full"):
+        best = L.best_lab_link(L.attach_links(people)).select("obs_id", "lab_url")
+        out = out.join(best, "obs_id", "left").join(labs, "lab_url", "left")
+    return out

@@ -10,11 +10,15 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from acadspark.functions.steps import spread
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+SMALL_TABLES = ("region", "nation", "benchmark", "labels", "supplier", "part", "customer")
+
 VIEWS: dict[str, str] = {}
 
 VIEWS["observations"] = r"""
@@ -106,10 +110,31 @@ SELECT obs_id, person_key, name, concat('https://www.profiles.edu/people/', CAST
 FROM observations
 """
 
+VIEWS["listing_pages"] = r"""
+SELECT obs_id AS page_id, concat('https://www.directory.edu/list?page=', CAST(obs_id AS STRING)) AS url,
+  concat('<html><body><h2>Department of ', department, '</h2><ul><li><a href="/department/', lower(department), '">Department of ', department, '</a></li>',
+    '<li><a href="/school-of-arts">School of Arts</a></li><li><a href="https://other.com/dept">Department of Other</a></li>',
+    '<li><a href="/programs/', CAST(obs_id % 7 AS STRING), '">Master program in ', department, '</a></li></ul>',
+    '<p>Research Interests: ', coalesce(research_interests, ''), '</p>',
+    '<div class="pagination"><a href="?page=', CAST(obs_id + 1 AS STRING), '">2</a><a href="?page=', CAST(obs_id + 2 AS STRING), '">3</a>',
+    '<a href="?page=', CAST(obs_id AS STRING), '">here</a><a href="/list?page=', CAST(obs_id + 3 AS STRING), '">4</a><a href="?page=', CAST(obs_id + 4 AS STRING), '">5</a>',
+    '<a href="?page=', CAST(obs_id + 5 AS STRING), '">6</a></div></body></html>') AS html
+FROM observations
+"""
+
+VIEWS["project_pages"] = r"""
+SELECT obs_id AS page_id, concat('https://www.labs.edu/', CAST(obs_id AS STRING)) AS url,
+  concat('<html><body><h2>Current Projects</h2><ul><li>Study of ', department, ' funded by the Nation Fund, started in ', CAST(2000 + obs_id % 20 AS STRING),
+    '. Methods: surveys and models. Objectives: better data.</li><li>Completed work, $', CAST(obs_id % 900 + 100 AS STRING), ' thousand</li></ul><h3>Lab Members</h3><ul><li>', name,
+    ', graduate student, ', coalesce(email, ''), '</li></ul></body></html>') AS html
+FROM observations
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One given table, spread over all cores where it is small."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df if name in SMALL_TABLES else spread(df)
 
 
 def _needs(text: str) -> list[str]:
@@ -156,12 +181,10 @@ def directory_pages(spark: SparkSession, sf_dir: str, cards_per_page: int = 50)
     """
     obs = view(spark, sf_dir, "observations")
     card = F.concat(
-        F.lit('<div class="person"><h3>'), F.col("name"), F.lit("</h3><p>"), F.coalesce("title", F.lit("")),
+        F.lit('<div class="person"><h3><a href="https://www.profiles.edu/people/'), F.col("obs_id").cast("string"), F.lit('">'), F.col("name"),
+        F.lit("</a></h3><p>"), F.coalesce("title", F.lit("")),
         F.lit('</p><p><a href="mailto:'), F.coalesce("email", F.lit("")), F.lit('">'), F.coalesce("email", F.lit("")),
-        F.lit('</a> '), F.coalesce("phone", F.lit("")),
-        F.lit('</p><a href="https://www.profiles.edu/people/'), F.col("obs_id").cast("string"), F.lit('">Profile</a>'),
-        F.lit('<a href="'), F.coalesce("lab_website", F.lit("/lab")), F.lit('">'), F.coalesce("lab_name", F.lit("research group")),
-        F.lit("</a></div>"),
+        F.lit('</a> '), F.coalesce("phone", F.lit("")), F.lit('</p><a href="'), F.coalesce("lab_website", F.lit("/lab")), F.lit('">Lab</a></div>'),
     )
     cards = obs.select(
         "university", "department", card.alias("card"),
