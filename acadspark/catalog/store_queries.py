@@ -140,8 +140,8 @@ def _(spark, sf):
 SELECT obs_id, CASE WHEN site = 'University of Nation a' AND department = 'Physics' THEN 'exact' WHEN site = 'University of Nation a' THEN 'host' ELSE 'generic' END AS rule FROM t""")
 def _(spark, sf):
     t = obs(spark, sf).select("obs_id", F.col("university").alias("site"), "department")
-    rules = spark.createDataFrame([("University of Nation a", "Physics", "exact"), ("University of Nation a", None, "host"), (None, None, "generic")], "site string, department string, rule string")
-    return J.extraction_rules(t, rules, "fallback").select("obs_id", "rule")
+    rules = spark.createDataFrame([("University of Nation a", "Physics", "exact"), ("University of Nation a", None, "host")], "site string, department string, rule string")
+    return J.extraction_rules(t, rules, "generic", "fallback").select("obs_id", "rule")
 
 
 # ---- sinks ----

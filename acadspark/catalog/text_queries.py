@@ -386,7 +386,7 @@ INSTITUTIONS = """institutions AS (SELECT n_nationkey AS id, concat('University
 
 def institutions(spark, sf):
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(
         F.col("n_nationkey").alias("id"), F.concat(F.lit("University of "), "n_name").alias("name"),
         F.concat(F.upper(F.substring("r_name", 1, 1)), F.col("r_regionkey").cast("string")).alias("state_code"), F.col("r_name").alias("state"))
 

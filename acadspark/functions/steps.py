@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def once(df: DataFrame) -> DataFrame:
-    """Same rows, with every column computed exactly once per row.
+def once(df: DataFrame, *cols: str) -> DataFrame:
+    """Same rows, with the named columns computed exactly once per row.
 
-    The optimiser pushes later filters below a projection and repeats the projected expressions in them. Costly text
-    expressions are therefore put behind a one-element generator, which neither filters nor merged projections cross.
+    The optimiser pushes later filters below a projection and repeats the projected expressions in them. Costly
+    columns are therefore put behind a one-element generator, which neither filters nor merged projections cross.
+    All other columns pass by it, so unused ones are still pruned from the scan.
     """
-    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in cols]
+    return df.select(*rest, F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in cols]))))
 
 
 def let(value: Column, fn) -> Column:
@@ -20,6 +22,14 @@ def let(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: fn(v)), 1)
 
 
+def side_by_side(*one_row: DataFrame) -> DataFrame:
+    """One-row tables next to each other: stacked with nulls, then folded into one row by an aggregate."""
+    out = one_row[0]
+    for df in one_row[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin over all cores when the input has fewer partitions than there are cores.
 

@@ -143,11 +143,14 @@ def named_before(col: Column, nouns: str, min_len: int) -> Column:
     Letters that stand alone end a run, so they are turned into bars first. The text is then split into runs and
     only runs that hold a noun meet the (anchored) pattern, which keeps the work linear in the text.
     """
-    spread = F.regexp_replace(F.coalesce(col, F.lit("")), r"([^A-Za-z])", "$1$1")
+    text = F.coalesce(col, F.lit(""))
+    spread = F.regexp_replace(text, r"([^A-Za-z])", "$1$1")
     barred = F.regexp_replace(spread, r"(^|[^A-Za-z])[A-Za-z]($|[^A-Za-z])", "|")
     runs = F.filter(F.split(barred, r"[^A-Za-z\s]+"), lambda r: r.rlike(rf"(?i)\s(?:{nouns})"))
     got = F.transform(runs, lambda r: clean_text(F.regexp_extract(r, rf"(?i)^\s*([A-Z][A-Z\s]*)\s+(?:{nouns})", 1)))
-    return F.filter(got, lambda x: F.length(x) > min_len)
+    found = F.filter(got, lambda x: F.length(x) > min_len)
+    # texts without any of the nouns, which are most, are left alone
+    return F.when(text.rlike(rf"(?i)\s(?:{nouns})"), found).otherwise(F.array().cast("array<string>"))
 
 
 def normalize_title(col: Column) -> Column:

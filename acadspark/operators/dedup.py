@@ -111,7 +111,8 @@ def fold_confidence(rows: DataFrame, key: str, first: float = 0.8, later: float
     (the rank limit applies per task before the shuffle) and the result equals the full fold.
     """
     w = W.partitionBy(key).orderBy(*[F.desc(c) for c in ORDER])
-    last = rows.select(key, *ORDER, "confidence_score").withColumn("back", F.row_number().over(w) - 1).filter(F.col("back") < tail)
+    last = rows.select(key, *ORDER, "confidence_score").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= tail)
+    last = last.withColumn("back", F.col("rn") - 1)
     n = rows.groupBy(key).agg(F.count("*").alias("n_merged"))
     is_first = F.col("back") == F.col("n_merged") - 1
     value = F.coalesce("confidence_score", F.when(is_first, first).otherwise(later))

@@ -13,14 +13,13 @@ def dictionary_match(df: DataFrame, col: str, words, out: str = "matches") -> Da
     return df.withColumn(out, list_containing(F.col(col), words))
 
 
-def extraction_rules(targets: DataFrame, rules: DataFrame, fallback: str) -> DataFrame:
+def extraction_rules(targets: DataFrame, rules: DataFrame, generic: str | None, fallback: str) -> DataFrame:
     """Add ``rule``: by site and department, else by host, else the generic one, else the fallback.
 
-    ``rules`` has site, department and rule; null site or department means "any". Joins carry no broadcast hint: Spark
+    ``rules`` has site, department and rule; a null department means "any". Joins carry no broadcast hint: Spark
     broadcasts the rule table when its measured size allows and shuffles otherwise.
     """
     exact = rules.filter("site IS NOT NULL AND department IS NOT NULL").select("site", "department", F.col("rule").alias("_exact"))
     by_host = rules.filter("site IS NOT NULL AND department IS NULL").select("site", F.col("rule").alias("_host"))
-    generic = rules.filter("site IS NULL").agg(F.min("rule").alias("_generic"))
-    j = targets.join(exact, ["site", "department"], "left").join(by_host, "site", "left").crossJoin(F.broadcast(generic))
-    return j.withColumn("rule", F.coalesce("_exact", "_host", "_generic", F.lit(fallback))).drop("_exact", "_host", "_generic")
+    j = targets.join(exact, ["site", "department"], "left").join(by_host, "site", "left")
+    return j.withColumn("rule", F.coalesce("_exact", "_host", F.lit(generic), F.lit(fallback))).drop("_exact", "_host")

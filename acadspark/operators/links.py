@@ -23,7 +23,7 @@ def categorize_url(df: DataFrame, col: str, type_out: str = "link_type", pct_out
     url = F.col(col)
     staged = df.withColumns({"_host": U.bare_host(url), "_path": U.path(F.lower(url))})
     classed = staged.withColumn("_class", U.link_class(url, F.col("_host"), F.col("_path"), match))
-    return once(classed.withColumns({type_out: F.col("_class.link_type"), pct_out: F.col("_class.pct")}).drop("_host", "_path", "_class"))
+    return once(classed.withColumns({type_out: F.col("_class.link_type"), pct_out: F.col("_class.pct")}).drop("_host", "_path", "_class"), type_out, pct_out)
 
 
 def attach_links(people: DataFrame, accessible: Column | None = None, match: str = "suffix") -> DataFrame:
@@ -42,7 +42,7 @@ def attach_links(people: DataFrame, accessible: Column | None = None, match: str
                         F.col(f"_c_{f}.pct").alias("pct"), accessible.alias("is_accessible")))
         for f in FIELDS
     ]
-    return once(df.withColumn("links", F.array_compact(F.array(*structs))).drop(*parts, *classes))
+    return once(df.withColumn("links", F.array_compact(F.array(*structs))).drop(*parts, *classes), "links")
 
 
 def link_table(people: DataFrame, *keep: str) -> DataFrame:
@@ -114,25 +114,37 @@ def link_accessibility(links: DataFrame, fetches: DataFrame) -> DataFrame:
 
 
 def _report(counts: DataFrame) -> DataFrame:
-    """Append the derived recommendations to (section, item, n) counts."""
+    """Add the derived recommendations to (section, item, n) counts.
+
+    The counts are a few dozen rows, one per known item. They are folded into one row, from which counts and
+    recommendations are emitted together, so the scan below runs once. A ``linked`` count tells how many people have
+    links; the others are of low quality.
+    """
     def n(section, item):
         return F.coalesce(F.sum(F.when((F.col("section") == section) & (F.col("item") == item), F.col("n"))), F.lit(0))
 
-    totals = counts.agg(
+    one = counts.agg(
+        F.collect_list(F.struct("section", "item", "n")).alias("rows"),
         n("total", "people").alias("people"), n("stats", "valid_links").alias("valid"), n("stats", "broken_links").alias("broken"),
         n("type", "social_media").alias("social"), n("type", "unknown").alias("unknown"), n("type", "invalid").alias("invalid"),
-        n("quality", "low_quality").alias("low"))
+        n("quality", "low_quality").alias("low_seen"), F.sum(F.when(F.col("section") == "linked", F.col("n"))).alias("linked"))
+    one = one.withColumn("low", F.col("low_seen") + F.col("people") - F.coalesce("linked", "people"))
+
+    def row(test, section, item, value):
+        return F.when(test, F.struct(F.lit(section).alias("section"), F.lit(item).alias("item"), value.alias("n")))
+
+    poor = F.col("social") + F.col("unknown") + F.col("invalid")
     # fixed values: thresholds of the recommendations
     notes = F.array_compact(F.array(
-        F.when(F.col("broken") * 5 > F.greatest("valid", F.lit(1)), F.struct(F.lit("high_broken_rate").alias("item"), F.col("broken").alias("n"))),
-        F.when(F.col("social") > 0, F.struct(F.lit("social_links").alias("item"), F.col("social").alias("n"))),
-        F.when(F.col("unknown") > 0, F.struct(F.lit("unknown_links").alias("item"), F.col("unknown").alias("n"))),
-        F.when(F.col("low") * 10 > F.col("people") * 3, F.struct(F.lit("low_quality").alias("item"), F.col("low").alias("n"))),
-        F.when(F.col("social") + F.col("unknown") + F.col("invalid") > 0,
-               F.struct(F.lit("replacement_candidates").alias("item"), (F.col("social") + F.col("unknown") + F.col("invalid")).alias("n"))),
+        row(F.col("low") > 0, "quality", "low_quality", F.col("low")),
+        row(F.col("broken") * 5 > F.greatest("valid", F.lit(1)), "recommendation", "high_broken_rate", F.col("broken")),
+        row(F.col("social") > 0, "recommendation", "social_links", F.col("social")),
+        row(F.col("unknown") > 0, "recommendation", "unknown_links", F.col("unknown")),
+        row(F.col("low") * 10 > F.col("people") * 3, "recommendation", "low_quality", F.col("low")),
+        row(poor > 0, "recommendation", "replacement_candidates", poor),
     ))
-    rec = totals.select(F.lit("recommendation").alias("section"), F.inline(notes)).select("section", "item", "n")
-    return counts.unionByName(rec)
+    plain = F.filter("rows", lambda r: (r["section"] != "linked") & (r["item"] != "low_quality"))
+    return one.select(F.inline(F.concat(plain, notes)))
 
 
 def _count_items(df: DataFrame, items: Column) -> DataFrame:
@@ -167,20 +179,19 @@ def validated_people(links: DataFrame) -> DataFrame:
 
 
 def validated_report(links: DataFrame, n_people: DataFrame) -> DataFrame:
-    """Link report of the validated long table; ``n_people`` is a one-row table with ``people``."""
-    items = F.array_compact(F.array(
-        _item("type", F.col("link_type")), F.when(F.col("link_type") != "invalid", _item("stats", "valid_links")),
-        F.when(F.col("is_accessible"), _item("stats", "accessible_links")).otherwise(_item("stats", "broken_links")),
-        F.when(F.col("original_url").isNotNull(), _item("stats", "redirected_links")),
-    ))
-    per_link = _count_items(links, items)
-    bands = validated_people(links).groupBy(quality_band(F.col("link_quality_score")).alias("item")).agg(F.count("*").alias("n"))
-    linked = bands.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("linked"))
-    # people without any link are of low quality
-    bare = n_people.crossJoin(F.broadcast(linked)).select(F.lit("low_quality").alias("item"), (F.col("people") - F.col("linked")).alias("n"))
-    quality = bands.unionByName(bare).groupBy("item").agg(F.sum("n").alias("n")).filter("n > 0").select(F.lit("quality").alias("section"), "item", "n")
-    total = n_people.select(F.lit("total").alias("section"), F.lit("people").alias("item"), F.col("people").alias("n"))
-    return _report(per_link.unionByName(quality).unionByName(total))
+    """Link report of the validated long table; ``n_people`` is a one-row table with ``people``.
+
+    A person has at most one link per field, so the links of a person fit one short array.
+    """
+    per = links.groupBy("obs_id").agg(F.collect_list(F.struct("link_type", "pct", "is_accessible", F.col("original_url").isNotNull().alias("moved"))).alias("links"))
+    total = F.aggregate("links", F.lit(0), lambda a, x: a + x["pct"])
+    score = total.cast("double") / (F.size("links") * 100).cast("double")
+    per_link = F.flatten(F.transform("links", lambda x: F.array_compact(F.array(
+        _item("type", x["link_type"]), F.when(x["link_type"] != "invalid", _item("stats", "valid_links")),
+        F.when(x["is_accessible"], _item("stats", "accessible_links")).otherwise(_item("stats", "broken_links")),
+        F.when(x["moved"], _item("stats", "redirected_links"))))))
+    counts = _count_items(per.withColumn("score", score), F.concat(F.array(_item("linked", "people"), _item("quality", quality_band(F.col("score")))), per_link))
+    return _report(counts.unionByName(n_people.select(F.lit("total").alias("section"), F.lit("people").alias("item"), F.col("people").alias("n"))))
 
 
 def best_lab_link(people: DataFrame) -> DataFrame:

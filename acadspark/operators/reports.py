@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from acadspark.functions.steps import side_by_side
+
 
 def _has(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) != ""
@@ -62,7 +64,7 @@ def stage_report(links: DataFrame, replaced: DataFrame, extracted: DataFrame) ->
     two = replaced.agg(F.count_if(F.col("added") > 0).alias("enhanced"), F.coalesce(F.sum("added"), F.lit(0)).alias("links_added"))
     three = extracted.agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("scholar", "website", "lab")],
                           F.coalesce(F.sum("points"), F.lit(0)).alias("data_points"))
-    return one.crossJoin(F.broadcast(two)).crossJoin(F.broadcast(three))
+    return side_by_side(one, two, three)
 
 
 def data_points(df: DataFrame, cols: tuple[str, ...], lists: tuple[str, ...] = (), out: str = "points") -> DataFrame:
@@ -91,9 +93,11 @@ def university_stats(people: DataFrame) -> DataFrame:
 
 def university_stats_join(programs: DataFrame, people: DataFrame, labs: DataFrame) -> DataFrame:
     """The same counts from stored tables: programs own people and lab sites by program id."""
-    f = people.join(programs.select("program_id", "university"), "program_id").groupBy("university").agg(
-        F.count("*").alias("people"), F.count_if(_has("email")).alias("with_email"))
-    s = labs.join(programs.select("program_id", "university"), "program_id").groupBy("university").agg(F.count("*").alias("lab_sites"))
+    owner = programs.select("program_id", "university")
+    # counted per program first: a large program is one row before the join
+    per_people = people.groupBy("program_id").agg(F.count("*").alias("people"), F.count_if(_has("email")).alias("with_email"))
+    f = per_people.join(owner, "program_id").groupBy("university").agg(F.sum("people").alias("people"), F.sum("with_email").alias("with_email"))
+    s = labs.groupBy("program_id").agg(F.count("*").alias("n")).join(owner, "program_id").groupBy("university").agg(F.sum("n").alias("lab_sites"))
     p = programs.groupBy("university").agg(F.count("*").alias("programs"))
     return p.join(f, "university", "left").join(s, "university", "left").fillna(0, ["people", "with_email", "lab_sites"])
 
@@ -142,10 +146,8 @@ def ingest_report(obs: DataFrame, resolved: DataFrame, e: dict[str, DataFrame])
 
     seen = obs.agg(F.count_if(_has("name")).alias("processed"), F.count_if(~_has("name")).alias("missing_name"))
     made = resolved.agg(F.count_distinct("entity").alias("created"))
-    edges = n(e["person_department"], "_a").crossJoin(n(e["person_lab"], "_b"))
-    out = seen
-    for p in (made, n(e["university"], "universities"), n(e["department"], "departments"), n(e["lab"], "labs"), edges, n(e["person_enrichment"], "enrichments")):
-        out = out.crossJoin(F.broadcast(p))
+    out = side_by_side(seen, made, n(e["university"], "universities"), n(e["department"], "departments"), n(e["lab"], "labs"),
+                       n(e["person_department"], "_a"), n(e["person_lab"], "_b"), n(e["person_enrichment"], "enrichments"))
     return out.withColumns({"merged": F.col("processed") - F.col("created"), "associations": F.col("_a") + F.col("_b")}).drop("_a", "_b")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from acadspark.functions.steps import side_by_side
 from acadspark.operators.ranking import top_per_key
 
 # fixed values: list caps per enrichment type
@@ -22,16 +23,26 @@ def person_institution(person: DataFrame, university: DataFrame, department: Dat
     return person.join(u, "university_id", "left").join(d, "department_id", "left")
 
 
+def with_edges(entities: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """Every entity with its edges, one row each, entities without edges included.
+
+    Same as a left join. The edge side of a left join cannot be split when one entity owns most edges, an inner join
+    can; entities without edges are added by an anti join against the distinct keys.
+    """
+    alone = entities.join(edges.select(key).distinct(), key, "left_anti")
+    return entities.join(edges, key).unionByName(alone, allowMissingColumns=True)
+
+
 def person_departments(person: DataFrame, edges: DataFrame, department: DataFrame) -> DataFrame:
     """One row per person and department edge."""
     d = department.select("department_id", F.col("name").alias("department_name"))
     e = edges.select("person_id", "department_id", "obs_id", "appointment", "pct").join(d, "department_id", "left")
-    return person.select("person_id", "name").join(e, "person_id", "left")
+    return with_edges(person.select("person_id", "name"), e, "person_id")
 
 
 def person_labs(person: DataFrame, edges: DataFrame, lab: DataFrame, key: str = "person_key") -> DataFrame:
     """One row per person and lab edge, people without one included."""
-    return person.join(edges.join(lab, "lab_key", "left"), key, "left")
+    return with_edges(person, edges.join(lab, "lab_key", "left"), key)
 
 
 def person_enrichments(edges: DataFrame, enrichments: DataFrame) -> DataFrame:
@@ -140,7 +151,7 @@ def contact_summary(people: DataFrame, extra: DataFrame, on: str) -> DataFrame:
 def relationship_map(e: dict[str, DataFrame], enrichments: DataFrame) -> DataFrame:
     """One row: entities, edges and enrichments, mean confidence, completeness and orphans.
 
-    Every table is reduced to one row before the one-row tables are put side by side.
+    Every table is reduced to one row before the rows are put side by side.
     """
     def n(df, name):
         return df.agg(F.count("*").alias(name))
@@ -155,9 +166,7 @@ def relationship_map(e: dict[str, DataFrame], enrichments: DataFrame) -> DataFra
         n(orphans(e["person"], "person_id", e["person_department"], e["person_lab"]), "orphan_people"),
         n(orphans(e["lab"], "lab_id", e["person_lab"]), "orphan_labs"),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(F.broadcast(p))
+    out = side_by_side(*parts)
     mean = F.try_divide(F.col("_person_micro") + F.col("n_labs") * 700_000, (F.col("n_people") + F.col("n_labs")) * 1_000_000.0)
     full = F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("n_enrichments"), F.col("n_people") * 3.0)), F.lit(0.0))
     return out.withColumns({"average_confidence": F.round(F.coalesce(mean, F.lit(0.0)), 6), "data_completeness": F.round(full, 6)}).drop("_person_micro")

@@ -27,7 +27,7 @@ def page_records(pages: DataFrame) -> DataFrame:
         F.nullif(F.trim(F.regexp_extract(c, r"(?is)<title[^>]*>([^<]+)</title>", 1)), F.lit("")).alias("title"),
         F.nullif(F.trim(F.regexp_extract(c, r"""(?is)<meta[^>]*name=["']description["'][^>]*content=["']([^"']+)["']""", 1)), F.lit("")).alias("description"),
         cited.alias("citation_count"), h.alias("h_index"), G.inner_text(c).alias("text"),
-    ))
+    ), "title", "description", "citation_count", "h_index", "text")
     return rec.withColumn("areas", X.list_containing(F.col("text"), K.RESEARCH_AREAS))
 
 
@@ -72,7 +72,8 @@ def enrich_pages(pages: DataFrame, keep_conf: float = 0.2, detail_conf: float =
     quality = Z.content_points({"title": F.col("title"), "description": F.col("description"), "text_len": F.length("text"), "interests": F.size("areas"),
                                 "citation_count": F.col("citation_count"), "h_index": F.col("h_index"), "members": F.size("members"), "projects": F.size("projects")})
     relevance = Z.relevance_points(F.col("name"), F.col("title"), F.col("research_interests"), F.col("areas"), F.col("university"), F.col("affiliations"), F.col("link_type"))
-    s = once(once(f).withColumns({"quality_points": quality, "relevance_points": relevance}).drop("text"))
+    f = once(f, "citation_count", "h_index", "projects", "members", "affiliations", "areas")
+    s = once(f.withColumns({"quality_points": quality, "relevance_points": relevance}).drop("text"), "quality_points", "relevance_points")
     s = s.withColumn("confidence", (F.col("quality_points") + F.col("relevance_points")) / F.lit(200.0))
     out = s.filter(F.col("confidence") > keep_conf).withColumn("detailed", F.col("confidence") > detail_conf)
     return out.select("page_id", "link_type", "title", "citation_count", "h_index", F.size("areas").cast("bigint").alias("n_interests"), F.size("projects").cast("bigint").alias("n_projects"),
