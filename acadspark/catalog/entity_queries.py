@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from acadspark.catalog import sqlparts as S
 from acadspark.catalog.link_queries import BAND, CANDS, FETCHED, PEOPLE, SECONDARY, checked, people  # noqa: F401
 from acadspark.catalog.registry import query
-from acadspark.catalog.text_queries import INSTITUTIONS, institutions, sql_interests
+from acadspark.catalog.text_queries import _EQUIP, INSTITUTIONS, _kw, institutions, sql_interests
 from acadspark.functions import constants as K
 from acadspark.functions import names as N
 from acadspark.functions import scores as Z
+from acadspark.functions import text as X
 from acadspark.operators import dedup as D
 from acadspark.operators import entities as E
 from acadspark.operators import links as L
@@ -469,7 +470,6 @@ def _(spark, sf):
 @query("data_points", f"""SELECT obs_id, CAST(CASE WHEN coalesce(name, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(title, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(email, '') <> '' THEN 1 ELSE 0 END
   + CASE WHEN coalesce(phone, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(office, '') <> '' THEN 1 ELSE 0 END + len({sql_interests('research_interests')}) AS BIGINT) AS points FROM observations""")
 def _(spark, sf):
-    from acadspark.functions import text as X
     o = obs(spark, sf).withColumn("interest_list", X.interests(F.col("research_interests")))
     return R.data_points(o, ("name", "title", "email", "phone", "office"), ("interest_list",)).select("obs_id", "points")
 
@@ -564,7 +564,22 @@ def _(spark, sf):
     return R.document_keywords(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-@query("lab_profile", None)
+def _groups(text, groups):
+    return "list_filter([" + ", ".join(f"CASE WHEN {S.rx(text, w)} THEN '{g}' END" for g, w in groups) + "], lambda x: x IS NOT NULL)"
+
+
+_AGENCY = ("coalesce(nullif(regexp_extract(text, '(?i)(nsf|nih|doe|darpa|nasa|onr|afosr)\\s*([^,.]+)', 2), ''), "
+           "nullif(regexp_extract(text, '(?i)(funded by|supported by|sponsored by)\\s+([^,.]+)', 2), ''), '')")
+
+
+@query("lab_profile", f"""WITH f AS (SELECT doc_id, text, list_distinct({S.all_fields('text', X.MEMBER_PATTERNS)})[1:20] AS members, {S.all_fields('text', X.PROJECT_PATTERNS, 10, 10, 200)} AS projects, {_kw(K.RESEARCH_AREAS)} AS interests,
+    {_EQUIP} AS equipment, {_AGENCY} AS agency, {S.first_field('text', X.RESEARCH_TEXT_PATTERNS, 50, group=0, cut=1000)} AS descr FROM documents),
+g AS (SELECT *, lower(array_to_string(list_concat(projects, interests), ' ')) AS topics, lower(array_to_string(equipment, ' ')) AS tools, lower(array_to_string(members, ' ')) AS who, CASE WHEN agency <> '' THEN 1 ELSE 0 END AS nf FROM f)
+SELECT doc_id, CASE WHEN len(members) > 20 THEN 'large' WHEN len(members) > 10 THEN 'medium' WHEN len(members) > 3 THEN 'small' ELSE 'minimal' END AS size_class, coalesce({S.rx('who', Z.HIERARCHY_WORDS)}, FALSE) AS has_hierarchy,
+  coalesce(array_to_string({_groups('topics', Z.THEME_WORDS)}, '|'), '') AS themes, least(len({_groups('topics', Z.THEME_WORDS)}) / CAST(5 AS DOUBLE), CAST(1 AS DOUBLE)) AS interdisciplinary, nf / CAST(4 AS DOUBLE) AS funding_diversity,
+  coalesce(array_to_string({_groups('tools', Z.CAPABILITY_WORDS)}, '|'), '') AS capabilities, 'low' AS productivity,
+  CAST(25 * (CASE WHEN len(projects) > 0 THEN 1 ELSE 0 END + CASE WHEN len(members) > 0 THEN 1 ELSE 0 END + CASE WHEN len(equipment) > 0 THEN 1 ELSE 0 END + nf) AS DOUBLE) / 100 AS richness,
+  CAST(60 + CASE WHEN length(descr) > 20 THEN 20 ELSE 0 END AS DOUBLE) / 100 AS presentation FROM g""")
 def _(spark, sf):
     from acadspark.plans.enrichment import lab_profiles
     return lab_profiles(table(spark, sf, "documents").select("doc_id", "text"))

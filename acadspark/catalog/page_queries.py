@@ -32,6 +32,9 @@ def anchors(tab="profile_pages"):
   FROM (SELECT page_id, url AS page_url, unnest(tags) AS tag, unnest(range(len(tags))) AS pos FROM (SELECT page_id, url, regexp_extract_all(body, {q(G.ANCHOR)}) AS tags FROM b) t) u)"""
 
 
+DESCRIPTION = q(r"""(?is)<meta[^>]*name=["']description["'][^>]*content=["']([^"']+)["']""")
+
+
 def numbered(table_, list_sql, names="x", where="TRUE"):
     """Rows of a list per page with their ordinal after filtering."""
     return f"(SELECT page_id, unnest(l) AS {names}, unnest(range(len(l))) AS pos FROM (SELECT page_id, url, {list_sql} AS l FROM {table_} WHERE {where}) z)"

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from acadspark.catalog import sqlparts as S
 from acadspark.catalog.entity_queries import IDS, PFOLD, RESOLVED, WORDS, entities, enr, obs  # noqa: F401
 from acadspark.catalog.link_queries import BEST, FETCHED, SECONDARY, VERIFIED, WEIGHT, people, verified
-from acadspark.catalog.page_queries import _METRIC, PROFILE_CLASS, anchors, bodies, inner, profiles, resolved
+from acadspark.catalog.page_queries import _METRIC, DESCRIPTION, PROFILE_CLASS, anchors, bodies, inner, profiles, resolved
 from acadspark.catalog.registry import query
-from acadspark.catalog.text_queries import INSTITUTIONS, SQL_TITLE, _kw, institutions, sql_interests
+from acadspark.catalog.text_queries import _ROLE, INSTITUTIONS, SQL_TITLE, _kw, institutions, sql_interests
 from acadspark.functions import constants as K
 from acadspark.functions import scores as Z
 from acadspark.functions import text as X
@@ -249,11 +249,15 @@ def _(spark, sf):
     return got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
-@query("stream_progress_sliding")
+@query("stream_progress_sliding", """WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM fetch_log),
+r AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS window_start FROM fetch_log, (SELECT unnest([0, 1, 2, 3]) AS k) q),
+w AS (SELECT window_start, window_start + INTERVAL 60 MINUTE AS window_end, host, count(*) AS requests, count(*) FILTER (WHERE status_code >= 500) AS errors, round(sum(load_ms), 3) AS load_ms FROM r GROUP BY ALL)
+SELECT w.* FROM w, m WHERE window_end <= mark""")
 def _(spark, sf):
     stream, out, ck = _source(spark, _log(spark, sf), "sliding")
     V.run_to_end(V.stream_progress(stream, out, ck, window="1 hour", slide="15 minutes"))
-    return spark.read.parquet(out)
+    got = spark.read.parquet(out)
+    return got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
 @query("stream_sessions", """WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM fetch_log),
@@ -339,12 +343,15 @@ def _(spark, sf):
     return d.select("page_id", "bio", F.array_join("interests", "|").alias("interests"), F.array_join("affiliations", "|").alias("affiliations"), "office", "phone", "email", "lab_name")
 
 
-@query("lab_members")
+@query("lab_members", f"""SELECT page_id, text, 'lab members' AS role_section, {_ROLE} AS role, regexp_extract(text, {S.q(K.EMAIL)}) AS email, '' AS phone, '' AS office FROM (
+  SELECT obs_id AS page_id, trim(concat(name, ', graduate student, ', coalesce(email, ''))) AS text FROM observations) o""")
 def _(spark, sf):
-    return H.lab_members(profiles(spark, sf))
+    return H.lab_members(view(spark, sf, "project_pages"))
 
 
-@query("lab_projects")
+@query("lab_projects", """SELECT obs_id AS page_id, 'Current Projects' AS section, concat('Study of ', department, ' funded by the Nation Fund, started in ', CAST(2000 + obs_id % 20 AS STRING), '. Methods: surveys and models. Objectives: better data.') AS text,
+  'the Nation Fund' AS funding_agency, '' AS funding_amount, CAST(2000 + obs_id % 20 AS STRING) AS start_date, '' AS end_date, 'unknown' AS status, 'surveys and models' AS methodology, 'better data' AS objectives FROM observations
+UNION ALL SELECT obs_id, 'Current Projects', concat('Completed work, $', CAST(obs_id % 900 + 100 AS STRING), ' thousand'), '', concat('$', CAST(obs_id % 900 + 100 AS STRING), ' thousand'), '', '', 'completed', '', '' FROM observations""")
 def _(spark, sf):
     return H.lab_projects(view(spark, sf, "project_pages"))
 
@@ -431,7 +438,22 @@ def typed_pages(spark, sf):
     return profiles(spark, sf).join(o, "page_id")
 
 
-@query("enrich_pages")
+TYPED = f"""t AS (SELECT page_id, nullif(trim(regexp_extract(body, '(?is)<title[^>]*>([^<]+)</title>', 1)), '') AS title, nullif(trim(regexp_extract(body, {DESCRIPTION}, 1)), '') AS descr,
+    regexp_extract(body, 'Cited by (\\d+)', 1) AS cited, regexp_extract(body, {S.q(_METRIC.format('h-index'))}, 1) AS h, {inner('body')} AS text FROM b),
+j AS (SELECT t.page_id, t.title, t.descr, t.text, o.name, o.university, lower(coalesce(o.research_interests, '')) AS ri, CASE o.obs_id % 5 WHEN 0 THEN 'google_scholar' WHEN 1 THEN 'lab_website' WHEN 2 THEN 'university_profile' WHEN 3 THEN 'academic_profile' ELSE 'social_media' END AS link_type,
+    {_kw(K.RESEARCH_AREAS)} AS areas, cited, h FROM t JOIN observations o ON t.page_id = o.obs_id),
+k AS (SELECT *, CASE WHEN link_type = 'google_scholar' THEN CAST(nullif(cited, '') AS BIGINT) END AS citation_count, CASE WHEN link_type = 'google_scholar' THEN CAST(nullif(h, '') AS BIGINT) END AS h_index,
+    CASE WHEN link_type = 'lab_website' THEN len({S.all_fields('text', X.PROJECT_PATTERNS, 10, 10, 200)}) ELSE 0 END AS n_projects, CASE WHEN link_type = 'lab_website' THEN len({S.all_fields('text', X.MEMBER_PATTERNS, 0, 20)}) ELSE 0 END AS n_members
+  FROM j WHERE link_type <> 'social_media'),
+s AS (SELECT *, least(100, CASE WHEN title <> '' THEN 10 ELSE 0 END + CASE WHEN descr <> '' THEN 10 ELSE 0 END + least(5 * len(areas), 30) + least(2 * n_members, 10) + least(3 * n_projects, 15)
+      + CASE WHEN citation_count IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN h_index IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN length(text) > 1000 THEN 10 ELSE 0 END + CASE WHEN length(text) > 5000 THEN 10 ELSE 0 END) AS qp,
+    least(100, CASE WHEN contains(lower(title), lower(name)) THEN 30 ELSE 0 END + CASE WHEN ri <> '' THEN least(40, 10 * len(list_filter(areas, lambda i: len(list_filter(regexp_split_to_array(lower(trim(i)), '\\s+'), lambda w: contains(ri, w))) > 0))) ELSE 0 END
+      + CASE WHEN contains(lower(coalesce(descr, '')), lower(university)) THEN 20 ELSE 0 END + CASE link_type WHEN 'academic_profile' THEN 5 ELSE 10 END) AS rp FROM k)"""
+
+
+@query("enrich_pages", f"""WITH {bodies('profile_pages')}, {TYPED}
+SELECT page_id, link_type, title, citation_count, h_index, CAST(len(areas) AS BIGINT) AS n_interests, CAST(n_projects AS BIGINT) AS n_projects, CAST(qp AS DOUBLE) / 100 AS content_quality, CAST(rp AS DOUBLE) / 100 AS academic_relevance,
+  CAST(qp + rp AS DOUBLE) / 200 AS confidence, qp + rp > 140 AS detailed FROM s WHERE qp + rp > 40""")
 def _(spark, sf):
     return P.enrich_pages(typed_pages(spark, sf))
 
