@@ -71,22 +71,44 @@ def query_cost(log: DataFrame) -> DataFrame:
 
 
 def throttle_audit(log: DataFrame, limits=RATE_LIMITS, key: str = "host", ts: str = "ts", row_id: str = "fetch_id") -> DataFrame:
-    """Requests in the trailing window of each limit, and whether they exceed it.
+    """Requests in the trailing window of each limit, and whether they exceed it. Limits are whole seconds.
 
-    A window by key alone would send one busy key to one task. Rows are therefore cut into time buckets as long as
-    the longest limit: every row is counted in its own bucket and only seen, not counted, in the next one. Each
-    (key, bucket) group then holds all rows its counts need, so the result is exact and one key spreads over tasks.
+    A window by key would send one busy key to one task. The count of a row at time t over L seconds is therefore
+    split at whole seconds: rows of its own second up to t, rows of the second L before from t - L on, and all rows of
+    the seconds between. The last part needs only counts per (key, second), which are combined before the shuffle; the
+    first two need groups of one key and one second. The sum is exact and no task sees more than that.
     """
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = log.select(row_id, key, ts, us.alias("_us"), F.floor(us / F.lit(1_000_000)).alias("_sec"))
+
     longest = max(s for s, _ in limits)
-    sec = F.unix_micros(F.col(ts).cast("timestamp"))
-    own = F.floor(sec / F.lit(longest * 1_000_000))
-    seen = log.select("*", sec.alias("_us"), own.alias("_own"), F.explode(F.array(own, own + 1)).alias("_bucket"))
-    out = seen
+    own = F.floor(F.col("_sec") / F.lit(longest))
+    per_sec = rows.groupBy(key, "_sec").agg(F.count("*").alias("_n"))
+    # seconds are seen in their own stretch and, as context, in the next one
+    seen = per_sec.select("*", own.alias("_own"), F.explode(F.array(own, own + 1)).alias("_part"))
+    for seconds, _ in limits:
+        w = W.partitionBy(key, "_part").orderBy("_sec").rangeBetween(-(seconds - 1), -1)
+        seen = seen.withColumn(f"_full_{seconds}", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    full = seen.filter("_part = _own").select(key, "_sec", *[f"_full_{s}" for s, _ in limits])
+
+    # rows of the second a limit ago are shifted into the second of the rows that count them
+    none = F.lit(None)
+    parts = rows.select(F.lit(0).alias("_kind"), row_id, key, ts, "_us", "_sec")
+    for seconds, _ in limits:
+        parts = parts.unionByName(rows.select(
+            F.lit(seconds).alias("_kind"), none.cast(log.schema[row_id].dataType).alias(row_id), key, none.cast(log.schema[ts].dataType).alias(ts),
+            (F.col("_us") + seconds * 1_000_000).alias("_us"), (F.col("_sec") + seconds).alias("_sec")))
+    group = W.partitionBy(key, "_sec").orderBy("_us")
+    upto = group.rangeBetween(W.unboundedPreceding, W.currentRow)
+    onward = group.rangeBetween(W.currentRow, W.unboundedFollowing)
+    ends = parts.withColumn("_mine", F.count_if(F.col("_kind") == 0).over(upto))
+    for seconds, _ in limits:
+        ends = ends.withColumn(f"_start_{seconds}", F.count_if(F.col("_kind") == seconds).over(onward))
+    out = ends.filter("_kind = 0").join(full, [key, "_sec"])
     for seconds, limit in limits:
-        w = W.partitionBy(key, "_bucket").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
-        out = out.withColumn(f"n_{seconds}s", F.count("*").over(w)).withColumn(f"over_{seconds}s", F.col(f"n_{seconds}s") > limit)
-    cols = [c for s, _ in limits for c in (f"n_{s}s", f"over_{s}s")]
-    return out.filter("_bucket = _own").select(row_id, key, ts, *cols)
+        n = F.col("_mine") + F.col(f"_start_{seconds}") + F.col(f"_full_{seconds}")
+        out = out.withColumn(f"n_{seconds}s", n).withColumn(f"over_{seconds}s", F.col(f"n_{seconds}s") > limit)
+    return out.select(row_id, key, ts, *[c for s, _ in limits for c in (f"n_{s}s", f"over_{s}s")])
 
 
 # fixed values: per-domain delay in seconds, default, allowed and blocked hosts
