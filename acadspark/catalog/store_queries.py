@@ -9,7 +9,7 @@ from acadspark.catalog.entity_queries import IDS, PFOLD, RESOLVED, WORDS, entiti
 from acadspark.catalog.link_queries import BEST, FETCHED, SECONDARY, VERIFIED, WEIGHT, people, verified
 from acadspark.catalog.page_queries import _METRIC, DESCRIPTION, PROFILE_CLASS, anchors, bodies, inner, profiles, resolved
 from acadspark.catalog.registry import query
-from acadspark.catalog.text_queries import _ROLE, INSTITUTIONS, SQL_TITLE, _kw, institutions, sql_interests
+from acadspark.catalog.text_queries import _EQUIP, _ROLE, INSTITUTIONS, SQL_TITLE, _kw, institutions, sql_interests
 from acadspark.functions import constants as K
 from acadspark.functions import scores as Z
 from acadspark.functions import text as X
@@ -337,7 +337,13 @@ def _(spark, sf):
     return got.select("university", "department", "profile_url")
 
 
-@query("profile_details")
+DETAILS = f"""d AS (SELECT t.page_id, '' AS bio, array_to_string((list_filter(list_transform(regexp_split_to_array(concat_ws(' | ', nullif(o.research_interests, ''), o.department), '[,;|\n]'), lambda x: trim(x)),
+    lambda x: length(x) BETWEEN 4 AND 99))[1:10], '|') AS interests, CASE WHEN o.lab_name = 'Center for Data Science' THEN 'Visit our Center for Data Science & partners.' ELSE '' END AS affiliations,
+    {S.first_field('text', X.OFFICE_PATTERNS, 3, 100)} AS office, ({S.phones('text')})[1] AS phone, ({S.emails('text')})[1] AS email, {S.first_field('text', X.LAB_NAME_PATTERNS, 5)} AS lab_name
+  FROM (SELECT page_id, {inner('body')} AS text FROM b) t JOIN observations o ON t.page_id = o.obs_id)"""
+
+
+@query("profile_details", f"WITH {bodies('profile_pages')}, {DETAILS} SELECT * FROM d")
 def _(spark, sf):
     d = H.profile_details(profiles(spark, sf))
     return d.select("page_id", "bio", F.array_join("interests", "|").alias("interests"), F.array_join("affiliations", "|").alias("affiliations"), "office", "phone", "email", "lab_name")
@@ -462,15 +468,37 @@ def _h(p):
     return f"CAST(nullif(regexp_extract(body, {S.q(_METRIC.format(p))}, 1), '') AS BIGINT)"
 
 
-@query("analyze_profiles_scholar", f"""WITH {bodies('profile_pages')}, m AS (SELECT page_id, CAST(nullif(regexp_extract(body, 'Cited by (\\d+)', 1), '') AS BIGINT) AS c, {_h('h-index')} AS h, {_h('i10-index')} AS i FROM b)
-SELECT page_id, c AS citation_count, h AS h_index, i AS i10_index, CASE WHEN c > 10000 THEN 'exceptional' WHEN c > 5000 THEN 'high' WHEN c > 1000 THEN 'moderate' ELSE 'emerging' END AS impact_level,
+SCHOLAR_ANALYSIS = f"""m AS (SELECT page_id, CAST(nullif(regexp_extract(body, 'Cited by (\\d+)', 1), '') AS BIGINT) AS c, {_h('h-index')} AS h, {_h('i10-index')} AS i FROM b),
+scholar_analysis AS (SELECT page_id, c AS citation_count, h AS h_index, i AS i10_index, CASE WHEN c > 10000 THEN 'exceptional' WHEN c > 5000 THEN 'high' WHEN c > 1000 THEN 'moderate' ELSE 'emerging' END AS impact_level,
   CASE WHEN h > 50 THEN 'very_high' WHEN h > 25 THEN 'high' WHEN h > 10 THEN 'moderate' END AS h_index_note, 'limited' AS collaboration_level, CAST(0.4 AS DOUBLE) AS completeness, 'unknown' AS recency,
-  CASE WHEN h > 30 THEN 'senior_researcher' WHEN h > 15 THEN 'established_researcher' WHEN c > 100 THEN 'active_researcher' ELSE 'emerging_researcher' END AS standing FROM m""")
+  CASE WHEN h > 30 THEN 'senior_researcher' WHEN h > 15 THEN 'established_researcher' WHEN c > 100 THEN 'active_researcher' ELSE 'emerging_researcher' END AS standing FROM m)"""
+
+
+@query("analyze_profiles_scholar", f"WITH {bodies('profile_pages')}, {SCHOLAR_ANALYSIS} SELECT * FROM scholar_analysis")
 def _(spark, sf):
     return P.analyze_profiles(profiles(spark, sf), "scholar")
 
 
-@query("analyze_profiles_comprehensive")
+def _themes(text):
+    return "list_filter([" + ", ".join(f"CASE WHEN {S.rx(text, w)} THEN '{g}' END" for g, w in Z.THEME_WORDS) + "], lambda x: x IS NOT NULL)"
+
+
+LAB_ANALYSIS = f"""t AS (SELECT page_id, nullif(trim(regexp_extract(body, '(?is)<title[^>]*>([^<]+)</title>', 1)), '') AS title, {inner('body')} AS text FROM b),
+f AS (SELECT page_id, coalesce(CASE WHEN regexp_matches(lower(title), 'lab|laboratory|center|institute') THEN title END, {S.first_field('text', X.LAB_NAME_PATTERNS, 5)}) AS lab_name,
+  CASE {' '.join(f"WHEN {S.rx('lower(text)', w)} THEN '{n}'" for n, w in K.LAB_TYPE_WORDS)} ELSE 'research' END AS lab_type, list_distinct({S.all_fields('text', X.MEMBER_PATTERNS)})[1:20] AS members,
+  {S.all_fields('text', X.PROJECT_PATTERNS, 10, 10, 200)} AS projects, {_kw(K.RESEARCH_AREAS)} AS areas, {_EQUIP} AS equipment, {S.first_field('text', X.RESEARCH_TEXT_PATTERNS, 50, group=0, cut=1000)} AS descr FROM t),
+lab_analysis AS (SELECT page_id, lab_name, lab_type, CASE WHEN len(members) > 20 THEN 'large' WHEN len(members) > 10 THEN 'medium' WHEN len(members) > 3 THEN 'small' ELSE 'minimal' END AS size_class,
+  coalesce({S.rx("lower(array_to_string(members, ' '))", Z.HIERARCHY_WORDS)}, FALSE) AS has_hierarchy, coalesce(array_to_string({_themes('topics')}, '|'), '') AS themes, least(len({_themes('topics')}) / CAST(5 AS DOUBLE), CAST(1 AS DOUBLE)) AS interdisciplinary,
+  CAST(25 * (CASE WHEN len(projects) > 0 THEN 1 ELSE 0 END + CASE WHEN len(members) > 0 THEN 1 ELSE 0 END + CASE WHEN len(equipment) > 0 THEN 1 ELSE 0 END) AS DOUBLE) / 100 AS richness,
+  CAST(60 + CASE WHEN length(lab_name) > 5 THEN 20 ELSE 0 END + CASE WHEN length(descr) > 20 THEN 20 ELSE 0 END AS DOUBLE) / 100 AS presentation FROM (SELECT *, lower(array_to_string(list_concat(projects, areas), ' ')) AS topics FROM f) g)"""
+
+
+@query("analyze_profiles_lab", f"WITH {bodies('profile_pages')}, {LAB_ANALYSIS} SELECT * FROM lab_analysis")
+def _(spark, sf):
+    return P.analyze_profiles(profiles(spark, sf), "lab")
+
+
+@query("analyze_profiles_comprehensive", f"""WITH {bodies('profile_pages')}, {SCHOLAR_ANALYSIS}, {LAB_ANALYSIS} SELECT s.*, l.* EXCLUDE (page_id) FROM scholar_analysis s JOIN lab_analysis l ON s.page_id = l.page_id""")
 def _(spark, sf):
     return P.analyze_profiles(profiles(spark, sf), "comprehensive")
 
@@ -488,7 +516,8 @@ def _(spark, sf):
     return got.select("obs_id", "phone", "personal_website", "lab_website", "google_scholar", "enriched")
 
 
-@query("extract_directory_chain")
+@query("extract_directory_chain", f"""WITH {bodies('profile_pages')}, {DETAILS}, p AS ({PEOPLE_SQL})
+SELECT p.*, d.bio, d.interests, d.office, d.phone, d.email AS profile_email, d.lab_name FROM p LEFT JOIN b ON p.profile_url = b.url LEFT JOIN d ON b.page_id = d.page_id""")
 def _(spark, sf):
     return P.extract_directory_chain(directory_pages(spark, sf), profiles(spark, sf))
 

@@ -81,7 +81,7 @@ def resolve_person(obs: DataFrame) -> DataFrame:
     Observations are first reduced to distinct (name, e-mail, university) nodes.
     """
     keyed = obs.withColumns({"name_key": N.person_key(F.col("name")), "uni_key": N.institution_key(F.col("university")), "mail": F.lower(_filled("email"))})
-    nodes = keyed.groupBy("name_key", "uni_key", "mail").agg(F.min("obs_id").alias("node"))
+    nodes = cut_lineage(keyed.groupBy("name_key", "uni_key", "mail").agg(F.min("obs_id").alias("node")))
     hubs = nodes.withColumns({
         "by_mail": F.when(F.col("mail").isNotNull(), F.concat_ws("|", "name_key", "mail")), "by_uni": F.concat_ws("|", "name_key", "uni_key")})
     roots = connected_groups(hubs, "node", ("by_mail", "by_uni"))
@@ -93,7 +93,7 @@ def resolve_person(obs: DataFrame) -> DataFrame:
 def resolve_lab(obs: DataFrame) -> DataFrame:
     """Distinct (lab name key, web site) nodes with ``lab_entity``: same name key or same site, transitively."""
     labs = obs.select(F.when(_filled("lab_name").isNotNull(), N.institution_key(F.col("lab_name"))).alias("lab_key"), _filled("lab_website").alias("site"), "obs_id")
-    nodes = labs.filter("lab_key IS NOT NULL OR site IS NOT NULL").groupBy("lab_key", "site").agg(F.min("obs_id").alias("node"))
+    nodes = cut_lineage(labs.filter("lab_key IS NOT NULL OR site IS NOT NULL").groupBy("lab_key", "site").agg(F.min("obs_id").alias("node")))
     roots = connected_groups(nodes, "node", ("lab_key", "site"))
     return nodes.join(roots, "node").select("lab_key", "site", F.col("root").alias("lab_entity"))
 

@@ -14,6 +14,7 @@ from acadspark.operators import listings as H
 from acadspark.operators import pages as G
 from acadspark.operators import predicates as P
 from acadspark.operators import ranking as R
+from acadspark.session import cut_lineage
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -144,7 +145,8 @@ def discover_labs(pages: DataFrame, model: PipelineModel | None = None, hits: Da
 
 def extract_directory_chain(directories: DataFrame, profiles: DataFrame) -> DataFrame:
     """Directory pages to people, joined by URL to their profile pages and the details found there."""
-    people = H.directory_people(directories, ("page_id", "university", "department"))
+    # read twice below, so the parsed people are kept in the shared folder instead of parsing the pages again
+    people = cut_lineage(H.directory_people(directories, ("page_id", "university", "department")))
     wanted = profiles.join(people.select(F.col("profile_url").alias("url")).distinct(), "url", "left_semi")
     details = H.profile_details(wanted, ("url",)).withColumnRenamed("url", "profile_url")
     d = details.select("profile_url", "bio", F.array_join("interests", "|").alias("interests"), "office", "phone", F.col("email").alias("profile_email"), "lab_name")
