@@ -233,8 +233,8 @@ lab AS (SELECT lab_id, arg_min(coalesce(nullif(lab_name, ''), 'Unknown Lab'), (s
   arg_min(department_id, (scraped_at, obs_id)) AS department_id, nullif(arg_min(coalesce(lab_website, ''), (scraped_at, obs_id)), '') AS website FROM ids WHERE lab_id IS NOT NULL GROUP BY lab_id)"""
 
 
-def entities(spark, sf):
-    return E.build_entities(obs(spark, sf))
+def entities(spark, sf, staged=False):
+    return E.build_entities(obs(spark, sf), staged)
 
 
 @query("person_entities", f"WITH RECURSIVE {IDS}, {PFOLD}, {PERSON} SELECT * FROM person")
@@ -415,7 +415,7 @@ c AS (SELECT (SELECT count(*) FROM person) AS n_people, (SELECT count(*) FROM la
   CAST(0 AS BIGINT) AS orphan_people, CAST(0 AS BIGINT) AS orphan_labs, (SELECT CAST(sum(CAST(round(confidence * 1000000) AS BIGINT)) AS BIGINT) FROM person) AS micro)
 SELECT * EXCLUDE (micro), round((micro + n_labs * 700000) / ((n_people + n_labs) * CAST(1000000 AS DOUBLE)), 6) AS average_confidence, round(least(CAST(1 AS DOUBLE), n_enrichments / (n_people * CAST(3 AS DOUBLE))), 6) AS data_completeness FROM c""")
 def _(spark, sf):
-    return V.relationship_map(entities(spark, sf), enr(spark, sf))
+    return V.relationship_map(entities(spark, sf, staged=True), enr(spark, sf))
 
 
 @query("confidence_band", "SELECT obs_id, CASE WHEN c >= 0.8 THEN 'high' WHEN c >= 0.5 THEN 'medium' WHEN c >= 0.2 THEN 'low' ELSE 'uncertain' END AS band FROM (SELECT obs_id, confidence_score * (obs_id % 5) / CAST(4 AS DOUBLE) AS c FROM observations) o")
@@ -534,7 +534,7 @@ SELECT (SELECT count(*) FROM observations WHERE name <> '') AS processed, CAST(0
   (SELECT count(*) FROM ids) + (SELECT count(*) FROM ids WHERE lab_id IS NOT NULL) AS associations""")
 def _(spark, sf):
     o = obs(spark, sf)
-    return R.ingest_report(o, D.resolve_person(o), entities(spark, sf))
+    return R.ingest_report(o, D.resolve_person(o), entities(spark, sf, staged=True))
 
 
 @query("job_rollup", """SELECT host, count(*) AS items, count(*) FILTER (WHERE status_code >= 500) AS failed, round((count(*) - count(*) FILTER (WHERE status_code >= 500)) * CAST(100 AS DOUBLE) / count(*), 6) AS progress,

@@ -200,7 +200,7 @@ def _(spark, sf):
 UNION ALL SELECT 'person', count(DISTINCT person_id) FROM ids UNION ALL SELECT 'person_department', count(*) FROM ids UNION ALL SELECT 'person_enrichment', count(*) FROM ids WHERE research_interests <> ''
 UNION ALL SELECT 'person_lab', count(lab_id) FROM ids UNION ALL SELECT 'university', count(DISTINCT university_id) FROM ids""")
 def _(spark, sf):
-    paths = sinks.export_views(entities(spark, sf), stage_dir(spark, "views"), {"person": "university_id"})
+    paths = sinks.export_views(entities(spark, sf, staged=True), stage_dir(spark, "views"), {"person": "university_id"})
     return sinks.read_counts(spark, paths)
 
 

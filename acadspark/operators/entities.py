@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from acadspark.functions import names as N
 from acadspark.functions import urls as U
 from acadspark.operators.dedup import ORDER, _filled, _first, fold_confidence
+from acadspark.session import stage_table
 
 
 def with_ids(obs: DataFrame) -> DataFrame:
@@ -21,10 +22,14 @@ def with_ids(obs: DataFrame) -> DataFrame:
     })
 
 
-def build_entities(obs: DataFrame) -> dict[str, DataFrame]:
+def build_entities(obs: DataFrame, staged: bool = False) -> dict[str, DataFrame]:
     """Entity tables (person, university, department, lab) and edge tables (person_department, person_lab,
-    lab_department, person_enrichment). Edges keep one row per observation; confidences are hundredths."""
-    o = with_ids(obs)
+    lab_department, person_enrichment). Edges keep one row per observation; confidences are hundredths.
+
+    All tables derive from the observations with ids. With ``staged`` these are written to the shared folder first, for
+    jobs that use most of the tables; without it each table is one lazy plan over the observations.
+    """
+    o = stage_table(with_ids(obs), "ids") if staged else with_ids(obs)
     in_order = F.struct(*ORDER)
     host = F.nullif(U.authority(F.col("profile_url")), F.lit(""))
     person = o.groupBy("person_id").agg(

@@ -34,7 +34,7 @@ def convert_and_export(people: DataFrame, enrichments: DataFrame, path: str) ->
     Entity tables are written first and the views read the written tables, so nothing is computed twice.
     """
     spark = people.sparkSession
-    paths = export_views(E.build_entities(people), path)
+    paths = export_views(E.build_entities(people, staged=True), path)
     e = {name: spark.read.parquet(p) for name, p in paths.items()}
     views = {
         "view_person_institution": V.person_institution(e["person"], e["university"], e["department"]),
