@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage_dir(spark: SparkSession, name: str) -> str:
     """Fresh sub-folder name under the shared folder."""
     root = shared_dir(spark).removeprefix("file:")
-    return os.path.join(root, f"{name}-{next(tempfile._get_candidate_names())}")
+    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
