@@ -439,9 +439,8 @@ def _(spark, sf):
 
 
 def typed_pages(spark, sf):
-    kind = F.element_at(F.array(*[F.lit(k) for k in ("google_scholar", "lab_website", "university_profile", "academic_profile", "social_media")]), (F.col("obs_id") % 5 + 1).cast("int"))
-    o = obs(spark, sf).select(F.col("obs_id").alias("page_id"), kind.alias("link_type"), "name", "university", "research_interests")
-    return profiles(spark, sf).join(o, "page_id")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("google_scholar", "lab_website", "university_profile", "academic_profile", "social_media")]), (F.col("page_id") % 5 + 1).cast("int"))
+    return profiles(spark, sf).withColumn("link_type", kind)
 
 
 TYPED = f"""t AS (SELECT page_id, nullif(trim(regexp_extract(body, '(?is)<title[^>]*>([^<]+)</title>', 1)), '') AS title, nullif(trim(regexp_extract(body, {DESCRIPTION}, 1)), '') AS descr,
@@ -461,7 +460,8 @@ s AS (SELECT *, least(100, CASE WHEN title <> '' THEN 10 ELSE 0 END + CASE WHEN
 SELECT page_id, link_type, title, citation_count, h_index, CAST(len(areas) AS BIGINT) AS n_interests, CAST(n_projects AS BIGINT) AS n_projects, CAST(qp AS DOUBLE) / 100 AS content_quality, CAST(rp AS DOUBLE) / 100 AS academic_relevance,
   CAST(qp + rp AS DOUBLE) / 200 AS confidence, qp + rp > 140 AS detailed FROM s WHERE qp + rp > 40""")
 def _(spark, sf):
-    return P.enrich_pages(typed_pages(spark, sf))
+    o = obs(spark, sf).select(F.col("obs_id").alias("page_id"), "name", "university", "research_interests")
+    return P.enrich_pages(typed_pages(spark, sf), o)
 
 
 def _h(p):

@@ -14,7 +14,6 @@ from acadspark.operators import listings as H
 from acadspark.operators import pages as G
 from acadspark.operators import predicates as P
 from acadspark.operators import ranking as R
-from acadspark.session import cut_lineage
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -55,10 +54,11 @@ def lab_profiles(docs: DataFrame) -> DataFrame:
                     F.array_join("p.capabilities", "|").alias("capabilities"), "p.productivity", "p.richness", "p.presentation")
 
 
-def enrich_pages(pages: DataFrame, keep_conf: float = 0.2, detail_conf: float = 0.7) -> DataFrame:
+def enrich_pages(pages: DataFrame, people: DataFrame, keep_conf: float = 0.2, detail_conf: float = 0.7) -> DataFrame:
     """Extract, score and gate fetched pages.
 
-    ``pages`` has page_id, url, html, link_type and the person's name, university and research_interests. Scholar
+    ``pages`` has page_id, url, html and link_type; ``people`` has page_id, name, university and research_interests and is
+    joined after the extraction, so that only extracted fields are shuffled. Scholar
     metrics count for scholar pages only, labelled lab fields for lab pages only. Confidence is the mean of content
     quality and academic relevance.
     """
@@ -73,8 +73,9 @@ def enrich_pages(pages: DataFrame, keep_conf: float = 0.2, detail_conf: float =
     quality = Z.content_points({"title": F.col("title"), "description": F.col("description"), "text_len": F.length("text"), "interests": F.size("areas"),
                                 "citation_count": F.col("citation_count"), "h_index": F.col("h_index"), "members": F.size("members"), "projects": F.size("projects")})
     relevance = Z.relevance_points(F.col("name"), F.col("title"), F.col("research_interests"), F.col("areas"), F.col("university"), F.col("affiliations"), F.col("link_type"))
-    f = once(f, "citation_count", "h_index", "projects", "members", "affiliations", "areas")
-    s = once(f.withColumns({"quality_points": quality, "relevance_points": relevance}).drop("text"), "quality_points", "relevance_points")
+    f = f.withColumn("quality_points", quality).drop("text", "members")
+    f = once(f, "citation_count", "h_index", "projects", "affiliations", "areas", "quality_points").join(people, "page_id")
+    s = once(f.withColumn("relevance_points", relevance), "relevance_points")
     s = s.withColumn("confidence", (F.col("quality_points") + F.col("relevance_points")) / F.lit(200.0))
     out = s.filter(F.col("confidence") > keep_conf).withColumn("detailed", F.col("confidence") > detail_conf)
     return out.select("page_id", "link_type", "title", "citation_count", "h_index", F.size("areas").cast("bigint").alias("n_interests"), F.size("projects").cast("bigint").alias("n_projects"),
@@ -102,21 +103,21 @@ def analyze_profiles(pages: DataFrame, kind: str) -> DataFrame:
 def enhance_sparse(people: DataFrame, pages: DataFrame) -> DataFrame:
     """Fill empty phone, interests and links of sparse people from their profile page.
 
-    ``pages`` is keyed by ``obs_id``; only pages of sparse people are parsed.
+    ``pages`` is keyed by the person's ``obs_id``. Contacts and links are extracted where pages are read and only they
+    are joined, so no page body is shuffled.
     """
     flagged = P.sparse_records(people)
-    sparse = flagged.filter("needs_enrichment").select("obs_id")
-    wanted = pages.join(sparse, pages["page_id"] == sparse["obs_id"], "left_semi")
-    contacts = G.page_contacts(wanted).select(F.col("page_id").alias("obs_id"), F.get("phones", F.lit(0)).alias("_phone"))
-    links = R.first_link_by_type(G.page_links(wanted)).select(F.col("page_id").alias("obs_id"), F.col("personal_website").alias("_site"), F.col("google_scholar").alias("_scholar"), F.col("lab_website").alias("_lab"))
+    contacts = G.page_contacts(pages).select(F.col("page_id").alias("obs_id"), F.get("phones", F.lit(0)).alias("_phone"))
+    links = R.first_link_by_type(G.page_links(pages)).select(F.col("page_id").alias("obs_id"), F.col("personal_website").alias("_site"), F.col("google_scholar").alias("_scholar"), F.col("lab_website").alias("_lab"))
     j = flagged.join(contacts, "obs_id", "left").join(links, "obs_id", "left")
+    sparse = F.col("needs_enrichment")
 
     def fill(have, new):
-        return F.coalesce(F.nullif(have, F.lit("")), F.col(new))
+        return F.coalesce(F.nullif(have, F.lit("")), F.when(sparse, F.col(new)))
 
     out = j.withColumns({
-        "phone": fill("phone", "_phone"), "personal_website": fill("personal_website", "_site"), "lab_website": fill("lab_website", "_lab"), "google_scholar": F.col("_scholar"),
-        "enriched": F.coalesce("_phone", "_site", "_scholar", "_lab").isNotNull(),
+        "phone": fill("phone", "_phone"), "personal_website": fill("personal_website", "_site"), "lab_website": fill("lab_website", "_lab"), "google_scholar": F.when(sparse, F.col("_scholar")),
+        "enriched": sparse & F.coalesce("_phone", "_site", "_scholar", "_lab").isNotNull(),
     })
     return out.drop("_phone", "_site", "_scholar", "_lab")
 
@@ -145,9 +146,8 @@ def discover_labs(pages: DataFrame, model: PipelineModel | None = None, hits: Da
 
 def extract_directory_chain(directories: DataFrame, profiles: DataFrame) -> DataFrame:
     """Directory pages to people, joined by URL to their profile pages and the details found there."""
-    # read twice below, so the parsed people are kept in the shared folder instead of parsing the pages again
-    people = cut_lineage(H.directory_people(directories, ("page_id", "university", "department")))
-    wanted = profiles.join(people.select(F.col("profile_url").alias("url")).distinct(), "url", "left_semi")
-    details = H.profile_details(wanted, ("url",)).withColumnRenamed("url", "profile_url")
+    # profiles are parsed where they are read; only the extracted fields are shuffled for the join, never the pages
+    people = H.directory_people(directories, ("page_id", "university", "department"))
+    details = H.profile_details(profiles, ("url",)).withColumnRenamed("url", "profile_url")
     d = details.select("profile_url", "bio", F.array_join("interests", "|").alias("interests"), "office", "phone", F.col("email").alias("profile_email"), "lab_name")
     return people.select("university", "department", "name", "title", "email", "profile_url").join(d, "profile_url", "left")
