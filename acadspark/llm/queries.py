@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from acadspark.llm.common import table
+from acadspark.llm.media import media_report
+from acadspark.llm.packing import pack_report
 from acadspark.llm.repeats import repeats_report
+from acadspark.llm.tokens import tokens_report
 
 QUERIES, ORACLES = {}, {}
 
@@ -21,3 +24,18 @@ def query(name: str, sql: str | None = None):
 @query("op1_suffix_dedup")
 def op1(spark, sf_dir):
     return repeats_report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_separator_scan")
+def op6(spark, sf_dir):
+    return tokens_report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_media_tiles")
+def op7(spark, sf_dir):
+    return media_report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pow2_packing")
+def op10(spark, sf_dir):
+    return pack_report(table(spark, sf_dir, "documents"))
