@@ -11,7 +11,7 @@ from acadspark.llm.common import batches, chunks, distinct_texts, mix, partition
 
 WINDOW = 200
 GRAM = 32
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 SEGMENT = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("k1", pa.int64()), ("k2", pa.int32()), ("start", pa.int32()), ("size", pa.int32()), ("copies", pa.int64()), ("own", pa.int32())])
 SPAN = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
