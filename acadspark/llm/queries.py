@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from acadspark.llm import rules
 from acadspark.llm.common import table
 from acadspark.llm.media import media_report
+from acadspark.llm.mixing import mix_report
 from acadspark.llm.packing import pack_report
 from acadspark.llm.repeats import repeats_report
+from acadspark.llm.sharding import shard_report
 from acadspark.llm.tokens import tokens_report
 
 QUERIES, ORACLES = {}, {}
@@ -39,3 +42,18 @@ def op7(spark, sf_dir):
 @query("op10_pow2_packing")
 def op10(spark, sf_dir):
     return pack_report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_line_rules", rules.SQL)
+def op4(spark, sf_dir):
+    return rules.rules_report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_budget_mix")
+def op5(spark, sf_dir):
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_label_shards")
+def op8(spark, sf_dir):
+    return shard_report(table(spark, sf_dir, "documents"))
