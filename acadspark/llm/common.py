@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,23 +14,33 @@ from pyspark.sql.window import Window
 from acadspark.session import stage_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go once it is there, and Arrow batches hold few rows, as texts can be long.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def writing(spark: SparkSession):
+    """The settings of WRITING, for the time of one write."""
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back; its shuffle files go as soon as it is written."""
+    """``df`` written to the shared folder and read back."""
     spark = df.sparkSession
     path = stage_dir(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with writing(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,12 +65,8 @@ def distinct_texts(docs: DataFrame, name: str) -> DataFrame:
     keyed = docs.select(text.alias("text")).select("text", k1, k2)
     unique = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.any_value("text").alias("text"))
     label, path = f"{name}_{uuid.uuid4().hex[:12]}", stage_dir(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with writing(spark):
         unique.write.bucketBy(partitions(spark), "k1", "k2").option("path", path).saveAsTable(label)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.table(label)
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
 from acadspark.llm.common import lowered, prefix_hash, span_hash
 
 SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
-CACHE_UNITS = 600_000
+CACHE_UNITS = 300_000
+LEARNED = 2000
+_ENCODERS: dict = {}
 
 
 def default_path() -> str:
@@ -39,6 +43,7 @@ class Encoder:
     """Ids of many texts at once. Equal units are encoded once; the memory is emptied at CACHE_UNITS units."""
 
     def __init__(self, path: str, special: bool = True):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -46,6 +51,13 @@ class Encoder:
         self.special = special
         self.clear()
 
+    @classmethod
+    def shared(cls, path: str, special: bool = True) -> Encoder:
+        """The encoder of this Python worker; what it knows serves all its tasks."""
+        if (path, special) not in _ENCODERS:
+            _ENCODERS[path, special] = cls(path, special)
+        return _ENCODERS[path, special]
+
     def clear(self) -> None:
         self.known: dict[int, int] = {}
         self.starts, self.sizes, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
@@ -82,7 +94,9 @@ class Encoder:
         if len(missing):
             n = len(self.known)
             raw = low.tobytes()
-            self._learn([unit[i] for i in missing], [raw[start[k]: end[k]].decode() for k in first[missing]])
+            for i in range(0, len(missing), LEARNED):
+                part = missing[i: i + LEARNED]
+                self._learn([unit[k] for k in part], [raw[start[k]: end[k]].decode() for k in first[part]])
             index[missing] = np.arange(n, n + len(missing))
         index = index[back]
         size = self.sizes[index]

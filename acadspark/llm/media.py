@@ -174,7 +174,8 @@ def media_report(docs: DataFrame) -> DataFrame:
     """
     stored = staged(text_images(docs), "media")
     tail = F.expr("substring(samples, -32, 32)")
-    return media_tiles(stored).select(
+    report = media_tiles(stored).select(
         "doc_id", "n_bytes", F.octet_length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
         F.crc32(tail).cast("long").alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws(":", "dhash", F.sha2("tile", 256)).alias("feature"))
+    return staged(report, "report")

@@ -29,10 +29,10 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUEN
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(it):
-        encoder = Encoder(path)
+        encoder = Encoder.shared(path)
         for batch in it:
             data, offsets = utf8(batch.column("text"))
-            for i, j in chunks(offsets, 1 << 20):
+            for i, j in chunks(offsets, 1 << 19):
                 lo = offsets[i]
                 ids, at = encoder.encode(data[lo: offsets[j]], offsets[i: j + 1] - lo)
                 row, start, length, parts, tokens = [], [], [], [], []

@@ -264,6 +264,7 @@ def repeats_report(docs: DataFrame) -> DataFrame:
     """Digest of ``strip_repeats`` per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     digest = strip_repeats(docs).select(
         "k1", "k2", F.octet_length("kept").cast("long").alias("n_kept"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    digest = staged(digest, "digest")
     text = F.coalesce(F.col("text"), F.lit(""))
     k1, k2 = text_keys(text)
     rows = docs.select("doc_id", k1, k2, F.octet_length(text).cast("long").alias("n_bytes"))

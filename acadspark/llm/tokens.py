@@ -40,14 +40,14 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, separator: int =
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(it):
-        encoder = Encoder(path, special=False)
+        encoder = Encoder.shared(path, special=False)
         store, root = open_store(folder)
         name, out, place = f"part-{uuid.uuid4().hex}.bin", None, 0
         for batch in it:
             if out is None:
                 out = store.open_output_stream(f"{root}/{name}")
             data, offsets = utf8(batch.column("text"))
-            for i, j in chunks(offsets, 1 << 20):
+            for i, j in chunks(offsets, 1 << 19):
                 lo = offsets[i]
                 ids, at = encoder.encode(data[lo: offsets[j]], offsets[i: j + 1] - lo)
                 out.write(np.insert(ids, at[1:], separator).astype("<u2").tobytes())
