@@ -8,8 +8,10 @@ from acadspark.llm.media import media_report
 from acadspark.llm.mixing import mix_report
 from acadspark.llm.packing import pack_report
 from acadspark.llm.repeats import repeats_report
+from acadspark.llm.secrets import secrets_report
 from acadspark.llm.sharding import shard_report
 from acadspark.llm.tokens import tokens_report
+from acadspark.llm.toxicity import toxicity_report
 
 QUERIES, ORACLES = {}, {}
 
@@ -57,3 +59,13 @@ def op5(spark, sf_dir):
 @query("op8_label_shards")
 def op8(spark, sf_dir):
     return shard_report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_markov_secrets")
+def op3(spark, sf_dir):
+    return secrets_report(table(spark, sf_dir, "documents"))
+
+
+@query("op9_noisy_or_toxicity")
+def op9(spark, sf_dir):
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

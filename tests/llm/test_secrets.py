@@ -1,0 +1,80 @@
+"""Base spans against plain regular expressions on strings; the model against held-out strings."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from acadspark.llm import secrets as S
+
+RX = (
+    (re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), lambda m: len(m[2]) >= 6),
+    (re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), (re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24))
+HEX = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+KEY = "qZ7xP2mK9vR4tW8yB3nL6cD1"
+TEXTS = [
+    f'é token = "{HEX}" end', "PASSWORD: abc12 passwd=abc123 api_key:'x.y/z=' ApiKey = short", "ſecret=abcdefg toKen=abcdefgh tokenſ: abcdefgh", None, "",
+    "AKIA" + "A1" * 8 + " AKIA123 AKIAAKIA" + "Z" * 16, HEX + HEX + "g" + HEX[:23] + " " + HEX[:24], "token==x==== secret:token:password=abcdefgh", f"日本 {HEX} \U0001F600 {HEX}",
+    f"unlabelled {KEY} here", "a-perfectly-ordinary-identifier-name and internationalisationalism", "token = \nabcdefgh", "token=" + "a" * 5000,
+]
+
+
+def base(text):
+    spans = sorted((m.start(), k, m.end()) for k, (rx, ok) in enumerate(RX) for m in rx.finditer(text or "") if ok(m))
+    return ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(["an", "er", "the", "ti", "on", "ing", "st", "le", "_", "-"]) for _ in range(rng.randint(2, 5)))
+    rand = lambda: "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(rng.randint(20, 40)))
+    train = [" ".join(word() for _ in range(60)) + f" token={rand()} " + " ".join(word() for _ in range(30)) for _ in range(300)]
+    rows = [(i if i != 3 else None, t, "clash", 1) for i, t in enumerate(TEXTS)] + [(100 + i, t, None, 2) for i, t in enumerate(train)]
+    return spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars long")
+
+
+def test_report(spark, corpus):
+    got = {r.doc_id: r for r in S.secrets_report(corpus).collect()}
+    assert len(got) == len(TEXTS) + 300
+    for i, t in enumerate(TEXTS):
+        r = got[i if i != 3 else None]
+        assert r.base_sha256 == hashlib.sha256(base(t).encode()).hexdigest(), t
+        assert [r.n_assign, r.n_access, r.n_hex] == [base(t).count(k + ":") for k in S.KINDS[:3]]
+        assert ",".join(x for x in r.spans.split(",") if x[:6] != "markov") == base(t)
+    assert "markov:11:35" in got[9].spans and got[10].spans == ""
+    empty = S.secrets_report(corpus.limit(0)).collect()
+    assert empty == []
+
+
+def test_model_tells_held_out_strings_apart(spark, corpus):
+    ratio = S.train(corpus)
+    rng = random.Random(9)
+    hits = {"random": 0, "plain": 0}
+    for _ in range(300):
+        plain = "-".join("".join(rng.choice(["an", "er", "the", "ti", "on", "ing", "st", "le"]) for _ in range(3)) for _ in range(4))[:40].ljust(20, "e")
+        random_ = "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(28))
+        for k, x in (("plain", plain), ("random", random_)):
+            raw = np.frombuffer(x.encode(), np.uint8)
+            hits[k] += bool(S.markov_spans(raw, np.array([0, len(raw)]), ratio))
+    assert hits["random"] >= 285 and hits["plain"] <= 3
+
+
+def test_texts_side_by_side():
+    raw = [HEX[:20].encode(), HEX[20:].encode() + b"aaaa", b"", HEX.encode() * 2, HEX[:24].encode()]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    at = np.cumsum([0, *map(len, raw)])
+    found = S.base_spans(data, at)
+    assert [len(x) for x in found] == [0, 1, 0, 1, 1]
+    start, end = S.strings(data, at, 24)
+    assert list(zip(start, end)) == [(20, 44), (44, 124), (124, 148)]
+
+
+def test_redaction(spark, corpus):
+    got = {r.doc_id: r for r in S.redacted_documents(corpus).collect()}
+    assert S.redacted_documents(corpus).columns == corpus.columns
+    assert got[0].text == "é [SECRET]\" end" and got[0].n_chars == len(got[0].text) and got[0].spans == "clash"
+    assert got[None].text is None and got[4].text == "" and got[9].text == "unlabelled [SECRET] here"
+    assert got[8].text == "日本 [SECRET] \U0001F600 [SECRET]"
