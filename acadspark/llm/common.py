@@ -162,3 +162,11 @@ def batches(rows: dict, schema) -> Iterator:
 
     if len(next(iter(rows.values()))):
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in rows.values()], names=list(rows)).cast(schema)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)

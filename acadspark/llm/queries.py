@@ -6,6 +6,7 @@ from acadspark.llm import rules
 from acadspark.llm.common import table
 from acadspark.llm.media import media_report
 from acadspark.llm.mixing import mix_report
+from acadspark.llm.ngrams import jaccard_report
 from acadspark.llm.packing import pack_report
 from acadspark.llm.repeats import repeats_report
 from acadspark.llm.secrets import secrets_report
@@ -69,3 +70,8 @@ def op3(spark, sf_dir):
 @query("op9_noisy_or_toxicity")
 def op9(spark, sf_dir):
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_fragment_join")
+def op2(spark, sf_dir):
+    return jaccard_report(table(spark, sf_dir, "documents"))
