@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from acadspark.llm.common import chunks, discard, distinct_texts, lowered, mix, prefix_hash, span_hash, staged, text_keys, utf8, word_bounds
+from acadspark.llm.common import chunks, discard, distinct_texts, lowered, mix, prefix_hash, span_hash, staged, text_keys, utf8, word_bounds, writing
 
 GRAM = 5
 PER_CENT = 80
 FRAGMENTS = 16
+PARITY = 1024
 HEAVY_SHARE = 1 / 16  # of all texts, from which frequent n-grams are told
 HEAVY_TEXTS = 20_000  # or so many texts, if that is more
 HEAVY_LEAST = 8
@@ -73,7 +74,9 @@ def frequent_grams(texts: DataFrame) -> np.ndarray:
 
     counts = some.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY_LEAST)
     top = counts.orderBy(F.desc("n"), "g").limit(HEAVY_MOST).select("g")
-    return np.sort(np.array([r["g"] for r in top.collect()], np.int64).view(np.uint64))  # 1 MB at most
+    with writing(texts.sparkSession):
+        found = top.collect()  # 1 MB at most
+    return np.sort(np.array([r["g"] for r in found], np.int64).view(np.uint64))
 
 
 def prefixes(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
@@ -122,12 +125,37 @@ def segments(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
     return texts.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 int, fragment int, grams array<long>")
 
 
+def parities(texts: DataFrame) -> DataFrame:
+    """(k1, k2, bits): whether the n-grams of a text that fall on each of PARITY bits are odd in number. Two texts differ
+    in at least as many n-grams as in bits, which rules out most pairs without their n-grams."""
+
+    def run(it):
+        for batch in it:
+            data, offsets = utf8(batch.column("text"))
+            rows = []
+            for i, j in chunks(offsets):
+                for s in shingle_sets(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i]):
+                    odd = np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+                    rows.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(rows, pa.list_(pa.int64()))], names=["k1", "k2", "bits"])
+
+    return texts.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 int, bits array<long>")
+
+
 def linked(pairs: DataFrame, texts: DataFrame, heavy: np.ndarray) -> DataFrame:
     """The candidate ``pairs`` (x, y: id and size) that reach the threshold: common n-grams are counted in each fragment
-    on its own and summed per pair."""
+    on its own and summed per pair. Pairs that differ in too many parity bits fall first."""
     pairs = staged(pairs, "pairs")
-    ids = pairs.select(F.col("x.k1"), F.col("x.k2")).union(pairs.select(F.col("y.k1"), F.col("y.k2"))).distinct()
-    parts = staged(segments(texts.join(ids, ["k1", "k2"]), heavy), "segments")
+    both_ids = lambda df: df.select(F.col("x.k1"), F.col("x.k2")).union(df.select(F.col("y.k1"), F.col("y.k2"))).distinct()
+    marks = staged(parities(texts.join(both_ids(pairs), ["k1", "k2"])), "parities")
+    mark = lambda side: marks.select(F.struct("k1", "k2").alias(side), F.col("bits").alias(f"bits_{side}"))
+    keyed = pairs.select("x", "y", *[F.struct(F.col(f"{s}.k1").alias("k1"), F.col(f"{s}.k2").alias("k2")).alias(f"id_{s}") for s in "xy"])
+    unlike = F.aggregate(F.zip_with("bits_id_x", "bits_id_y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
+    close = unlike * (100 + PER_CENT) <= (F.col("x.n") + F.col("y.n")) * (100 - PER_CENT)
+    kept = staged(keyed.join(mark("id_x"), "id_x").join(mark("id_y"), "id_y").filter(close).select("x", "y"), "pairs")
+    discard(pairs, marks)
+    pairs = kept
+    parts = staged(segments(texts.join(both_ids(pairs), ["k1", "k2"]), heavy), "segments")
     xs = parts.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "fragment", F.col("grams").alias("gx"))
     ys = parts.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), "fragment", F.col("grams").alias("gy"))
     flat = pairs.select(F.col("x.k1").alias("a1"), F.col("x.k2").alias("a2"), F.col("y.k1").alias("b1"), F.col("y.k2").alias("b2"), (F.col("x.n") + F.col("y.n")).alias("both"))
