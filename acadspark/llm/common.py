@@ -53,8 +53,10 @@ def text_keys(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text).alias("k1"), F.hash(text).alias("k2")
 
 
-def distinct_texts(docs: DataFrame, name: str) -> DataFrame:
-    """Distinct texts with their number of rows: (k1, k2, copies, text), null counted as empty.
+def distinct_texts(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Table of distinct texts, and its name for ``drop``.
+
+    Distinct texts with their number of rows: (k1, k2, copies, text), null counted as empty.
 
     Copies are combined before the shuffle, so a text that a third of all rows share costs one row per task. The result
     is bucketed by its key in the shared folder: later joins on (k1, k2) move only the other side, never the texts.
@@ -67,7 +69,13 @@ def distinct_texts(docs: DataFrame, name: str) -> DataFrame:
     label, path = f"{name}_{uuid.uuid4().hex[:12]}", stage_dir(spark, name)
     with writing(spark):
         unique.write.bucketBy(partitions(spark), "k1", "k2").option("path", path).saveAsTable(label)
-    return spark.table(label)
+    return spark.table(label), label
+
+
+def drop(texts: DataFrame, label: str) -> None:
+    """Removes a table of ``distinct_texts`` once nothing reads it."""
+    discard(texts)
+    texts.sparkSession.sql(f"DROP TABLE IF EXISTS {label}")
 
 
 def gapless(df: DataFrame, keys: list[str], order: list[str], name: str, slices: int = 1024) -> DataFrame:
@@ -168,5 +176,10 @@ def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     for df in tables:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acadspark.llm.common import staged
+from acadspark.llm.common import discard, staged
 
 ROW = 576
 TILE = 32
@@ -178,4 +178,6 @@ def media_report(docs: DataFrame) -> DataFrame:
         "doc_id", "n_bytes", F.octet_length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
         F.crc32(tail).cast("long").alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws(":", "dhash", F.sha2("tile", 256)).alias("feature"))
-    return staged(report, "report")
+    report = staged(report, "report")
+    discard(stored)
+    return report

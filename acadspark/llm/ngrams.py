@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from acadspark.llm.common import chunks, discard, distinct_texts, lowered, mix, prefix_hash, span_hash, staged, text_keys, utf8, word_bounds, writing
+from acadspark.llm.common import chunks, discard, distinct_texts, drop, lowered, mix, prefix_hash, span_hash, staged, text_keys, utf8, word_bounds, writing
 
 GRAM = 5
 PER_CENT = 80
@@ -204,7 +204,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     more than one group is gone through in full, but only pairs of different groups are candidates. No link between groups
     is missed, and no list, however long, is paired within a group.
     """
-    texts = distinct_texts(docs, "texts")
+    texts, label = distinct_texts(docs, "texts")
     heavy = frequent_grams(texts)
     lists = prefixes(texts, heavy).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("g")))
     shared = staged(lists.filter("pos < 0 or held > 1").drop("held"), "lists")
@@ -232,7 +232,10 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     discard(open_)
     roots = components(first.union(later))
     own = shared.filter("pos < 0").select("k1", "k2", "n", F.struct("k1", "k2").alias("id"))
-    return staged(own.join(roots, "id", "left").select("k1", "k2", "n", "root"), "groups")
+    groups = staged(own.join(roots, "id", "left").select("k1", "k2", "n", "root"), "groups")
+    discard(shared, first, later)
+    drop(texts, label)
+    return groups
 
 
 def jaccard_report(docs: DataFrame) -> DataFrame:
@@ -271,4 +274,4 @@ def unique_documents(docs: DataFrame) -> DataFrame:
     chosen = full.join(staged(kept, "kept"), same & F.col("doc_id").eqNullSafe(F.col("d")))
     one = chosen.groupBy("k1", "k2").agg(F.any_value("row").alias("row")).select("row.*")
     wordless = full.join(staged(empty, "empty"), same, "left_semi").select("row.*")
-    return staged(one.unionByName(wordless), "unique")
+    return one.unionByName(wordless)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acadspark.llm.common import batches, chunks, distinct_texts, mix, partitions, powers, prefix_hash, span_hash, staged, text_keys, utf8
+from acadspark.llm.common import batches, chunks, discard, distinct_texts, drop, mix, partitions, powers, prefix_hash, span_hash, staged, text_keys, utf8
 
 WINDOW = 200
 GRAM = 32
@@ -224,7 +224,9 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     whole = hits.join(kept.filter("occ > 1").select("h", "s"), ["h", "s"], "left_semi").select(
         "k1", "k2", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
     spans = found.unionByName(windows).unionByName(whole)
-    return staged(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    spans = staged(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    discard(seg, hits, kept, pieces)
+    return spans
 
 
 def _strip(it):
@@ -248,23 +250,27 @@ def _strip(it):
         yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(out_spans, schema.field("spans").type), pa.array(out_kept, pa.binary())], schema=schema)
 
 
-def strip_repeats(docs: DataFrame) -> DataFrame:
+def strip_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     """Per distinct text of ``docs``: (k1, k2, spans, kept), the maximal removed spans and the bytes that remain.
 
+    With it come the table of distinct texts that it reads and its name, to ``drop`` when it is written.
+
     Rows are documents: equal rows repeat each other, whatever their doc_id (null included). A null text is an empty one,
     and texts shorter than WINDOW bytes are kept whole. Matches never cross documents. An empty table gives no rows.
     ``text_keys`` of a document's text gives its key; columns other than ``text`` are not read.
     """
-    texts = distinct_texts(docs, "texts")
+    texts, label = distinct_texts(docs, "texts")
     joined = texts.join(repeated_spans(texts), ["k1", "k2"], "left").select("k1", "k2", "text", "spans")
-    return joined.mapInArrow(_strip, "k1 long, k2 int, spans array<struct<a:int,b:int>>, kept binary")
+    return joined.mapInArrow(_strip, "k1 long, k2 int, spans array<struct<a:int,b:int>>, kept binary"), texts, label
 
 
 def repeats_report(docs: DataFrame) -> DataFrame:
     """Digest of ``strip_repeats`` per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    digest = strip_repeats(docs).select(
+    stripped, texts, label = strip_repeats(docs)
+    digest = stripped.select(
         "k1", "k2", F.octet_length("kept").cast("long").alias("n_kept"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
     digest = staged(digest, "digest")
+    drop(texts, label)
     text = F.coalesce(F.col("text"), F.lit(""))
     k1, k2 = text_keys(text)
     rows = docs.select("doc_id", k1, k2, F.octet_length(text).cast("long").alias("n_bytes"))

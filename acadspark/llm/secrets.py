@@ -204,4 +204,4 @@ def redacted_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets replaced; null texts stay null, n_chars is counted anew, other columns are as they were."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     text = F.when(F.col("row")["text"].isNotNull(), F.col("redacted"))
-    return staged(scan(rows, train(docs)).select(*[with_text(docs, c, text, F.col("row")[c]) for c in docs.columns]), "redacted")
+    return scan(rows, train(docs)).select(*[with_text(docs, c, text, F.col("row")[c]) for c in docs.columns])

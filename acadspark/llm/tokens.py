@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from acadspark.llm.common import chunks, staged, utf8
+from acadspark.llm.common import chunks, discard, remove, staged, utf8
 from acadspark.llm.encoding import Encoder, default_path
 from acadspark.session import stage_dir
 
@@ -113,4 +113,7 @@ def tokens_report(docs: DataFrame) -> DataFrame:
     """
     folder, places = write_tokens(docs)
     counted = token_counts(docs.sparkSession, folder, places)
-    return places.join(counted, ["file", "place"]).select("doc_id", F.col("tokens").alias("n_tokens"))
+    report = staged(places.join(counted, ["file", "place"]).select("doc_id", F.col("tokens").alias("n_tokens")), "counts")
+    discard(places)
+    remove(docs.sparkSession, folder)
+    return report
