@@ -572,8 +572,8 @@ _AGENCY = ("coalesce(nullif(regexp_extract(text, '(?i)(nsf|nih|doe|darpa|nasa|on
            "nullif(regexp_extract(text, '(?i)(funded by|supported by|sponsored by)\\s+([^,.]+)', 2), ''), '')")
 
 
-@query("lab_profile", f"""WITH f AS (SELECT doc_id, text, list_distinct({S.all_fields('text', X.MEMBER_PATTERNS)})[1:20] AS members, {S.all_fields('text', X.PROJECT_PATTERNS, 10, 10, 200)} AS projects, {_kw(K.RESEARCH_AREAS)} AS interests,
-    {_EQUIP} AS equipment, {_AGENCY} AS agency, {S.first_field('text', X.RESEARCH_TEXT_PATTERNS, 50, group=0, cut=1000)} AS descr FROM documents),
+@query("lab_profile", f"""WITH f AS (SELECT doc_id, text, list_distinct({S.all_fields('text', X.MEMBER_PATTERNS)}) AS members, {S.all_fields('text', X.PROJECT_PATTERNS, 10)} AS projects, {_kw(K.RESEARCH_AREAS)} AS interests,
+    {_EQUIP} AS equipment, {_AGENCY} AS agency, {S.first_field('text', X.RESEARCH_TEXT_PATTERNS, 50, group=0)} AS descr FROM documents),
 g AS (SELECT *, lower(array_to_string(list_concat(projects, interests), ' ')) AS topics, lower(array_to_string(equipment, ' ')) AS tools, lower(array_to_string(members, ' ')) AS who, CASE WHEN agency <> '' THEN 1 ELSE 0 END AS nf FROM f)
 SELECT doc_id, CASE WHEN len(members) > 20 THEN 'large' WHEN len(members) > 10 THEN 'medium' WHEN len(members) > 3 THEN 'small' ELSE 'minimal' END AS size_class, coalesce({S.rx('who', Z.HIERARCHY_WORDS)}, FALSE) AS has_hierarchy,
   coalesce(array_to_string({_groups('topics', Z.THEME_WORDS)}, '|'), '') AS themes, least(len({_groups('topics', Z.THEME_WORDS)}) / CAST(5 AS DOUBLE), CAST(1 AS DOUBLE)) AS interdisciplinary, nf / CAST(4 AS DOUBLE) AS funding_diversity,

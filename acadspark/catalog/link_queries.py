@@ -321,16 +321,15 @@ def _(spark, sf):
 
 # candidates of every person: ranked forms, classed, with a fetch outcome derived from the URL
 RANKED = f"""{CANDS},
-top10 AS (SELECT obs_id, url, source, pct AS prior_pct FROM (
-  SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY pct DESC, url, source) AS rn FROM found) r WHERE rn <= 10),
+prior AS (SELECT obs_id, url, source, pct AS prior_pct FROM found),
 scored AS (SELECT *, least(100, prior_pct + pct + 20 + CASE WHEN link_type IN ({', '.join(S.q(t) for t in C.ACADEMIC_TYPES)}) THEN 30 ELSE 0 END) AS total_pct FROM (
-  SELECT *, {S.link_type('url')} AS link_type, {S.link_pct('url')} AS pct, substr(md5(url), 1, 1) < '8' AS is_accessible FROM top10) t),
+  SELECT *, {S.link_type('url')} AS link_type, {S.link_pct('url')} AS pct, substr(md5(url), 1, 1) < '8' AS is_accessible FROM prior) t),
 best3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY total_pct DESC, url) AS rnk FROM scored
   WHERE is_accessible AND link_type <> 'social_media' AND total_pct > 40) b WHERE rnk <= 3)"""
 
 
 def scored(spark, sf):
-    rows = C.url_candidates(obs(spark, sf), ("obs_id",), top=10).withColumnRenamed("pct", "prior_pct")
+    rows = C.url_candidates(obs(spark, sf), ("obs_id",)).withColumnRenamed("pct", "prior_pct")
     fetched = L.categorize_url(rows, "url").withColumn("is_accessible", F.substring(F.md5("url"), 1, 1) < "8")
     return C.candidate_confidence(fetched)
 

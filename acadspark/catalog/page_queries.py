@@ -153,12 +153,12 @@ def _(spark, sf):
 
 
 _SECT = " UNION ALL ".join(
-    f"SELECT page_id, '{w}' AS keyword, unnest(l) AS content, unnest(range(len(l))) AS n FROM (SELECT page_id, list_filter(ps, lambda p: contains(lower(p), '{w}'))[1:5] AS l FROM ps) z"
+    f"SELECT page_id, '{w}' AS keyword, unnest(l) AS content, unnest(range(len(l))) AS n FROM (SELECT page_id, list_filter(ps, lambda p: contains(lower(p), '{w}')) AS l FROM ps) z"
     for w in G.RESEARCH_WORDS)
 
 
 @query("research_sections", f"""WITH {bodies('profile_pages')}, ps AS (SELECT page_id, {_PARAS} AS ps FROM b)
-SELECT page_id, keyword, CAST(n AS BIGINT) AS n, substr(content, 1, 1000) AS content FROM ({_SECT}) s WHERE length(content) > 50""")
+SELECT page_id, keyword, CAST(n AS BIGINT) AS n, content FROM ({_SECT}) s WHERE length(content) > 50""")
 def _(spark, sf):
     return G.research_sections(profiles(spark, sf))
 
@@ -277,7 +277,7 @@ def _(spark, sf):
 
 
 @query("page_external", f"""WITH {anchors()}, d AS (SELECT DISTINCT page_id, href FROM anchors WHERE starts_with(href, 'http') AND {S.authority('href')} <> {S.authority('page_url')})
-SELECT page_id, href FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY href) AS rn FROM d) r WHERE rn <= 20""")
+SELECT page_id, href FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY href) AS rn FROM d) r""")
 def _(spark, sf):
     return G.page_external(profiles(spark, sf))
 
@@ -321,13 +321,13 @@ def _(spark, sf):
 a AS (SELECT page_id, url, trim(regexp_extract(t, {q(G.ANCHOR)}, 1)) AS href, {inner(f"regexp_extract(t, {q(G.ANCHOR)}, 2)")} AS text FROM (SELECT page_id, url, unnest(regexp_extract_all(nav, {q(G.ANCHOR)})) AS t FROM n) z),
 d AS (SELECT DISTINCT page_id, regexp_replace(href, '^/+|/+$', '', 'g') AS directory FROM a WHERE href <> '' AND regexp_matches(lower(text), 'faculty|people|staff|directory|academics')
   AND (starts_with(href, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) OR NOT starts_with(href, 'http')))
-SELECT page_id, directory FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY directory) AS rn FROM d WHERE directory <> '') r WHERE rn <= 10""")
+SELECT page_id, directory FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY directory) AS rn FROM d WHERE directory <> '') r""")
 def _(spark, sf):
     return G.nav_directories(profiles(spark, sf))
 
 
 @query("search_result_links", f"""WITH {anchors()}, f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM anchors WHERE starts_with(href, 'http') AND NOT contains(href, 'duckduckgo.com') AND length(text) > 7)
-SELECT page_id, rank, href AS url, substr(text, 1, 100) AS title, substr(text, 1, 200) AS snippet FROM f WHERE rank <= 5""")
+SELECT page_id, rank, href AS url, text AS title, text AS snippet FROM f""")
 def _(spark, sf):
     # anchor texts of the test pages are short
     return G.search_result_links(profiles(spark, sf), min_text=7)
@@ -369,7 +369,7 @@ def _(spark, sf):
 
 
 @query("paginate_sources", f"""WITH {anchors('listing_pages')}, f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS n FROM anchors WHERE contains(href, 'page')),
-t AS (SELECT page_id, n, {resolved()} AS target_url, page_url FROM f WHERE n < 5)
+t AS (SELECT page_id, n, {resolved()} AS target_url, page_url FROM f)
 SELECT t.page_id, CAST(t.n AS BIGINT) AS n, t.target_url, p.page_id AS target_page FROM t JOIN listing_pages p ON t.target_url = p.url WHERE t.target_url <> t.page_url""")
 def _(spark, sf):
     return G.paginate_sources(view(spark, sf, "listing_pages"))

@@ -274,16 +274,10 @@ def _(spark, sf):
 
 # ---- learning ----
 
-_MODELS: dict[tuple[str, str], object] = {}
-
-
 def classifier(spark, sf):
-    """Model trained once per session and input folder."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _MODELS:
-        train, _ = Y.split_examples(examples(spark, sf).select("text", "label"))
-        _MODELS[key] = Y.train_text_classifier(train)
-    return _MODELS[key]
+    """Model trained on the given labels; every query that needs one trains it."""
+    train, _ = Y.split_examples(examples(spark, sf).select("text", "label"))
+    return Y.train_text_classifier(train)
 
 
 @query("train_text_classifier")
@@ -338,7 +332,7 @@ def _(spark, sf):
 
 
 DETAILS = f"""d AS (SELECT t.page_id, '' AS bio, array_to_string((list_filter(list_transform(regexp_split_to_array(concat_ws(' | ', nullif(o.research_interests, ''), o.department), '[,;|\n]'), lambda x: trim(x)),
-    lambda x: length(x) BETWEEN 4 AND 99))[1:10], '|') AS interests, CASE WHEN o.lab_name = 'Center for Data Science' THEN 'Visit our Center for Data Science & partners.' ELSE '' END AS affiliations,
+    lambda x: length(x) BETWEEN 4 AND 99)), '|') AS interests, CASE WHEN o.lab_name = 'Center for Data Science' THEN 'Visit our Center for Data Science & partners.' ELSE '' END AS affiliations,
     {S.first_field('text', X.OFFICE_PATTERNS, 3, 100)} AS office, ({S.phones('text')})[1] AS phone, ({S.emails('text')})[1] AS email, {S.first_field('text', X.LAB_NAME_PATTERNS, 5)} AS lab_name
   FROM (SELECT page_id, {inner('body')} AS text FROM b) t JOIN observations o ON t.page_id = o.obs_id)"""
 
@@ -448,7 +442,7 @@ TYPED = f"""t AS (SELECT page_id, nullif(trim(regexp_extract(body, '(?is)<title[
 j AS (SELECT t.page_id, t.title, t.descr, t.text, o.name, o.university, lower(coalesce(o.research_interests, '')) AS ri, CASE o.obs_id % 5 WHEN 0 THEN 'google_scholar' WHEN 1 THEN 'lab_website' WHEN 2 THEN 'university_profile' WHEN 3 THEN 'academic_profile' ELSE 'social_media' END AS link_type,
     {_kw(K.RESEARCH_AREAS)} AS areas, cited, h FROM t JOIN observations o ON t.page_id = o.obs_id),
 k AS (SELECT *, CASE WHEN link_type = 'google_scholar' THEN CAST(nullif(cited, '') AS BIGINT) END AS citation_count, CASE WHEN link_type = 'google_scholar' THEN CAST(nullif(h, '') AS BIGINT) END AS h_index,
-    CASE WHEN link_type = 'lab_website' THEN len({S.all_fields('text', X.PROJECT_PATTERNS, 10, 10, 200)}) ELSE 0 END AS n_projects, CASE WHEN link_type = 'lab_website' THEN len({S.all_fields('text', X.MEMBER_PATTERNS, 0, 20)}) ELSE 0 END AS n_members
+    CASE WHEN link_type = 'lab_website' THEN len({S.all_fields('text', X.PROJECT_PATTERNS, 10)}) ELSE 0 END AS n_projects, CASE WHEN link_type = 'lab_website' THEN len({S.all_fields('text', X.MEMBER_PATTERNS)}) ELSE 0 END AS n_members
   FROM j WHERE link_type <> 'social_media'),
 s AS (SELECT *, least(100, CASE WHEN title <> '' THEN 10 ELSE 0 END + CASE WHEN descr <> '' THEN 10 ELSE 0 END + least(5 * len(areas), 30) + least(2 * n_members, 10) + least(3 * n_projects, 15)
       + CASE WHEN citation_count IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN h_index IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN length(text) > 1000 THEN 10 ELSE 0 END + CASE WHEN length(text) > 5000 THEN 10 ELSE 0 END) AS qp,
@@ -485,8 +479,8 @@ def _themes(text):
 
 LAB_ANALYSIS = f"""t AS (SELECT page_id, nullif(trim(regexp_extract(body, '(?is)<title[^>]*>([^<]+)</title>', 1)), '') AS title, {inner('body')} AS text FROM b),
 f AS (SELECT page_id, coalesce(CASE WHEN regexp_matches(lower(title), 'lab|laboratory|center|institute') THEN title END, {S.first_field('text', X.LAB_NAME_PATTERNS, 5)}) AS lab_name,
-  CASE {' '.join(f"WHEN {S.rx('lower(text)', w)} THEN '{n}'" for n, w in K.LAB_TYPE_WORDS)} ELSE 'research' END AS lab_type, list_distinct({S.all_fields('text', X.MEMBER_PATTERNS)})[1:20] AS members,
-  {S.all_fields('text', X.PROJECT_PATTERNS, 10, 10, 200)} AS projects, {_kw(K.RESEARCH_AREAS)} AS areas, {_EQUIP} AS equipment, {S.first_field('text', X.RESEARCH_TEXT_PATTERNS, 50, group=0, cut=1000)} AS descr FROM t),
+  CASE {' '.join(f"WHEN {S.rx('lower(text)', w)} THEN '{n}'" for n, w in K.LAB_TYPE_WORDS)} ELSE 'research' END AS lab_type, list_distinct({S.all_fields('text', X.MEMBER_PATTERNS)}) AS members,
+  {S.all_fields('text', X.PROJECT_PATTERNS, 10)} AS projects, {_kw(K.RESEARCH_AREAS)} AS areas, {_EQUIP} AS equipment, {S.first_field('text', X.RESEARCH_TEXT_PATTERNS, 50, group=0)} AS descr FROM t),
 lab_analysis AS (SELECT page_id, lab_name, lab_type, CASE WHEN len(members) > 20 THEN 'large' WHEN len(members) > 10 THEN 'medium' WHEN len(members) > 3 THEN 'small' ELSE 'minimal' END AS size_class,
   coalesce({S.rx("lower(array_to_string(members, ' '))", Z.HIERARCHY_WORDS)}, FALSE) AS has_hierarchy, coalesce(array_to_string({_themes('topics')}, '|'), '') AS themes, least(len({_themes('topics')}) / CAST(5 AS DOUBLE), CAST(1 AS DOUBLE)) AS interdisciplinary,
   CAST(25 * (CASE WHEN len(projects) > 0 THEN 1 ELSE 0 END + CASE WHEN len(members) > 0 THEN 1 ELSE 0 END + CASE WHEN len(equipment) > 0 THEN 1 ELSE 0 END) AS DOUBLE) / 100 AS richness,

@@ -171,9 +171,9 @@ def _sql_program_department(col):
 
 
 @query("program_fields", f"""
-SELECT doc_id, coalesce({S.first_field('text', X.DESCRIPTION_PATTERNS, 20, group=0, cut=500)}, substr(({_PARAS})[1], 1, 500), '') AS description,
+SELECT doc_id, coalesce({S.first_field('text', X.DESCRIPTION_PATTERNS, 20, group=0)}, ({_PARAS})[1], '') AS description,
   {S.joined(_sql_degree('text'))} AS degrees,
-  len(list_distinct(list_filter(list_transform(flatten(list_transform({_SPECS}, lambda s: regexp_split_to_array({S.clean('s')}, '[,;]|\\sand\\s'))), lambda x: trim(x)), lambda x: length(x) > 3))[1:10]) AS n_specializations,
+  len(list_distinct(list_filter(list_transform(flatten(list_transform({_SPECS}, lambda s: regexp_split_to_array({S.clean('s')}, '[,;]|\\sand\\s'))), lambda x: trim(x)), lambda x: length(x) > 3))) AS n_specializations,
   {_sql_program_department('substr(text, 1, 80)')} AS department
 FROM documents""")
 def _(spark, sf):
@@ -206,18 +206,18 @@ def _kw(words, col="text"):
     return "list_filter([" + ", ".join(f"CASE WHEN contains(lower({col}), {S.q(w.lower())}) THEN {S.q(w)} END" for w in words) + "], lambda x: x IS NOT NULL)"
 
 
-_EQUIP = f"list_sort(list_distinct(flatten([{_kw(K.EQUIPMENT_WORDS)}, {S.all_fields('text', X.EQUIPMENT_PATTERNS, 3)}, {S.named_before('text', 'system|equipment|device|instrument', 3)}])))[1:15]"
+_EQUIP = f"list_sort(list_distinct(flatten([{_kw(K.EQUIPMENT_WORDS)}, {S.all_fields('text', X.EQUIPMENT_PATTERNS, 3)}, {S.named_before('text', 'system|equipment|device|instrument', 3)}])))"
 
 
 @query("lab_text_fields", f"""
 SELECT doc_id, {S.joined(f"list_sort(list_distinct({S.all_fields('text', X.MEMBER_PATTERNS)}))")} AS members,
-  {S.first_field('text', X.RESEARCH_TEXT_PATTERNS, 50, group=0, cut=1000)} AS description,
-  {S.joined(S.all_fields('text', X.PROJECT_PATTERNS, 10, 10, 200))} AS projects, {S.joined(_EQUIP)} AS equipment,
-  {S.joined(S.all_fields('text', X.FACILITY_PATTERNS, 3, 10))} AS facilities,
-  {S.joined(f"flatten([{S.all_fields('text', X.DATASET_PATTERNS, 5)}, {S.named_before('text', 'dataset|database|corpus', 5)}])[1:10]")} AS datasets,
+  {S.first_field('text', X.RESEARCH_TEXT_PATTERNS, 50, group=0)} AS description,
+  {S.joined(S.all_fields('text', X.PROJECT_PATTERNS, 10))} AS projects, {S.joined(_EQUIP)} AS equipment,
+  {S.joined(S.all_fields('text', X.FACILITY_PATTERNS, 3))} AS facilities,
+  {S.joined(f"flatten([{S.all_fields('text', X.DATASET_PATTERNS, 5)}, {S.named_before('text', 'dataset|database|corpus', 5)}])")} AS datasets,
   {S.joined(f"list_sort({_kw(K.SOFTWARE_WORDS)})")} AS software,
-  {S.joined(S.all_fields('text', X.OPPORTUNITY_PATTERNS, 10, 5))} AS opportunities,
-  {S.first_field('text', X.COLLABORATION_PATTERNS, 20, group=0, cut=300)} AS collaboration
+  {S.joined(S.all_fields('text', X.OPPORTUNITY_PATTERNS, 10))} AS opportunities,
+  {S.first_field('text', X.COLLABORATION_PATTERNS, 20, group=0)} AS collaboration
 FROM documents""")
 def _(spark, sf):
     got = docs(spark, sf).select("doc_id", X.lab_fields(F.col("text")).alias("f"))

@@ -9,10 +9,10 @@ VOID = {"area", "base", "br", "col", "hr", "img", "input", "link", "meta", "sour
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "up")
+    __slots__ = ("tag", "attrs", "kids", "up", "joined", "named")
 
     def __init__(self, tag, attrs=(), up=None):
-        self.tag, self.attrs, self.kids, self.up = tag, {k: v or "" for k, v in attrs}, [], up
+        self.tag, self.attrs, self.kids, self.up, self.joined, self.named = tag, {k: v or "" for k, v in attrs}, [], up, {}, None
 
     def walk(self):
         stack = list(reversed(self.kids))
@@ -26,11 +26,16 @@ class Node:
         return [n for n in self.walk() if isinstance(n, Node) and n.tag in tags]
 
     def text(self, sep=" "):
-        parts = [n.strip() for n in self.walk() if isinstance(n, str)]
-        return re.sub(r"\s+", " ", sep.join(p for p in parts if p)).strip()
+        """Text of the whole element; kept, as the tree does not change once a page is read."""
+        if sep not in self.joined:
+            parts = [n.strip() for n in self.walk() if isinstance(n, str)]
+            self.joined[sep] = re.sub(r"\s+", " ", sep.join(p for p in parts if p)).strip()
+        return self.joined[sep]
 
     def classes(self):
-        return self.attrs.get("class", "").lower().split()
+        if self.named is None:
+            self.named = self.attrs.get("class", "").lower().split()
+        return self.named
 
 
 class _Builder(HTMLParser):

@@ -22,6 +22,11 @@ def let(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: fn(v)), 1)
 
 
+def head(items: Column, n: int | None) -> Column:
+    """The first ``n`` items of an array, or all of them without a number."""
+    return F.slice(items, 1, n) if n else items
+
+
 def side_by_side(*one_row: DataFrame) -> DataFrame:
     """One-row tables next to each other: stacked with nulls, then folded into one row by an aggregate."""
     out = one_row[0]
@@ -31,10 +36,9 @@ def side_by_side(*one_row: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin over all cores when the input has fewer partitions than there are cores.
+    """Round-robin over as many tasks as the session's setting ``spark.acadspark.scan.tasks`` asks for; unset, as it is read.
 
-    Small inputs of one or two row groups would otherwise keep one core busy. Large inputs have many more splits than
-    cores and are left alone, so no shuffle is added there.
+    For local runs on files of a single row group, which no reader can split. A cluster leaves it unset.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    tasks = df.sparkSession.conf.get("spark.acadspark.scan.tasks", None)
+    return df.repartition(int(tasks)) if tasks else df

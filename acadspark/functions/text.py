@@ -237,22 +237,22 @@ def interests(col: Column) -> Column:
 
 
 def specializations(col: Column) -> Column:
-    """Specialisation names, at most ten, each more than three characters long."""
+    """Distinct specialisation names of more than three characters."""
     text = F.coalesce(col, F.lit(""))
     got = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in SPECIALIZATION_PATTERNS])
     parts = F.flatten(F.transform(got, lambda x: F.split(clean_text(x), r"[,;]|\sand\s")))
     named = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) > 3)
-    return F.slice(F.array_distinct(named), 1, 10)
+    return F.array_distinct(named)
 
 
 def program_description(col: Column) -> Column:
     """Labelled description of more than 20 characters, else the first long enough paragraph."""
-    labelled = first_field(col, DESCRIPTION_PATTERNS, min_len=20, group=0, cut=500)
+    labelled = first_field(col, DESCRIPTION_PATTERNS, min_len=20, group=0)
     paragraphs = F.filter(
         F.transform(F.split(F.coalesce(col, F.lit("")), "\n"), clean_text),
         lambda p: (F.length(p) > 50) & ~contains_any(F.lower(p), ("menu", "navigation", "cookie", "copyright")),
     )
-    return F.coalesce(labelled, F.substring(F.get(paragraphs, F.lit(0)), 1, 500), F.lit(""))
+    return F.coalesce(labelled, F.get(paragraphs, F.lit(0)), F.lit(""))
 
 
 def degree_types(col: Column) -> Column:
@@ -287,15 +287,15 @@ def lab_fields(col: Column) -> Column:
     devices = named_before(col, "system|equipment|device|instrument", 3)
     corpora = named_before(col, "dataset|database|corpus", 5)
     return F.struct(
-        F.slice(F.array_distinct(all_fields(col, MEMBER_PATTERNS, 0)), 1, 20).alias("members"),
-        first_field(col, RESEARCH_TEXT_PATTERNS, min_len=50, group=0, cut=1000).alias("description"),
-        all_fields(col, PROJECT_PATTERNS, 10, cap=10, cut=200).alias("projects"),
-        F.slice(F.array_sort(F.array_distinct(F.concat(keyed, named, devices))), 1, 15).alias("equipment"),
-        all_fields(col, FACILITY_PATTERNS, 3, cap=10).alias("facilities"),
-        F.slice(F.concat(all_fields(col, DATASET_PATTERNS, 5), corpora), 1, 10).alias("datasets"),
+        F.array_distinct(all_fields(col, MEMBER_PATTERNS, 0)).alias("members"),
+        first_field(col, RESEARCH_TEXT_PATTERNS, min_len=50, group=0).alias("description"),
+        all_fields(col, PROJECT_PATTERNS, 10).alias("projects"),
+        F.array_sort(F.array_distinct(F.concat(keyed, named, devices))).alias("equipment"),
+        all_fields(col, FACILITY_PATTERNS, 3).alias("facilities"),
+        F.concat(all_fields(col, DATASET_PATTERNS, 5), corpora).alias("datasets"),
         F.array_sort(list_containing(col, K.SOFTWARE_WORDS)).alias("software"),
-        all_fields(col, OPPORTUNITY_PATTERNS, 10, cap=5).alias("opportunities"),
-        first_field(col, COLLABORATION_PATTERNS, min_len=20, group=0, cut=300).alias("collaboration"),
+        all_fields(col, OPPORTUNITY_PATTERNS, 10).alias("opportunities"),
+        first_field(col, COLLABORATION_PATTERNS, min_len=20, group=0).alias("collaboration"),
     )
 
 

@@ -78,18 +78,26 @@ def connected_groups(nodes: DataFrame, node: str, hubs: tuple[str, ...]) -> Data
 def resolve_person(obs: DataFrame) -> DataFrame:
     """Observations with ``entity``: same name key and same e-mail or same university, followed transitively.
 
-    Observations are first reduced to distinct (name, e-mail, university) nodes.
+    Observations are first reduced to distinct (name, e-mail, university) nodes. An unknown university matches nothing,
+    and rows without a name are left out: ``nameless`` lists them as issues.
     """
-    keyed = obs.withColumns({"name_key": N.person_key(F.col("name")), "uni_key": N.institution_key(F.col("university")), "mail": F.lower(_filled("email"))})
+    keyed = obs.withColumns({"name_key": N.person_key(F.col("name")), "uni_key": F.coalesce(N.institution_key(F.col("university")), F.lit("")), "mail": F.lower(_filled("email"))})
+    keyed = keyed.filter(F.coalesce("name_key", F.lit("")) != "")
     nodes = cut_lineage(keyed.groupBy("name_key", "uni_key", "mail").agg(F.min("obs_id").alias("node")))
     hubs = nodes.withColumns({
-        "by_mail": F.when(F.col("mail").isNotNull(), F.concat_ws("|", "name_key", "mail")), "by_uni": F.concat_ws("|", "name_key", "uni_key")})
+        "by_mail": F.when(F.col("mail").isNotNull(), F.concat_ws("|", "name_key", "mail")), "by_uni": F.when(F.col("uni_key") != "", F.concat_ws("|", "name_key", "uni_key"))})
     roots = connected_groups(hubs, "node", ("by_mail", "by_uni"))
     entity = nodes.join(roots, "node").select(F.col("name_key").alias("_n"), F.col("uni_key").alias("_u"), F.col("mail").alias("_m"), F.col("root").alias("entity"))
     same = (F.col("name_key") == F.col("_n")) & (F.col("uni_key") == F.col("_u")) & F.col("mail").eqNullSafe(F.col("_m"))
     return keyed.join(entity, same).select(*obs.columns, "name_key", "entity")
 
 
+def nameless(obs: DataFrame) -> DataFrame:
+    """Issue rows of observations that cannot become a person: obs_id, issue."""
+    key = F.coalesce(N.person_key(F.col("name")), F.lit(""))
+    return obs.filter(key == "").select("obs_id", F.lit("missing name").alias("issue"))
+
+
 def resolve_lab(obs: DataFrame) -> DataFrame:
     """Distinct (lab name key, web site) nodes with ``lab_entity``: same name key or same site, transitively."""
     labs = obs.select(F.when(_filled("lab_name").isNotNull(), N.institution_key(F.col("lab_name"))).alias("lab_key"), _filled("lab_website").alias("site"), "obs_id")
@@ -103,21 +111,23 @@ def six_places(col: Column) -> Column:
     return F.floor(col * 1_000_000 + 0.001) / F.lit(1_000_000.0)
 
 
-def fold_confidence(rows: DataFrame, key: str, first: float = 0.8, later: float = 0.5, tail: int = 64) -> DataFrame:
+def fold_confidence(rows: DataFrame, key: str, first: float = 0.8, later: float = 0.5) -> DataFrame:
     """Ordered fold c = (c + new) / 2 per key, starting from the first value. Returns (key, n_merged, confidence).
 
-    Unrolled, the last value weighs 1/2, the one before 1/4 and so on, so a value more than ``tail`` steps back weighs
-    less than 2^-64, which no double near one can hold. Only the latest ``tail`` rows per key are therefore ranked
-    (the rank limit applies per task before the shuffle) and the result equals the full fold.
+    Unrolled, the last value weighs 1/2, the one before 1/4 and so on, the first one twice its share. The fold of a day is
+    the map c -> c / 2^m + offset; the maps of a key's days are joined in order, the later days shifting the earlier. No
+    row is left out, and a key with a large share of all rows is split by day.
     """
-    w = W.partitionBy(key).orderBy(*[F.desc(c) for c in ORDER])
-    last = rows.select(key, *ORDER, "confidence_score").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= tail)
-    last = last.withColumn("back", F.col("rn") - 1)
-    n = rows.groupBy(key).agg(F.count("*").alias("n_merged"))
-    is_first = F.col("back") == F.col("n_merged") - 1
-    value = F.coalesce("confidence_score", F.when(is_first, first).otherwise(later))
-    weight = F.when(is_first, F.pow(F.lit(0.5), F.col("back"))).otherwise(F.pow(F.lit(0.5), F.col("back") + 1))
-    return last.join(n, key).groupBy(key).agg(F.first("n_merged").alias("n_merged"), F.sum(value * weight).alias("confidence"))
+    ordered = rows.select(key, *ORDER, "confidence_score", F.to_date("scraped_at").alias("day"))
+    place = F.row_number().over(W.partitionBy(key, "day").orderBy(*[F.desc(c) for c in ORDER]))
+    half = lambda n: F.pow(F.lit(0.5), n)
+    days = ordered.withColumn("place", place).groupBy(key, "day").agg(
+        F.count("*").alias("m"), F.sum(F.coalesce("confidence_score", F.lit(later)) * half(F.col("place"))).alias("offset"))
+    after = F.coalesce(F.sum("m").over(W.partitionBy(key).orderBy(F.desc("day")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    joined = days.withColumn("after", after).groupBy(key).agg(F.sum("m").alias("n_merged"), F.sum(F.col("offset") * half(F.col("after"))).alias("c"))
+    start = ordered.groupBy(key).agg(F.min_by(F.struct("confidence_score"), F.struct(*ORDER)).alias("s"))
+    extra = 2 * F.coalesce("s.confidence_score", F.lit(first)) - F.coalesce("s.confidence_score", F.lit(later))
+    return joined.join(start, key).select(key, "n_merged", (F.col("c") + extra * half(F.col("n_merged"))).alias("confidence"))
 
 
 def merge_people(resolved: DataFrame, key: str = "entity") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from acadspark.functions import names as N
 from acadspark.functions import text as X
+from acadspark.functions.constants import LAB_WORD
 from acadspark.functions.dom import Node, parse
 from acadspark.operators.predicates import listing_name_ok, person_name_like
 
@@ -25,8 +26,9 @@ ITEM_SELECTORS = (
 NAV_TEXT = re.compile("home|about|contact|menu|navigation|sidebar|undergraduate program|graduate program|admissions")
 SKIP_TEXTS = {"more", "details", "info", "read more", "cv", "website"}
 TITLE_TEXT = re.compile("professor|chair|lecturer|dean|director|fellow|associate|assistant")
+NAMES_LAB = re.compile(LAB_WORD)
 OWN_LINK = re.compile(r"\.edu|\.ac\.|scholar\.google|researchgate|orcid")
-MAX_ITEMS = 150
+PAGES = 100
 SECTION_TEXT = {
     "members": re.compile("faculty|staff|investigators|researchers|postdocs|students|alumni|team|members|people|personnel", re.I),
     "projects": re.compile("current projects|ongoing research|research areas|active grants", re.I),
@@ -43,7 +45,7 @@ def _items(root: Node) -> list[Node]:
     for tag, cls in ITEM_SELECTORS:
         hit = [n for n in nodes if _matches(n, tag, cls)]
         if len(hit) > 2:
-            return hit[:MAX_ITEMS]
+            return hit
     out = []
     for n in nodes:
         if n.tag in ("div", "li", "tr"):
@@ -51,7 +53,7 @@ def _items(root: Node) -> list[Node]:
             t = n.text()
             if links and len(links) < 5 and 20 < len(t) < 1000 and not NAV_TEXT.search(t.lower()):
                 out.append(n)
-    return out[:MAX_ITEMS]
+    return out
 
 
 def _person(item: Node) -> dict | None:
@@ -78,8 +80,11 @@ def extract_with(pages: DataFrame, extract: Callable[[str, str], Iterator[dict]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [{**{k: r[k] for k in keep}, **row} for r in pdf.to_dict("records") for row in extract(r["html"], r["url"])]
-            yield pd.DataFrame(rows, columns=[*keep, *names])
+            for at in range(0, len(pdf), PAGES):  # rows of few pages are held at a time, whatever the size of the batch
+                part = pdf.iloc[at: at + PAGES].to_dict("records")
+                rows = [{**{k: r[k] for k in keep}, **row} for r in part for row in extract(r["html"], r["url"])]
+                if rows:
+                    yield pd.DataFrame(rows, columns=[*keep, *names])
 
     return kept.mapInPandas(run, f"{types}, {schema}")
 
@@ -163,9 +168,9 @@ def _detail_rows(html: str, url: str) -> Iterator[dict]:
     bio = bio or next((p for p in paras if len(p) > 100 and re.search("research|professor|study|work", p.lower())), "")
     pubs = [li.text() for li in root.find("li") if len(li.text()) > 20]
     yield {
-        "bio": bio[:1000], "interests_text": after("research.?interest|expertise|specialization", ("ul", "ol", "p", "div")),
-        "education": after("education|degree", ("ul", "ol", "p", "div")), "publications_text": " | ".join(pubs[:5]), "page_text": root.text(),
-        "affiliations_text": " | ".join(t for t in (n.text() for n in nodes if n.tag in ("p", "li", "h2", "h3")) if re.search("department|school|college|institute|center", t, re.I) and len(t) < 200),
+        "bio": bio, "interests_text": after("research.?interest|expertise|specialization", ("ul", "ol", "p", "div")),
+        "education": after("education|degree", ("ul", "ol", "p", "div")), "publications_text": " | ".join(pubs), "page_text": root.text(),
+        "affiliations_text": " | ".join(t for t in (n.text() for n in nodes if n.tag in ("p", "li", "h2", "h3")) if re.search("department|school|college|institute|center", t, re.I)),
     }
 
 
@@ -176,7 +181,7 @@ def profile_details(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> D
     t = F.col("page_text")
     split = F.filter(F.transform(F.split("interests_text", r"[,;|\n]"), lambda x: F.trim(x)), lambda x: F.length(x).between(4, 99))
     return d.select(
-        *keep, "bio", F.slice(split, 1, 10).alias("interests"), "education", F.filter(F.split("publications_text", r" \| "), lambda x: x != "").alias("publications"),
+        *keep, "bio", split.alias("interests"), "education", F.filter(F.split("publications_text", r" \| "), lambda x: x != "").alias("publications"),
         F.filter(F.split("affiliations_text", r" \| "), lambda x: x != "").alias("affiliations"),
         X.first_field(t, X.OFFICE_PATTERNS, 3, 100).alias("office"), F.get(X.phones(t), F.lit(0)).alias("phone"), F.get(X.emails(t), F.lit(0)).alias("email"),
         X.first_field(t, X.PRONOUN_PATTERNS).alias("pronouns"), X.first_field(t, X.LAB_NAME_PATTERNS, 5).alias("lab_name"))
@@ -184,23 +189,46 @@ def profile_details(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> D
 
 def _context_rows(html: str, url: str) -> Iterator[dict]:
     for pos, a in enumerate(n for n in parse(html).find("a") if n.attrs.get("href")):
-        yield {"pos": pos, "href": a.attrs["href"].strip(), "text": a.text(), "context": (a.up.text() if a.up else "")[:200]}
+        yield {"pos": pos, "href": a.attrs["href"].strip(), "text": a.text(), "context": a.up.text() if a.up else ""}
 
 
 def link_context(pages: DataFrame) -> DataFrame:
-    """Anchors with up to 200 characters of their parent's text."""
+    """Anchors with their parent's text."""
     return extract_with(pages, _context_rows, "pos bigint, href string, text string, context string")
 
 
+def _nearby_rows(html: str, url: str) -> Iterator[dict]:
+    """Links of the containers around a text that names a lab: the text's own element and the two above it."""
+    root = parse(html)
+    place = {id(a): pos for pos, a in enumerate(root.find("a"))}
+    links: dict[int, list[Node]] = {}
+    for text in [(n, s) for n in (root, *root.walk()) if isinstance(n, Node) for s in n.kids if isinstance(s, str)]:
+        around, context = text[0], re.sub(r"\s+", " ", text[1]).strip()
+        if len(context) < 10 or not NAMES_LAB.search(context.lower()):
+            continue
+        seen: set[int] = set()
+        for _ in range(3):
+            if around is None:
+                break
+            if id(around) not in links:
+                own = [around] if around.tag == "a" else []
+                links[id(around)] = [a for a in (*own, *around.find("a")) if a.attrs.get("href")]
+            for a in links[id(around)]:
+                if id(a) not in seen:
+                    seen.add(id(a))
+                    yield {"pos": place[id(a)], "href": a.attrs["href"].strip(), "text": a.text(), "context": context}
+            around = around.up
+
+
 def nearby_lab_links(pages: DataFrame, min_points: int = 30) -> DataFrame:
     """Links near text that names a lab, scored with their context: best one per page and target."""
     from acadspark.functions import constants as K
     from acadspark.functions import scores as Z
     from acadspark.functions import urls as U
 
-    rows = extract_with(pages, _context_rows, "pos bigint, href string, text string, context string", ("page_id", "url")).withColumnRenamed("url", "page_url")
-    ok = rows.filter((F.col("href") != "") & ~F.lower("href").rlike(K.EXCLUDED_LINK) & F.lower("context").rlike(K.LAB_WORD) & (F.length("context") >= 10))
+    rows = extract_with(pages, _nearby_rows, "pos bigint, href string, text string, context string", ("page_id", "url")).withColumnRenamed("url", "page_url")
+    ok = rows.filter((F.col("href") != "") & ~F.lower("href").rlike(K.EXCLUDED_LINK))
     full = ok.withColumn("full_url", U.resolve(F.col("href"), F.col("page_url"))).filter("full_url IS NOT NULL")
     scored = full.withColumn("points", Z.context_link_points(F.col("full_url"), F.col("text"), F.col("context"))).filter(F.col("points") > min_points)
     best = scored.groupBy("page_id", "full_url").agg(F.max_by(F.struct("points", "text", "context"), F.struct("points", -F.col("pos"))).alias("b"))
-    return best.select("page_id", "full_url", "b.points", "b.text", F.substring("b.context", 1, 100).alias("context"))
+    return best.select("page_id", "full_url", "b.points", "b.text", F.col("b.context").alias("context"))

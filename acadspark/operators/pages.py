@@ -14,6 +14,7 @@ from acadspark.functions import names as N
 from acadspark.functions import scores as Z
 from acadspark.functions import text as X
 from acadspark.functions import urls as U
+from acadspark.functions.steps import head
 from acadspark.operators.predicates import department_ok, listing_name_ok, program_link
 
 # --- fixed values: tag patterns ---
@@ -82,11 +83,11 @@ def page_links(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         "page_id", "page_url", *keep, F.col("pos").cast("bigint").alias("pos"), "a.href", "a.text")
 
 
-def academic_links(pages: DataFrame, cap: int = 100) -> DataFrame:
-    """Non-social anchors with more than two characters of text, the first ``cap`` of each page."""
+def academic_links(pages: DataFrame, cap: int | None = None) -> DataFrame:
+    """Non-social anchors with more than two characters of text, all of each page or the first ``cap``."""
     found = F.filter(anchors(F.col("body")), lambda a: (a["href"] != "") & (F.length(a["text"]) > 2) & ~F.lower(a["href"]).rlike(SOCIAL_HOSTS))
     b = with_body(pages)
-    return b.select("page_id", F.posexplode(F.slice(found, 1, cap)).alias("pos", "a")).select("page_id", F.col("pos").cast("bigint").alias("pos"), "a.href", "a.text")
+    return b.select("page_id", F.posexplode(head(found, cap)).alias("pos", "a")).select("page_id", F.col("pos").cast("bigint").alias("pos"), "a.href", "a.text")
 
 
 def page_headings(pages: DataFrame) -> DataFrame:
@@ -158,17 +159,16 @@ def page_contacts(pages: DataFrame) -> DataFrame:
     return t.select("page_id", X.emails(F.col("text")).alias("emails"), X.phones(F.col("text")).alias("phones"))
 
 
-def research_sections(pages: DataFrame, per_word: int = 5, cut: int = 1000) -> DataFrame:
-    """For each key word the first paragraphs that hold it, if longer than 50 characters: page_id, keyword, n, content."""
+def research_sections(pages: DataFrame, per_word: int | None = None) -> DataFrame:
+    """For each key word the paragraphs that hold it, all or the first ``per_word``, if longer than 50 characters: page_id, keyword, n, content."""
     b = with_body(pages).withColumn("paras", paragraphs(F.col("body"))).drop("body")
 
     def of(word):
-        hits = F.slice(F.filter("paras", lambda p: F.lower(p).contains(word)), 1, per_word)
+        hits = head(F.filter("paras", lambda p: F.lower(p).contains(word)), per_word)
         return F.filter(F.transform(hits, lambda p, i: F.struct(F.lit(word).alias("keyword"), i.cast("bigint").alias("n"), p.alias("content"))),
                         lambda s: F.length(s["content"]) > 50)
 
-    rows = b.select("page_id", F.inline(F.concat(*[of(w) for w in RESEARCH_WORDS])))
-    return rows.withColumn("content", F.substring("content", 1, cut))
+    return b.select("page_id", F.inline(F.concat(*[of(w) for w in RESEARCH_WORDS])))
 
 
 def _classed(words: str) -> str:
@@ -206,12 +206,12 @@ def count_estimate(pages: DataFrame) -> DataFrame:
     return t.select("page_id", F.greatest("marks", mails, titled).alias("estimate"))
 
 
-def profile_patterns(pages: DataFrame, cap: int = 20) -> DataFrame:
-    """Profile-like links of each page, the first ``cap`` in order: page_id, n, href."""
+def profile_patterns(pages: DataFrame, cap: int | None = None) -> DataFrame:
+    """Profile-like links of each page in order, all or the first ``cap``: page_id, n, href."""
     b = with_body(pages)
     hits = F.filter(anchors(F.col("body")), lambda a: (a["href"] != "") & (
         F.lower(a["text"]).rlike("profile|bio|cv|faculty") | F.lower(a["href"]).rlike("profile|faculty|people")))
-    return b.select("page_id", F.posexplode(F.slice(F.transform(hits, lambda a: a["href"]), 1, cap)).alias("n", "href")).withColumn("n", F.col("n").cast("bigint"))
+    return b.select("page_id", F.posexplode(head(F.transform(hits, lambda a: a["href"]), cap)).alias("n", "href")).withColumn("n", F.col("n").cast("bigint"))
 
 
 def lab_links(links: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def scholar_metrics(pages: DataFrame) -> DataFrame:
         metric("h-index").alias("h_index"), metric("i10-index").alias("i10_index"),
         names_in(r"""(?is)<div[^>]*id=["']gsc_prf_int["'][^>]*>(.*?)</div>""").alias("interests"),
         F.nullif(inner_text(F.regexp_extract("body", r"""(?is)<div[^>]*class=["']gsc_prf_il["'][^>]*>(.*?)</div>""", 1)), F.lit("")).alias("affiliation"),
-        F.slice(names_in(r"""(?is)<div[^>]*class=["']gsc_rsb_co["'][^>]*>(.*?)</div>"""), 1, 10).alias("co_authors"),
+        names_in(r"""(?is)<div[^>]*class=["']gsc_rsb_co["'][^>]*>(.*?)</div>""").alias("co_authors"),
         F.filter(pubs, lambda p: p["title"] != "").alias("publications"),
     )
 
@@ -265,12 +265,12 @@ def page_social(links: DataFrame) -> DataFrame:
     return links.withColumn("platform", platform).filter("platform IS NOT NULL").groupBy("page_id", "platform").agg(F.max_by("href", "pos").alias("href"))
 
 
-def page_external(pages: DataFrame, cap: int = 20) -> DataFrame:
-    """Distinct links to other hosts, the first ``cap`` by URL of each page."""
+def page_external(pages: DataFrame, cap: int | None = None) -> DataFrame:
+    """Distinct links to other hosts of each page, all or the first ``cap`` by URL."""
     b = with_body(pages)
     own = U.authority(F.col("url"))
     hrefs = F.array_sort(F.array_distinct(F.transform(F.filter(anchors(F.col("body")), lambda a: a["href"].startswith("http") & (U.authority(a["href"]) != own)), lambda a: a["href"])))
-    return b.select("page_id", F.explode(F.slice(hrefs, 1, cap)).alias("href"))
+    return b.select("page_id", F.explode(head(hrefs, cap)).alias("href"))
 
 
 def listing_labs(pages: DataFrame) -> DataFrame:
@@ -316,22 +316,22 @@ def page_programs(pages: DataFrame) -> DataFrame:
                         X.program_department(F.col("text")).alias("department"))
 
 
-def nav_directories(pages: DataFrame, cap: int = 10) -> DataFrame:
-    """Directory paths named in the navigation, distinct, the first ``cap`` by path."""
+def nav_directories(pages: DataFrame, cap: int | None = None) -> DataFrame:
+    """Directory paths named in the navigation, distinct, all or the first ``cap`` by path."""
     b = with_body(pages)
     nav = F.array_join(F.regexp_extract_all("body", F.lit(r"(?is)<(?:nav|header)(?:\s[^>]*)?>(.*?)</(?:nav|header)>"), F.lit(1)), " ")
     own = F.regexp_extract("url", r"^([A-Za-z]+://[^/?#]*)", 1)
     hits = F.filter(anchors(nav), lambda a: (a["href"] != "") & F.lower(a["text"]).rlike("|".join(NAV_WORDS)) & (a["href"].startswith(own) | ~a["href"].startswith("http")))
     dirs = F.array_sort(F.array_distinct(F.filter(F.transform(hits, lambda a: F.regexp_replace(a["href"], r"^/+|/+$", "")), lambda d: d != "")))
-    return b.select("page_id", F.explode(F.slice(dirs, 1, cap)).alias("directory"))
+    return b.select("page_id", F.explode(head(dirs, cap)).alias("directory"))
 
 
-def search_result_links(pages: DataFrame, engine_host: str = "duckduckgo.com", n: int = 5, min_text: int = 10) -> DataFrame:
+def search_result_links(pages: DataFrame, engine_host: str = "duckduckgo.com", n: int | None = None, min_text: int = 10) -> DataFrame:
     """Ranked absolute hits of a result page, without the engine's own links: page_id, rank, url, title."""
     b = with_body(pages)
     hits = F.filter(anchors(F.col("body")), lambda a: a["href"].startswith("http") & ~a["href"].contains(engine_host) & (F.length(a["text"]) > min_text))
-    return b.select("page_id", F.posexplode(F.slice(hits, 1, n)).alias("i", "a")).select(
-        "page_id", (F.col("i") + 1).cast("bigint").alias("rank"), F.col("a.href").alias("url"), F.substring("a.text", 1, 100).alias("title"), F.substring("a.text", 1, 200).alias("snippet"))
+    return b.select("page_id", F.posexplode(head(hits, n)).alias("i", "a")).select(
+        "page_id", (F.col("i") + 1).cast("bigint").alias("rank"), F.col("a.href").alias("url"), F.col("a.text").alias("title"), F.col("a.text").alias("snippet"))
 
 
 def api_result_links(raw: DataFrame, col: str = "payload") -> DataFrame:
@@ -388,10 +388,10 @@ def department_subdomain(pages: DataFrame, base_host: str) -> DataFrame:
                         F.when(other & (F.size(labels) > 2), F.initcap(F.replace(F.get(labels, F.lit(0)), F.lit("-"), F.lit(" ")))).alias("department"))
 
 
-def paginate_sources(pages: DataFrame, n: int = 5, collect: int = 10) -> DataFrame:
-    """Follow the first ``n`` of the first ``collect`` pagination links of each page to pages that were crawled."""
+def paginate_sources(pages: DataFrame, n: int | None = None) -> DataFrame:
+    """Follow the pagination links of each page, all or the first ``n``, to pages that were crawled."""
     b = with_body(pages)
-    hits = F.slice(F.slice(F.filter(anchors(F.col("body")), lambda a: a["href"].contains("page")), 1, collect), 1, n)
+    hits = head(F.filter(anchors(F.col("body")), lambda a: a["href"].contains("page")), n)
     rows = b.select("page_id", F.col("url").alias("page_url"), F.posexplode(F.transform(hits, lambda a: a["href"])).alias("n", "href"))
     target = rows.withColumn("target_url", U.resolve(F.col("href"), F.col("page_url"))).filter("target_url <> page_url")
     known = pages.select(F.col("url").alias("target_url"), F.col("page_id").alias("target_page"))

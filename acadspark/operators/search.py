@@ -14,7 +14,7 @@ DISCOVERY_TTL_HOURS, SEARCH_TTL_HOURS = 24, 720
 
 def cache_key(df: DataFrame, out: str = "cache_key") -> DataFrame:
     """md5 of the lower-cased person, lab and university."""
-    text = F.lower(F.concat_ws("|", "name", F.coalesce("lab_name", F.lit("")), "university"))
+    text = F.lower(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("name", "lab_name", "university")]))
     return df.withColumn(out, F.md5(text))
 
 

@@ -58,9 +58,9 @@ def lab_people(lab: DataFrame, edges: DataFrame, person: DataFrame, types: DataF
 
 def orphans(entities: DataFrame, key: str, *edges: DataFrame) -> DataFrame:
     """Entities without any edge."""
-    linked = edges[0].select(key)
+    linked = edges[0].select(key).distinct()
     for e in edges[1:]:
-        linked = linked.unionByName(e.select(key))
+        linked = linked.unionByName(e.select(key).distinct())
     return entities.join(linked, key, "left_anti")
 
 

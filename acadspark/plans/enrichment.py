@@ -66,8 +66,8 @@ def enrich_pages(pages: DataFrame, people: DataFrame, keep_conf: float = 0.2, de
     scholar, lab = F.col("link_type") == "google_scholar", F.col("link_type") == "lab_website"
     f = rec.withColumns({
         "citation_count": F.when(scholar, F.col("citation_count")), "h_index": F.when(scholar, F.col("h_index")),
-        "projects": F.when(lab, X.all_fields(F.col("text"), X.PROJECT_PATTERNS, 10, cap=10, cut=200)).otherwise(F.array().cast("array<string>")),
-        "members": F.when(lab, X.all_fields(F.col("text"), X.MEMBER_PATTERNS, 0, cap=20)).otherwise(F.array().cast("array<string>")),
+        "projects": F.when(lab, X.all_fields(F.col("text"), X.PROJECT_PATTERNS, 10)).otherwise(F.array().cast("array<string>")),
+        "members": F.when(lab, X.all_fields(F.col("text"), X.MEMBER_PATTERNS, 0)).otherwise(F.array().cast("array<string>")),
         "affiliations": F.array(F.coalesce("description", F.lit(""))),
     })
     quality = Z.content_points({"title": F.col("title"), "description": F.col("description"), "text_len": F.length("text"), "interests": F.size("areas"),
@@ -132,7 +132,7 @@ def discover_labs(pages: DataFrame, model: PipelineModel | None = None, hits: Da
         # only pages that the first step left without a lab are classified
         rest = pages.join(best, "page_id", "left_anti")
         named = scan_blocks(model, G.block_position(rest), min_conf).groupBy("page_id").agg(F.max_by(F.struct("text", "confidence"), F.struct("confidence", -F.col("block"))).alias("b"))
-        out = out.join(named.select("page_id", F.substring("b.text", 1, 100).alias("_n2"), F.col("b.confidence").alias("_c2")), "page_id", "left")
+        out = out.join(named.select("page_id", F.col("b.text").alias("_n2"), F.col("b.confidence").alias("_c2")), "page_id", "left")
     else:
         out = out.withColumns({"_n2": F.lit(None).cast("string"), "_c2": F.lit(None).cast("double")})
     if hits is not None:

@@ -18,7 +18,7 @@ def validate_links(people: DataFrame, fetches: DataFrame) -> tuple[DataFrame, Da
     return checked, L.validated_report(checked, people.agg(F.count("*").alias("people")))
 
 
-def find_better_links(people: DataFrame, fetch: Callable[[DataFrame], DataFrame], top: int = 10, best: int = 3) -> DataFrame:
+def find_better_links(people: DataFrame, fetch: Callable[[DataFrame], DataFrame], top: int | None = None, best: int = 3) -> DataFrame:
     """Replace the links of people with social links by their best verified candidates.
 
     ``fetch`` takes the candidate rows (obs_id, url, source, prior_pct) and adds ``is_accessible``, for example by a

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,24 +27,24 @@ def build_session(app: str = "acadspark", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
-    Taken from ``spark.checkpoint.dir`` (or a checkpoint folder already set on the context). Only a
-    session that names none, such as a local test run, gets a folder of its own.
+    Taken from ``spark.checkpoint.dir`` (or a checkpoint folder already set on the context). A cluster must name one; only
+    a local session without it uses a folder in its warehouse.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(path)
-    elif spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def stage_dir(spark: SparkSession, name: str) -> str:
     """Fresh sub-folder name under the shared folder."""
-    root = shared_dir(spark).removeprefix("file:")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

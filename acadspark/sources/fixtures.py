@@ -132,7 +132,7 @@ FROM observations
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table, spread over all cores where it is small."""
+    """One given table; ``spread`` deals it out where the session asks for it."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df if name in SMALL_TABLES else spread(df)
 

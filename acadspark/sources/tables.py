@@ -70,26 +70,25 @@ def load_structures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_discovery_cache(spark: SparkSession, path: str, now: Column) -> DataFrame:
-    """Entries of a directory of cached discoveries with their file stem and age in hours, newest first."""
+    """Entries of a directory of cached discoveries with their file stem and age in hours."""
     schema = "university string, faculty_directory_paths array<string>, confidence_score double, cost_estimate double, discovery_timestamp double"
     raw = spark.read.schema(schema).json(path).withColumn("file_name", F.col("_metadata.file_name"))
     age = F.when(F.coalesce("discovery_timestamp", F.lit(0.0)) > 0, (F.unix_timestamp(now.cast("timestamp")) - F.col("discovery_timestamp")) / 3600.0).otherwise(0.0)
-    return raw.withColumns({"cache_key": F.regexp_replace("file_name", r"\.json$", ""), "age_hours": age}).orderBy("age_hours", "university")
+    return raw.withColumns({"cache_key": F.regexp_replace("file_name", r"\.json$", ""), "age_hours": age})
 
 
 def _decode(col: Column, pairs, default: str) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in pairs for x in p]), col), F.lit(default))
 
 
-def load_institutions(raw: DataFrame, col: str = "payload", limit: int | None = 5000) -> DataFrame:
+def load_institutions(raw: DataFrame, col: str = "payload") -> DataFrame:
     """Institutions of directory API exports, one JSON page per row; rows without name or state are left out."""
     schema = "results array<struct<id:bigint, school:struct<name:string, city:string, state:string, state_fips:string, school_url:string, ownership:int>>>"
     r = raw.select(F.inline(F.from_json(col, schema)["results"])).select("id", "school.*")
     kept = r.filter((F.coalesce("name", F.lit("")) != "") & (F.coalesce("state", F.lit("")) != ""))
-    out = kept.select(
+    return kept.select(
         F.col("id").cast("string").alias("id"), "name", "city", F.col("state").alias("state_code"), _decode(F.col("state_fips"), STATES, "Unknown").alias("state"),
         F.col("school_url").alias("website"), _decode(F.col("ownership"), OWNERSHIP, "unknown").alias("type"))
-    return out.orderBy(F.length("id"), "id").limit(limit) if limit else out
 
 
 def scan_sitemap(xml: DataFrame, base_url: str, col: str = "xml") -> DataFrame:

@@ -44,6 +44,15 @@ def current_table(deltas: DataFrame, keys: tuple[str, ...], order: tuple[str, ..
     return got.select(*keys, *[F.col(f"b.{c}").alias(c) for c in rest], "created_at", "updated_at")
 
 
+def compact_table(spark: SparkSession, path: str, compacted: str, keys: tuple[str, ...], order: tuple[str, ...], ts: str) -> DataFrame:
+    """Folds the deltas of an upserted table into one row per key in a new folder, from which readers go on.
+
+    Run it while no batch is written; later deltas go beside ``compacted`` and are resolved against it by ``ts`` order.
+    """
+    current_table(spark.read.parquet(path), keys, order, ts).write.mode("overwrite").parquet(compacted)
+    return spark.read.parquet(compacted)
+
+
 def stream_categorize(links: DataFrame, out_path: str, checkpoint: str, col: str = "url") -> StreamingQuery:
     """Class links as they arrive."""
     return _append(L.categorize_url(links, col), out_path, checkpoint)
@@ -64,7 +73,9 @@ def stream_progress(log: DataFrame, out_path: str, checkpoint: str, ts: str = "t
 
 
 def stream_sessions(log: DataFrame, out_path: str, checkpoint: str, ts: str = "ts", gap: str = "30 minutes", watermark: str = "10 minutes") -> StreamingQuery:
-    """Crawl sessions per host: pages until a gap."""
+    """Crawl sessions per host: pages until a gap. Sessions are merged within each task before the shuffle, so a busy host
+    sends one row per task and session."""
+    log.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     s = _timed(log, ts, watermark).groupBy(F.session_window(ts, gap).alias("s"), "host").agg(F.count("*").alias("pages"))
     return _append(s.select(F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "host", "pages"), out_path, checkpoint)
 

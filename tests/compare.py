@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 import traceback
 
@@ -63,7 +64,8 @@ def main(argv):
         else:
             names.append(a)
     spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-                                                  "spark.driver.memory": "8g"})
+                                                  "spark.driver.memory": "8g", "spark.acadspark.scan.tasks": "8",
+                                                  "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp")})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf)
     qs, os_ = e.queries(), e.oracle_sql()

@@ -80,6 +80,15 @@ def test_fold_equals_sequential(spark, n):
     assert got["n_merged"] == n and got["confidence"] == pytest.approx(c, abs=1e-14)
 
 
+def test_nameless_people_and_unknown_universities(spark):
+    df = make(spark, [("", "U", "a@x.edu"), (None, "U", None), ("Ann Lee", None, None), ("Ann Lee", None, None), ("Ann Lee", "", "b@x.edu"), ("Ann Lee", "U", "b@x.edu")])
+    ids = sorted(r["obs_id"] for r in df.collect())
+    got = {r["obs_id"]: r["entity"] for r in D.resolve_person(df).collect()}
+    assert sorted(got) == ids[2:] and got[ids[4]] == got[ids[5]]
+    assert len({got[ids[2]], got[ids[4]]}) == 2
+    assert sorted((r["obs_id"], r["issue"]) for r in D.nameless(df).collect()) == [(i, "missing name") for i in ids[:2]]
+
+
 def test_upsert_twice_is_once(spark):
     now = F.lit("2024-01-02").cast("timestamp_ntz")
     old = F.lit("2024-01-01").cast("timestamp_ntz")
