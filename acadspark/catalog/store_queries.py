@@ -409,19 +409,42 @@ def _(spark, sf):
 
 # ---- composite jobs ----
 
-@query("process_links_full", f"""WITH {BEST}, {SECONDARY}, w AS (SELECT o.obs_id, round(coalesce(CAST(sum(CASE WHEN l.obs_id IS NOT NULL THEN {WEIGHT} END) AS DOUBLE), 0) / 300, 6) AS weighted_quality, count(*) FILTER (WHERE link_type = 'social_media') AS n_social,
+PROCESS = f"""WITH {BEST}, {SECONDARY}, w AS (SELECT o.obs_id, round(coalesce(CAST(sum(CASE WHEN l.obs_id IS NOT NULL THEN {WEIGHT} END) AS DOUBLE), 0) / 300, 6) AS weighted_quality, count(*) FILTER (WHERE link_type = 'social_media') AS n_social,
     count(*) FILTER (WHERE link_type IN ('google_scholar', 'academic_profile', 'university_profile')) AS n_academic, count(*) FILTER (WHERE link_type = 'lab_website') AS n_lab
   FROM observations o LEFT JOIN (SELECT l.*, coalesce(o2.http_status = 200, FALSE) AS is_accessible FROM links l JOIN observations o2 USING (obs_id)) l ON o.obs_id = l.obs_id GROUP BY o.obs_id),
 r AS (SELECT c.obs_id, f.needs_replacement AND ((won.site IS NOT NULL AND won.site IS DISTINCT FROM c.personal_website) OR (won.lab IS NOT NULL AND won.lab IS DISTINCT FROM c.lab_website)) AS replaced
   FROM cur c JOIN flags f USING (obs_id) LEFT JOIN won USING (obs_id)),
 lab AS (SELECT obs_id, arg_max(url, pct * 10 - CASE field WHEN 'profile_url' THEN 0 WHEN 'personal_website' THEN 1 ELSE 2 END) AS lab_url FROM links WHERE link_type = 'lab_website' GROUP BY obs_id),
-labs AS (SELECT lab_website AS lab_url, count(*) AS n_records FROM observations WHERE lab_website IS NOT NULL GROUP BY lab_website)
-SELECT w.obs_id, w.n_social, w.n_academic, w.n_lab, w.weighted_quality, r.replaced, lab.lab_url, labs.n_records FROM w JOIN r USING (obs_id) LEFT JOIN lab USING (obs_id) LEFT JOIN labs ON lab.lab_url = labs.lab_url""")
-def _(spark, sf):
+labs AS (SELECT lab_website AS lab_url, count(*) AS n_records FROM observations WHERE lab_website IS NOT NULL GROUP BY lab_website)"""
+GROUPS = "w.obs_id, w.n_social, w.n_academic, w.n_lab, w.weighted_quality"
+LABS = "FROM w JOIN r USING (obs_id) LEFT JOIN lab USING (obs_id) LEFT JOIN labs ON lab.lab_url = labs.lab_url"
+
+
+def processed(spark, sf, mode, *cols):
     o = obs(spark, sf)
     labs = o.filter("lab_website IS NOT NULL").groupBy(F.col("lab_website").alias("lab_url")).agg(F.count("*").alias("n_records"))
-    got = PL.process_links(o, "full", fetched, labs)
-    return got.select("obs_id", *[F.col(c).cast("bigint").alias(c) for c in ("n_social", "n_academic", "n_lab")], F.round("weighted_quality", 6).alias("weighted_quality"), "replaced", "lab_url", "n_records")
+    got = PL.process_links(o, mode, fetched, labs)
+    return got.select("obs_id", *[F.col(c).cast("bigint").alias(c) for c in ("n_social", "n_academic", "n_lab")], F.round("weighted_quality", 6).alias("weighted_quality"), *cols)
+
+
+@query("process_links_full", f"{PROCESS} SELECT {GROUPS}, r.replaced, lab.lab_url, labs.n_records {LABS}")
+def _(spark, sf):
+    return processed(spark, sf, "full", "replaced", "lab_url", "n_records")
+
+
+@query("process_links_social", f"{PROCESS} SELECT {GROUPS}, r.replaced FROM w JOIN r USING (obs_id)")
+def _(spark, sf):
+    return processed(spark, sf, "social", "replaced")
+
+
+@query("process_links_labs", f"{PROCESS} SELECT {GROUPS}, lab.lab_url, labs.n_records {LABS}")
+def _(spark, sf):
+    return processed(spark, sf, "labs", "lab_url", "n_records")
+
+
+@query("process_links_categorize", f"{PROCESS} SELECT {GROUPS} FROM w")
+def _(spark, sf):
+    return processed(spark, sf, "categorize")
 
 
 @query("fill_missing_links", f"""WITH {VERIFIED}, p AS (SELECT obs_id, min(url) FILTER (WHERE name_ok AND site_ok) AS site, min(url) FILTER (WHERE name_ok AND scholar_ok) AS scholar,

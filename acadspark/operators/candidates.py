@@ -254,8 +254,16 @@ def best_primary_link(people: DataFrame, top: DataFrame) -> DataFrame:
     site above 70 a missing or weaker one; a lab site above 70 always replaces the lab link. The last one to act wins,
     as each is compared with the original link.
     """
-    per = top.groupBy("obs_id").agg(F.array_sort(F.collect_list(F.struct("rank", "url", "link_type", "total_pct"))).alias("cands"))
-    df = people.join(per, "obs_id", "left")
+    return upgraded_links(people.join(ranked_lists(top), "obs_id", "left"))
+
+
+def ranked_lists(top: DataFrame) -> DataFrame:
+    """(obs_id, cands): the few ranked candidates of a person in order."""
+    return top.groupBy("obs_id").agg(F.array_sort(F.collect_list(F.struct("rank", "url", "link_type", "total_pct"))).alias("cands"))
+
+
+def upgraded_links(df: DataFrame) -> DataFrame:
+    """``best_primary_link`` on rows that hold their links and ranked candidates (``cands``, null for none)."""
     site = F.filter("links", lambda x: x["field"] == "personal_website")
     cur_type, cur_pct = F.get(site, F.lit(0))["link_type"], F.coalesce(F.get(site, F.lit(0))["pct"], F.lit(0))
     missing = F.coalesce("personal_website", F.lit("")) == ""

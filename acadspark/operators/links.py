@@ -194,11 +194,15 @@ def validated_report(links: DataFrame, n_people: DataFrame) -> DataFrame:
     return _report(counts.unionByName(n_people.select(F.lit("total").alias("section"), F.lit("people").alias("item"), F.col("people").alias("n"))))
 
 
+def lab_link(links: Column) -> Column:
+    """Lab link of the highest confidence, the earlier field on ties."""
+    labs = F.filter(links, lambda x: x["link_type"] == "lab_website")
+    return F.aggregate(labs, F.get(labs, F.lit(0)), lambda a, x: F.when(x["pct"] > a["pct"], x).otherwise(a))
+
+
 def best_lab_link(people: DataFrame) -> DataFrame:
     """Lab link of the highest confidence per person, the earlier field on ties."""
-    labs = F.filter("links", lambda x: x["link_type"] == "lab_website")
-    best = F.aggregate(labs, F.get(labs, F.lit(0)), lambda a, x: F.when(x["pct"] > a["pct"], x).otherwise(a))
-    return people.select("obs_id", best.alias("b")).filter("b IS NOT NULL").select("obs_id", F.col("b.url").alias("lab_url"), F.col("b.pct").alias("pct"))
+    return people.select("obs_id", lab_link(F.col("links")).alias("b")).filter("b IS NOT NULL").select("obs_id", F.col("b.url").alias("lab_url"), F.col("b.pct").alias("pct"))
 
 
 def link_groups(people: DataFrame) -> DataFrame:

@@ -18,6 +18,16 @@ def validate_links(people: DataFrame, fetches: DataFrame) -> tuple[DataFrame, Da
     return checked, L.validated_report(checked, people.agg(F.count("*").alias("people")))
 
 
+def with_better_links(flagged: DataFrame, fetch: Callable[[DataFrame], DataFrame], top: int | None = None, best: int = 3) -> DataFrame:
+    """Add the upgraded links of ``best_primary_link`` to people with links and replacement flags.
+
+    Only people to be replaced leave for the candidates; their few best ones come back in one join.
+    """
+    rows = C.url_candidates(flagged.filter("needs_replacement"), ("obs_id",), top=top).withColumnRenamed("pct", "prior_pct")
+    scored = C.candidate_confidence(fetch(L.categorize_url(rows, "url")))
+    return C.upgraded_links(flagged.join(C.ranked_lists(C.top_candidates(scored, best)), "obs_id", "left"))
+
+
 def find_better_links(people: DataFrame, fetch: Callable[[DataFrame], DataFrame], top: int | None = None, best: int = 3) -> DataFrame:
     """Replace the links of people with social links by their best verified candidates.
 
@@ -25,13 +35,9 @@ def find_better_links(people: DataFrame, fetch: Callable[[DataFrame], DataFrame]
     join with a table of fetch outcomes.
     """
     flagged = L.secondary_candidates(L.attach_links(people))
-    wanted = flagged.filter("needs_replacement")
-    rows = C.url_candidates(wanted, ("obs_id",), top=top).withColumnRenamed("pct", "prior_pct")
-    scored = C.candidate_confidence(fetch(L.categorize_url(rows, "url")))
-    better = C.best_primary_link(wanted, C.top_candidates(scored, best)).filter("site_replaced OR lab_replaced")
-    new = better.select("obs_id", F.col("new_personal_website").alias("personal_website"), F.col("new_lab_website").alias("lab_website"))
-    merged = C.merge_enhanced(flagged, new, ("personal_website", "lab_website"))
-    return merged.withColumn("was_candidate", F.col("needs_replacement")).drop("links")
+    better = with_better_links(flagged, fetch, top, best)
+    new = {"personal_website": F.col("new_personal_website"), "lab_website": F.col("new_lab_website"), "was_candidate": F.col("needs_replacement")}
+    return better.withColumns(new).drop("links", "new_personal_website", "new_lab_website", "site_replaced", "lab_replaced")
 
 
 def fill_missing_links(people: DataFrame, verified: DataFrame) -> DataFrame:
@@ -60,14 +66,17 @@ def process_links(people: DataFrame, mode: str, fetch: Callable[[DataFrame], Dat
     """
     if mode not in ("categorize", "social", "labs", "full"):
         raise ValueError(f"unknown mode {mode!r}")
-    base = L.link_quality_weighted(L.link_groups(L.attach_links(people)))
-    out = base.select("obs_id", "n_social", "n_academic", "n_lab", "weighted_quality")
+    df = L.secondary_candidates(L.attach_links(people))
+    cols = ["obs_id", "n_social", "n_academic", "n_lab", "weighted_quality"]
     if mode in ("social", "full"):
-        better = find_better_links(people, fetch).select("obs_id", F.col("personal_website").alias("new_site"), F.col("lab_website").alias("new_lab"))
-        before = people.select("obs_id", F.col("personal_website").alias("old_site"), F.col("lab_website").alias("old_lab"))
-        changed = ~F.col("new_site").eqNullSafe(F.col("old_site")) | ~F.col("new_lab").eqNullSafe(F.col("old_lab"))
-        out = out.join(better.join(before, "obs_id").select("obs_id", changed.alias("replaced")), "obs_id")
+        df = with_better_links(df, fetch)
+        changed = lambda c: ~F.col(f"new_{c}").eqNullSafe(F.col(c))
+        df = df.withColumn("replaced", changed("personal_website") | changed("lab_website"))
+        cols.append("replaced")
     if mode in ("labs", "full"):
-        best = L.best_lab_link(L.attach_links(people)).select("obs_id", "lab_url")
-        out = out.join(best, "obs_id", "left").join(labs, "lab_url", "left")
+        df = df.withColumn("lab_url", L.lab_link(F.col("links"))["url"])
+        cols.append("lab_url")
+    out = L.link_quality_weighted(L.link_groups(df)).select(*cols)
+    if mode in ("labs", "full"):  # people without a lab link take no part in the join
+        out = out.filter("lab_url IS NOT NULL").join(labs, "lab_url", "left").unionByName(out.filter("lab_url IS NULL"), allowMissingColumns=True)
     return out
