@@ -13,7 +13,7 @@ from acadspark.llm.common import chunks, discard, distinct_texts, drop, lowered,
 GRAM = 5
 PER_CENT = 80
 FRAGMENTS = 16
-PARITY = 1024
+PARITY = ((800, 1024), (None, 8192))  # bits for texts of up to so many n-grams
 HEAVY_SHARE = 1 / 16  # of all texts, from which frequent n-grams are told
 HEAVY_TEXTS = 20_000  # or so many texts, if that is more
 HEAVY_LEAST = 8
@@ -126,8 +126,8 @@ def segments(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
 
 
 def parities(texts: DataFrame) -> DataFrame:
-    """(k1, k2, bits): whether the n-grams of a text that fall on each of PARITY bits are odd in number. Two texts differ
-    in at least as many n-grams as in bits, which rules out most pairs without their n-grams."""
+    """(k1, k2, bits): whether the n-grams of a text that fall on each of some bits are odd in number. Two texts differ in
+    at least as many n-grams as in bits, which rules out most pairs without their n-grams; long texts have more bits."""
 
     def run(it):
         for batch in it:
@@ -135,7 +135,8 @@ def parities(texts: DataFrame) -> DataFrame:
             rows = []
             for i, j in chunks(offsets):
                 for s in shingle_sets(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i]):
-                    odd = np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+                    size = next(bits for most, bits in PARITY if most is None or len(s) <= most)
+                    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
                     rows.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(rows, pa.list_(pa.int64()))], names=["k1", "k2", "bits"])
 
@@ -151,7 +152,8 @@ def linked(pairs: DataFrame, texts: DataFrame, heavy: np.ndarray) -> DataFrame:
     mark = lambda side: marks.select(F.struct("k1", "k2").alias(side), F.col("bits").alias(f"bits_{side}"))
     keyed = pairs.select("x", "y", *[F.struct(F.col(f"{s}.k1").alias("k1"), F.col(f"{s}.k2").alias("k2")).alias(f"id_{s}") for s in "xy"])
     unlike = F.aggregate(F.zip_with("bits_id_x", "bits_id_y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
-    close = unlike * (100 + PER_CENT) <= (F.col("x.n") + F.col("y.n")) * (100 - PER_CENT)
+    near = unlike * (100 + PER_CENT) <= (F.col("x.n") + F.col("y.n")) * (100 - PER_CENT)
+    close = F.when(F.size("bits_id_x") == F.size("bits_id_y"), near).otherwise(True)
     kept = staged(keyed.join(mark("id_x"), "id_x").join(mark("id_y"), "id_y").filter(close).select("x", "y"), "pairs")
     discard(pairs, marks)
     pairs = kept
