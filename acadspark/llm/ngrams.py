@@ -13,10 +13,11 @@ from acadspark.llm.common import chunks, discard, distinct_texts, drop, lowered,
 GRAM = 5
 PER_CENT = 80
 FRAGMENTS = 16
+LEADER_ROUNDS = 1
 PARITY = ((800, 1024), (None, 8192))  # bits for texts of up to so many n-grams
 HEAVY_SHARE = 1 / 16  # of all texts, from which frequent n-grams are told
 HEAVY_TEXTS = 20_000  # or so many texts, if that is more
-HEAVY_LEAST = 8
+HEAVY_LEAST = 3
 HEAVY_MOST = 1 << 17
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -201,8 +202,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """Per distinct text of ``docs``: (k1, k2, n, root), its n-gram count and the id of its group (null if linked to none).
 
     Candidates share an n-gram of their prefixes; a link is any pair of reached threshold. Pairs within a group of copies
-    are not needed to know the group, so links are found in two rounds. First the texts of a list are compared with the
-    one of their size whose prefix has the fewest n-grams of its own, in an eighth of the lists. Then every list that holds
+    are not needed to know the group, so links are found in rounds. First the texts of a list are compared with the
+    one of their size whose prefix has the fewest n-grams of its own, in an eighth of the lists. In LEADER_ROUNDS more, the
+    texts outside the largest group of a list are compared with one text of that group. Then every list that still holds
     more than one group is gone through in full, but only pairs of different groups are candidates. No link between groups
     is missed, and no list, however long, is paired within a group.
     """
@@ -222,20 +224,30 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     groups = components(first)
 
     rows = rows.select("g", "pos", "n", "k1", "k2", F.struct("k1", "k2").alias("id"))
-    held = staged(rows.join(groups, "id", "left").select("g", "pos", "n", "k1", "k2", F.coalesce("root", "id").alias("root")), "held")
-    weight = held.groupBy("g", "root").agg(F.count(F.lit(1)).alias("m"))
-    mixed = weight.groupBy("g").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("m", "root")).alias("most")).filter("groups > 1")
-    open_ = staged(held.join(mixed.select("g", F.col("most.root").alias("most")), "g"), "open")
-    discard(held)
+    found = first
+    for turn in range(LEADER_ROUNDS + 1):
+        held = staged(rows.join(groups, "id", "left").select("g", "pos", "n", "k1", "k2", F.coalesce("root", "id").alias("root")), "held")
+        weight = held.groupBy("g", "root").agg(F.count(F.lit(1)).alias("m"))
+        mixed = weight.groupBy("g").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("m", "root")).alias("most")).filter("groups > 1")
+        open_ = staged(held.join(mixed.select("g", F.col("most.root").alias("most")), "g"), "open")
+        discard(held)
+        if turn == LEADER_ROUNDS:
+            break
+        lead = open_.filter("root = most").groupBy("g").agg(F.min(F.struct("pos", "n", "k1", "k2")).alias("lead"))
+        more = open_.filter("root <> most").join(lead, "g").filter(_feasible(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
+        more = linked(pair(more.select(me, it)), texts, heavy)
+        discard(open_)
+        found = found.union(more)
+        groups = components(found)
     left = open_.filter("root <> most").select("g", F.col("pos").alias("p"), F.col("root").alias("r"), _side("me"))
     right = open_.select("g", "pos", "root", _side("it"))
     cross = (F.col("root") != F.col("r")) & _feasible(F.col("me.n"), F.col("p"), F.col("it.n"), F.col("pos"))
     later = linked(pair(left.join(right, "g").filter(cross).select("me", "it")), texts, heavy)
     discard(open_)
-    roots = components(first.union(later))
+    roots = components(found.union(later))
     own = shared.filter("pos < 0").select("k1", "k2", "n", F.struct("k1", "k2").alias("id"))
     groups = staged(own.join(roots, "id", "left").select("k1", "k2", "n", "root"), "groups")
-    discard(shared, first, later)
+    discard(shared, found, later)
     drop(texts, label)
     return groups
 
