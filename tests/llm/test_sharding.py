@@ -41,3 +41,29 @@ def test_links_of_any_kind(spark):
     placed = S.propagate(nodes, shards=4).join(nodes, "uid").collect()
     assert sorted(Counter(r.shard for r in placed).values()) == [16] * 4
     assert sum(len({r.shard for r in placed if r.hub == h}) for h in range(10)) <= 14
+
+
+def test_full_shards_exchange_rows(spark):
+    """Every row has a copy, so all shards are full from the start."""
+    nodes = spark.range(1440).select(F.col("id").alias("uid"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("h"))
+    order = {r.uid: i for i, r in enumerate(sorted(nodes.collect(), key=lambda r: r.h))}
+    df = spark.createDataFrame([(u, i // 2) for u, i in order.items()], "uid long, hub long")
+    placed = S.propagate(df).join(df, "uid").collect()
+    assert len(placed) == 1440 and set(Counter(r.shard for r in placed).values()) == {90}
+    assert sum(len({r.shard for r in placed if r.hub == h}) for h in range(720)) <= 1.05 * 720
+
+
+def test_a_large_hub_fills_whole_shards(spark):
+    hot = 1300
+    rows = [(u, 0 if i < hot else 1 + i // 2) for i, u in enumerate(sorted(range(1440), key=lambda u: u * 7919 % 1447))]
+    df = spark.createDataFrame(rows, "uid long, hub long")
+    placed = S.propagate(df).join(df, "uid").collect()
+    assert set(Counter(r.shard for r in placed).values()) == {90}
+    held = Counter(r.shard for r in placed if r.hub == 0)
+    assert sum(n == 90 for n in held.values()) == hot // 90
+
+
+def test_moves_are_as_many_as_fit():
+    assert S.allowed({(0, 1): 100, (1, 0): 100, (2, 1): 100}, [9, 9, 9], [9, 9, 9]) == {(0, 1): 100, (1, 0): 100}
+    assert S.allowed({(0, 1): 5, (1, 2): 5, (2, 0): 3}, [9, 9, 9], [9, 9, 9]) == {(0, 1): 3, (1, 2): 3, (2, 0): 3}
+    assert S.allowed({(0, 1): 5}, [9, 7], [9, 9]) == {(0, 1): 2}
