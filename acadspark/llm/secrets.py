@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -17,7 +18,7 @@ ASSIGN = rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A
 ACCESS = rb"AKIA[A-Z0-9]+"
 HEX = rb"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "markov")
-LEAST = {"assign": 6, "access": 20, "hex": 24, "markov": 20}
+LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 _ASSIGN, _ACCESS = re.compile(ASSIGN, re.IGNORECASE), re.compile(ACCESS)
 ALPHABET = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
@@ -32,6 +33,7 @@ MARGIN = 12.0  # log-likelihood ratio of a secret
 EVERY = 0.3  # and least mean per character
 BACK_OFF = 200.0  # a pair seen a few times is no evidence yet
 UNIFORM = 0.3
+UNSEEN = 0.05  # share of an even choice in ordinary strings, so that one rare character proves nothing
 
 
 def runs(mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,10 +94,11 @@ def transitions(data: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
 def train(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> np.ndarray:
     """Log-likelihood ratios of character pairs, random strings over identifiers: an array (N + 1, N).
 
-    The strings labelled random are those that base patterns find, the ordinary ones all other strings of at least four
-    characters, in a sample of about ``texts`` distinct texts of the smallest hash. Pair counts of the sample are summed by
+    The strings labelled random are those that base patterns find, the ordinary ones all strings of any length
+    that hold none of them, in a sample of about ``texts`` distinct texts of the smallest hash. Pair counts of the sample are summed by
     Spark: two tables of fixed size reach the driver. Pairs back off to single characters, and these to equal shares, so an
-    empty sample gives a ratio of 0. A random string may be of any alphabet: UNIFORM of its model is an even choice.
+    empty sample gives a ratio of 0. A random string may be of any alphabet: UNIFORM of its model is an even choice; UNSEEN
+    of the model of ordinary strings is one too.
     """
     total = docs.count()
     share = min(1.0, texts / max(1, total))
@@ -117,8 +120,9 @@ def train(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> np.ndarray:
                         if kind == 0:  # the value after the sign
                             a += _ASSIGN.match(part[a:b].tobytes()).start(2)
                         labelled.append((a, b))
-                start, end = strings(part, at, 4)
-                plain = ~secret[start]
+                start, end = strings(part, at, 1)
+                inside = np.concatenate([[0], np.cumsum(secret)])
+                plain = inside[end] == inside[start]  # the rest of a run beside a secret is not ordinary
                 tables[0] += transitions(part, labelled)
                 tables[1] += transitions(part, list(zip(start[plain], end[plain], strict=True)))
         label, pair = np.nonzero(tables)
@@ -131,25 +135,55 @@ def train(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> np.ndarray:
     single = (tables.sum(1) + 1) / (tables.sum((1, 2)) + N)[:, None]
     pairs = (tables + BACK_OFF * single[:, None, :]) / (tables.sum(2, keepdims=True) + BACK_OFF)
     pairs[0] = (1 - UNIFORM) * pairs[0] + UNIFORM / N
+    pairs[1] = (1 - UNSEEN) * pairs[1] + UNSEEN / N
     return np.log(pairs[0]) - np.log(pairs[1])
 
 
-def markov_spans(data: np.ndarray, offsets: np.ndarray, ratio: np.ndarray) -> list[tuple[int, int]]:
-    """Strings whose log-likelihood ratio and mean ratio reach MARGIN and EVERY, in bytes of ``data``."""
-    out = []
-    for a, b in zip(*strings(data, offsets, LEAST["markov"]), strict=True):
-        code = CODE[data[a:b]]
-        score = ratio[np.concatenate([[N], code[:-1]]), code].sum()
-        if score >= MARGIN and score >= EVERY * (b - a):
-            out.append((int(a), int(b)))
-    return out
+def outside(start: np.ndarray, end: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of strings (in order) that lie in none of ``spans`` (in order of their starts)."""
+    if not spans:
+        return start, end
+    joined: list[list[int]] = []
+    for x, y in spans:
+        if joined and x <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], y)
+        else:
+            joined.append([x, y])
+    lo, hi = np.array(joined).T
+    first, last = np.searchsorted(hi, start, "right"), np.searchsorted(lo, end, "left")  # spans that cut a string
+    whole = first >= last
+    parts = list(zip(start[whole].tolist(), end[whole].tolist(), strict=True))
+    for i in np.flatnonzero(~whole):
+        at = int(start[i])
+        for x, y in joined[first[i]: last[i]]:
+            parts.append((at, x))
+            at = y
+        parts.append((at, int(end[i])))
+    parts = sorted(p for p in parts if p[0] < p[1])
+    both = np.array(parts, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def markov_spans(data: np.ndarray, offsets: np.ndarray, ratio: np.ndarray, base: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """Strings outside the spans ``base`` whose log-likelihood ratio and mean ratio reach MARGIN and EVERY, in bytes of
+    ``data``. No length is asked for: strings too short to come to MARGIN at the highest ratio are left out beforehand."""
+    top = max(float(ratio.max()), 1e-9)
+    start, end = outside(*strings(data, offsets, max(1, math.ceil(MARGIN / top))), base or [])
+    if not len(start):
+        return []
+    code = CODE[data].astype(np.int64)
+    before = np.concatenate([[N], code[:-1]])
+    before[start] = N
+    score = np.add.reduceat(np.append(ratio[before, code], 0.0), np.column_stack([start, end]).ravel())[::2]
+    good = (score >= MARGIN) & (score >= EVERY * (end - start))
+    return list(zip(start[good].tolist(), end[good].tolist(), strict=True))
 
 
 def scan(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
     """``rows`` (row: a struct, text: no null) with n_assign, n_access, n_hex, base and spans (kind:start:end by code
     points, comma-joined) and redacted, the text with each span, overlaps joined, replaced by [SECRET].
 
-    Base spans stay as they are; a string of the model is added where it overlaps none of them.
+    Base spans stay as they are; the model judges the strings, or parts of strings, that lie outside them.
     """
     row_type = rows.schema["row"].dataType.simpleString()
 
@@ -162,10 +196,8 @@ def scan(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
                 part, at = data[lo: offsets[j]], offsets[i: j + 1] - lo
                 found = base_spans(part, at)
                 added: list[list] = [[] for _ in found]
-                for a, b in markov_spans(part, at, ratio):
-                    d = int(np.searchsorted(at, a, "right")) - 1
-                    if all(b <= x or y <= a for x, _, y in found[d]):
-                        added[d].append((a, 3, b))
+                for a, b in markov_spans(part, at, ratio, [(x, y) for base in found for x, _, y in base]):
+                    added[int(np.searchsorted(at, a, "right")) - 1].append((a, 3, b))
                 for d, base in enumerate(found):
                     a, b = int(at[d]), int(at[d + 1])
                     counts.append([sum(k == kind for _, k, _ in base) for kind in range(3)])
