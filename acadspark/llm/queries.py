@@ -13,6 +13,7 @@ from acadspark.llm.secrets import secrets_report
 from acadspark.llm.sharding import shard_report
 from acadspark.llm.tokens import tokens_report
 from acadspark.llm.toxicity import toxicity_report
+from acadspark.llm.whitening import whitening_report
 
 QUERIES, ORACLES = {}, {}
 
@@ -75,3 +76,8 @@ def op9(spark, sf_dir):
 @query("op2_fragment_join")
 def op2(spark, sf_dir):
     return jaccard_report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark, sf_dir):
+    return whitening_report(table(spark, sf_dir, "embeddings"))
