@@ -61,11 +61,25 @@ def distinct_texts(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     Copies are combined before the shuffle, so a text that a third of all rows share costs one row per task. The result
     is bucketed by its key in the shared folder: later joins on (k1, k2) move only the other side, never the texts.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     k1, k2 = text_keys(F.col("text"))
     keyed = docs.select(text.alias("text")).select("text", k1, k2)
     unique = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.any_value("text").alias("text"))
+    return _bucketed(unique, name)
+
+
+def first_texts(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``distinct_texts``, with the smallest doc_id of each text instead of its number of rows: (k1, k2, doc, some, text).
+    A null doc_id is smaller than any other; ``some`` is false for it."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    k1, k2 = text_keys(F.col("text"))
+    keyed = docs.select(text.alias("text"), F.struct(F.col("doc_id").isNotNull().alias("some"), F.col("doc_id").alias("doc")).alias("first")).select("text", k1, k2, "first")
+    unique = keyed.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.any_value("text").alias("text"))
+    return _bucketed(unique.select("k1", "k2", "first.doc", "first.some", "text"), name)
+
+
+def _bucketed(unique: DataFrame, name: str) -> tuple[DataFrame, str]:
+    spark = unique.sparkSession
     label, path = f"{name}_{uuid.uuid4().hex[:12]}", stage_dir(spark, name)
     with writing(spark):
         unique.write.bucketBy(partitions(spark), "k1", "k2").option("path", path).saveAsTable(label)

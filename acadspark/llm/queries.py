@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from acadspark.llm import rules
+from acadspark.llm import automata, rules
 from acadspark.llm.common import table
 from acadspark.llm.media import media_report
 from acadspark.llm.mixing import mix_report
@@ -81,3 +81,8 @@ def op2(spark, sf_dir):
 @query("op11_embedding_whitening")
 def op11(spark, sf_dir):
     return whitening_report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_substring_automata", automata.SQL)
+def op12(spark, sf_dir):
+    return automata.automata_report(table(spark, sf_dir, "documents"))
