@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from acadspark.llm import automata, rules
+from acadspark.llm import automata, rules, tries
 from acadspark.llm.common import table
 from acadspark.llm.media import media_report
 from acadspark.llm.mixing import mix_report
@@ -86,3 +86,8 @@ def op11(spark, sf_dir):
 @query("op12_substring_automata", automata.SQL)
 def op12(spark, sf_dir):
     return automata.automata_report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversation_trie", tries.SQL)
+def op13(spark, sf_dir):
+    return tries.trie_report(table(spark, sf_dir, "conversations"))
