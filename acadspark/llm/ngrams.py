@@ -8,17 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from acadspark.llm.common import chunks, discard, distinct_texts, drop, lowered, mix, prefix_hash, span_hash, staged, text_keys, utf8, word_bounds, writing
+from acadspark.llm.common import chunks, discard, distinct_texts, drop, lowered, mix, prefix_hash, span_hash, staged, text_keys, utf8, word_bounds
 
 GRAM = 5
 PER_CENT = 80
 FRAGMENTS = 16
 LEADER_ROUNDS = 1
 PARITY = ((800, 1024), (None, 8192))  # bits for texts of up to so many n-grams
-HEAVY_SHARE = 1 / 16  # of all texts, from which frequent n-grams are told
-HEAVY_TEXTS = 20_000  # or so many texts, if that is more
-HEAVY_LEAST = 3
-HEAVY_MOST = 1 << 17
+COMMON = 16  # n-grams of more texts come last in the global order, by class
+ZONE = 3  # eighths of the hash range that are counted over all texts
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -52,58 +50,69 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, gram: int = GRAM) -> lis
     return out
 
 
-def ordered(grams: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """Global order of n-grams as 64-bit numbers: by hash, the frequent ones after all others. Sorted."""
-    top = np.isin(grams, heavy, assume_unique=True).astype(np.uint64) if len(heavy) else np.zeros(len(grams), np.uint64)
-    return np.sort((grams >> np.uint64(1)) | (top << np.uint64(63)))
-
-
-def frequent_grams(texts: DataFrame) -> np.ndarray:
-    """The most frequent n-grams of a share of the texts, at most HEAVY_MOST. They only set the global order: any order
-    gives the same links, this one keeps frequent n-grams out of the prefixes."""
-    total = texts.count()
-    share = min(1.0, max(HEAVY_SHARE, HEAVY_TEXTS / max(1, total)))
-    some = texts.filter(F.xxhash64("k2", "k1") <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))).select("text")
-
-    def run(it):
-        for batch in it:
-            data, offsets = utf8(batch.column("text"))
-            for i, j in chunks(offsets, 1 << 20):
-                sets = shingle_sets(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
-                g, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], names=["g", "n"])
-
-    counts = some.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY_LEAST)
-    top = counts.orderBy(F.desc("n"), "g").limit(HEAVY_MOST).select("g")
-    with writing(texts.sparkSession):
-        found = top.collect()  # 1 MB at most
-    return np.sort(np.array([r["g"] for r in found], np.int64).view(np.uint64))
-
-
-def prefixes(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """(g, pos, n, k1, k2): the first n-grams of every text in the global order, one of which any two linked texts share;
-    and a row of pos -1 for the text itself."""
+def zone_sets(texts: DataFrame, low: int, high: int) -> DataFrame:
+    """(k1, k2, n, grams): the n-grams of every text whose hash lies from low / 8 to high / 8 of the hash range, ascending;
+    ``n`` counts all its n-grams."""
 
     def run(it):
         for batch in it:
             data, offsets = utf8(batch.column("text"))
-            k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
+            size, parts = [], []
             for i, j in chunks(offsets):
-                sets = shingle_sets(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
-                size = np.array([len(s) for s in sets], np.int64)
-                keep = np.where(size > 0, size + (-size * PER_CENT // 100) + 1, 0)  # size - ceil(0.8 size) + 1
-                parts = [np.concatenate([[mix(k1[[i + d]].view(np.uint64))[0]], ordered(s, heavy)[: keep[d]]]) for d, s in enumerate(sets)]
-                row = np.repeat(np.arange(len(sets)), keep + 1)
-                pos = np.concatenate([np.arange(-1, n) for n in keep])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(parts).astype(np.uint64).view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(size[row].astype(np.int32)), pa.array(k1[i + row]), pa.array(k2[i + row])],
-                    names=["g", "pos", "n", "k1", "k2"])
+                for s in shingle_sets(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i]):
+                    size.append(len(s))
+                    a, b = np.searchsorted(s >> np.uint64(61), [low, high])
+                    parts.append(s[a:b].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(size, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["k1", "k2", "n", "grams"])
+
+    return texts.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 int, n int, grams array<long>")
+
+
+def _shared(zone: DataFrame) -> DataFrame:
+    """(g, rank, k1, k2, cls): the n-grams of ``zone`` that several of its texts have, with their rank in the text and class:
+    0 up to COMMON texts, else the binary logarithm of their number."""
+    rows = zone.select("k1", "k2", F.posexplode("grams").alias("rank", "g"))
+    held = staged(rows.groupBy("g").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "held")
+    cls = F.when(F.col("held") > COMMON, F.floor(F.log2("held"))).otherwise(0).cast("int").alias("cls")
+    out = staged(rows.join(held, "g").select("g", "rank", "k1", "k2", cls), "shared")
+    discard(held)
+    return out
 
-    return texts.select("k1", "k2", "text").mapInArrow(run, "g long, pos int, n int, k1 long, k2 int")
 
+def prefix_lists(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g, pos, n, k1, k2): the n-grams in the prefixes of texts that others have as well, and (k1, k2, n) of all texts.
 
-def segments(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """Vertical partitions: (k1, k2, fragment, grams), the n-grams of a text in each range of the global order."""
+    Any two linked texts have a common n-gram in their prefixes, the first n-grams of each in one global order. Frequent
+    n-grams come last in it, by class, at every size of the table: all n-grams of the first zone (hashes below ZONE / 8) are
+    counted over all texts. A text with enough n-grams there that are in no class needs no others. The n-grams of the second
+    zone are counted over the texts that have not; they alone reach it. The order is: first zone without a class, second zone
+    without a class, then by class; within, by hash.
+    """
+    first = staged(zone_sets(texts, 0, ZONE), "zone")
+    one = _shared(first)
+    most = F.when(F.col("n") > 0, F.floor(F.col("n") * (100 - PER_CENT) / 100) + 1).otherwise(0).cast("int")  # n - ceil(0.8 n) + 1
+    tally = lambda df, name: df.filter("cls > 0").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias(name))
+    state = first.select("k1", "k2", "n", most.alias("keep"), F.size("grams").alias("m")).join(tally(one, "f"), ["k1", "k2"], "left")
+    state = staged(state.select("k1", "k2", "n", "keep", (F.col("m") - F.coalesce("f", F.lit(0))).alias("free")), "state")
+    discard(first)
+    wide = staged(zone_sets(texts.join(state.filter("free < keep").select("k1", "k2"), ["k1", "k2"], "left_semi"), ZONE, 8), "zone")
+    two = _shared(wide)
+    more = staged(wide.select("k1", "k2", F.size("grams").alias("m")).join(tally(two, "f"), ["k1", "k2"], "left").select(
+        "k1", "k2", (F.col("m") - F.coalesce("f", F.lit(0))).alias("free2")), "more")
+    both = one.withColumn("zone", F.lit(1)).unionByName(two.withColumn("zone", F.lit(2)))
+    known = both.join(state.join(more, ["k1", "k2"], "left"), ["k1", "k2"])
+    upto = Window.partitionBy("k1", "k2", "zone").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("k1", "k2", F.col("cls") > 0).orderBy("cls", "zone", "rank")
+    plain = F.when(F.col("zone") == 2, F.col("free")).otherwise(0) + F.col("rank") - F.sum(F.signum("cls").cast("int")).over(upto)
+    pos = F.when(F.col("cls") == 0, plain).otherwise(F.col("free") + F.col("free2") + F.row_number().over(later) - 1)  # null: out of reach
+    lists = known.select("g", pos.cast("int").alias("pos"), "keep", "n", "k1", "k2").filter("pos < keep")
+    lists = staged(lists.select("g", "pos", "n", "k1", "k2"), "lists")
+    discard(one, wide, two, more)
+    return lists, state
+
+
+def segments(texts: DataFrame) -> DataFrame:
+    """Vertical partitions: (k1, k2, fragment, grams), the n-grams of a text in each range of the order by hash."""
 
     def run(it):
         for batch in it:
@@ -112,7 +121,6 @@ def segments(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
             for i, j in chunks(offsets):
                 rows, fragment, parts = [], [], []
                 for d, s in enumerate(shingle_sets(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])):
-                    s = ordered(s, heavy)
                     own = (s >> np.uint64(64 - FRAGMENTS.bit_length() + 1)).astype(np.int32)
                     edges = np.flatnonzero(np.diff(own)) + 1
                     for part in np.split(s, edges) if len(s) else ():
@@ -144,7 +152,7 @@ def parities(texts: DataFrame) -> DataFrame:
     return texts.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 int, bits array<long>")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, heavy: np.ndarray) -> DataFrame:
+def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The candidate ``pairs`` (x, y: id and size) that reach the threshold: common n-grams are counted in each fragment
     on its own and summed per pair. Pairs that differ in too many parity bits fall first."""
     pairs = staged(pairs, "pairs")
@@ -158,7 +166,7 @@ def linked(pairs: DataFrame, texts: DataFrame, heavy: np.ndarray) -> DataFrame:
     kept = staged(keyed.join(mark("id_x"), "id_x").join(mark("id_y"), "id_y").filter(close).select("x", "y"), "pairs")
     discard(pairs, marks)
     pairs = kept
-    parts = staged(segments(texts.join(both_ids(pairs), ["k1", "k2"]), heavy), "segments")
+    parts = staged(segments(texts.join(both_ids(pairs), ["k1", "k2"])), "segments")
     xs = parts.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "fragment", F.col("grams").alias("gx"))
     ys = parts.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), "fragment", F.col("grams").alias("gy"))
     flat = pairs.select(F.col("x.k1").alias("a1"), F.col("x.k2").alias("a2"), F.col("y.k1").alias("b1"), F.col("y.k2").alias("b2"), (F.col("x.n") + F.col("y.n")).alias("both"))
@@ -209,10 +217,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     is missed, and no list, however long, is paired within a group.
     """
     texts, label = distinct_texts(docs, "texts")
-    heavy = frequent_grams(texts)
-    lists = prefixes(texts, heavy).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("g")))
-    shared = staged(lists.filter("pos < 0 or held > 1").drop("held"), "lists")
-    rows = shared.filter("pos >= 0").withColumn("cls", F.floor(F.log(100 / PER_CENT, F.col("n"))).cast("int"))
+    lists, state = prefix_lists(texts)
+    rows = lists.withColumn("cls", F.floor(F.log(100 / PER_CENT, F.col("n"))).cast("int"))
     some = rows.filter("g % 8 = 0 or n < 64")
     lead = some.groupBy("g", "cls").agg(F.min(F.struct("pos", "n", "k1", "k2")).alias("lead"))
     lead = lead.select("g", F.explode(F.array(F.col("cls"), F.col("cls") + 1)).alias("cls"), "lead")
@@ -220,7 +226,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         ((F.col("lead.k1") != F.col("k1")) | (F.col("lead.k2") != F.col("k2"))) & _feasible(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
     me, it = _side("me"), _side("it", "lead.")
     pair = lambda df: df.select(F.least("me", "it").alias("x"), F.greatest("me", "it").alias("y")).distinct()
-    first = linked(pair(near.select(me, it)), texts, heavy)
+    first = linked(pair(near.select(me, it)), texts)
     groups = components(first)
 
     rows = rows.select("g", "pos", "n", "k1", "k2", F.struct("k1", "k2").alias("id"))
@@ -235,19 +241,19 @@ def similar_groups(docs: DataFrame) -> DataFrame:
             break
         lead = open_.filter("root = most").groupBy("g").agg(F.min(F.struct("pos", "n", "k1", "k2")).alias("lead"))
         more = open_.filter("root <> most").join(lead, "g").filter(_feasible(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
-        more = linked(pair(more.select(me, it)), texts, heavy)
+        more = linked(pair(more.select(me, it)), texts)
         discard(open_)
         found = found.union(more)
         groups = components(found)
     left = open_.filter("root <> most").select("g", F.col("pos").alias("p"), F.col("root").alias("r"), _side("me"))
     right = open_.select("g", "pos", "root", _side("it"))
     cross = (F.col("root") != F.col("r")) & _feasible(F.col("me.n"), F.col("p"), F.col("it.n"), F.col("pos"))
-    later = linked(pair(left.join(right, "g").filter(cross).select("me", "it")), texts, heavy)
+    later = linked(pair(left.join(right, "g").filter(cross).select("me", "it")), texts)
     discard(open_)
     roots = components(found.union(later))
-    own = shared.filter("pos < 0").select("k1", "k2", "n", F.struct("k1", "k2").alias("id"))
+    own = state.select("k1", "k2", "n", F.struct("k1", "k2").alias("id"))
     groups = staged(own.join(roots, "id", "left").select("k1", "k2", "n", "root"), "groups")
-    discard(shared, found, later)
+    discard(lists, state, found, later)
     drop(texts, label)
     return groups
 

@@ -62,9 +62,9 @@ def corpus(seed, families=6, size=25):
     return [(i if rng.random() < 0.95 else None, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("seed,most", [(1, 1 << 17), (2, 0), (3, 5)])
-def test_report(spark, monkeypatch, seed, most):
-    monkeypatch.setattr(G, "HEAVY_MOST", most)
+@pytest.mark.parametrize("seed,common", [(1, 16), (2, 1), (3, 5), (4, 1 << 30)])
+def test_report(spark, monkeypatch, seed, common):
+    monkeypatch.setattr(G, "COMMON", common)
     docs = corpus(seed)
     df = spark.createDataFrame([(*r, 1, "x") for r in docs], "doc_id long, text string, n int, root string")
     assert sorted(map(tuple, G.jaccard_report(df).collect()), key=str) == brute(docs)
