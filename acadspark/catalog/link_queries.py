@@ -11,6 +11,7 @@ from acadspark.operators import candidates as C
 from acadspark.operators import links as L
 from acadspark.operators import predicates as P
 from acadspark.operators import search as R
+from acadspark.plans.links import checked_candidates, find_better_links
 from acadspark.sources.fixtures import view
 
 NOW = "2024-01-20 00:00:00"
@@ -319,24 +320,23 @@ def _(spark, sf):
     return C.first_verified_profile(verified(spark, sf))
 
 
-# candidates of every person: ranked forms, classed, with a fetch outcome derived from the URL
+# candidates of every person: all forms, classed, and joined with the table of fetched pages
 RANKED = f"""{CANDS},
 prior AS (SELECT obs_id, url, source, pct AS prior_pct FROM found),
 scored AS (SELECT *, least(100, prior_pct + pct + 20 + CASE WHEN link_type IN ({', '.join(S.q(t) for t in C.ACADEMIC_TYPES)}) THEN 30 ELSE 0 END) AS total_pct FROM (
-  SELECT *, {S.link_type('url')} AS link_type, {S.link_pct('url')} AS pct, substr(md5(url), 1, 1) < '8' AS is_accessible FROM prior) t),
+  SELECT *, {S.link_type('url')} AS link_type, {S.link_pct('url')} AS pct, url IN (SELECT url FROM candidate_fetches WHERE is_accessible) AS is_accessible FROM prior) t),
 best3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY total_pct DESC, url) AS rnk FROM scored
   WHERE is_accessible AND link_type <> 'social_media' AND total_pct > 40) b WHERE rnk <= 3)"""
 
 
 def scored(spark, sf):
-    rows = C.url_candidates(obs(spark, sf), ("obs_id",)).withColumnRenamed("pct", "prior_pct")
-    fetched = L.categorize_url(rows, "url").withColumn("is_accessible", F.substring(F.md5("url"), 1, 1) < "8")
-    return C.candidate_confidence(fetched)
+    return checked_candidates(obs(spark, sf), view(spark, sf, "candidate_fetches"))
 
 
 @query("candidate_confidence", f"WITH {RANKED} SELECT obs_id, url, link_type, CAST(total_pct AS DOUBLE) / 100 AS confidence FROM scored")
 def _(spark, sf):
-    return scored(spark, sf).select("obs_id", "url", "link_type", (F.col("total_pct") / F.lit(100.0)).alias("confidence"))
+    rows = C.url_candidates(obs(spark, sf), ("obs_id",)).withColumnRenamed("pct", "prior_pct")
+    return C.candidate_confidence(L.categorize_url(rows, "url")).select("obs_id", "url", "link_type", (F.col("total_pct") / F.lit(100.0)).alias("confidence"))
 
 
 @query("top_candidates", f"WITH {RANKED} SELECT obs_id, url, CAST(rnk AS INTEGER) AS rank, CAST(total_pct AS DOUBLE) / 100 AS confidence FROM best3")
@@ -368,8 +368,7 @@ SELECT c.obs_id, CASE WHEN f.needs_replacement THEN coalesce(w.site, c.personal_
   CASE WHEN f.needs_replacement THEN coalesce(w.lab, c.lab_website) ELSE c.lab_website END AS lab_website, f.needs_replacement AS was_candidate
 FROM cur c JOIN flags f USING (obs_id) LEFT JOIN won w USING (obs_id)""")
 def _(spark, sf):
-    from acadspark.plans.links import find_better_links
-    df = find_better_links(obs(spark, sf), lambda rows: rows.withColumn("is_accessible", F.substring(F.md5("url"), 1, 1) < "8"))
+    df = find_better_links(obs(spark, sf), view(spark, sf, "candidate_fetches"))
     return df.select("obs_id", "personal_website", "lab_website", "was_candidate")
 
 

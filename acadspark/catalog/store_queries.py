@@ -35,11 +35,6 @@ def now():
     return F.lit(NOW).cast("timestamp_ntz")
 
 
-def fetched(rows):
-    """Fetch outcome derived from the URL, as a stand-in for a table of fetched candidates."""
-    return rows.withColumn("is_accessible", F.substring(F.md5("url"), 1, 1) < "8")
-
-
 # ---- sources ----
 
 @query("scan_result_json", """SELECT name, title, university, department, email, phone, lab_name, research_interests FROM observations""")
@@ -423,7 +418,7 @@ LABS = "FROM w JOIN r USING (obs_id) LEFT JOIN lab USING (obs_id) LEFT JOIN labs
 def processed(spark, sf, mode, *cols):
     o = obs(spark, sf)
     labs = o.filter("lab_website IS NOT NULL").groupBy(F.col("lab_website").alias("lab_url")).agg(F.count("*").alias("n_records"))
-    got = PL.process_links(o, mode, fetched, labs)
+    got = PL.process_links(o, mode, view(spark, sf, "candidate_fetches"), labs)
     return got.select("obs_id", *[F.col(c).cast("bigint").alias(c) for c in ("n_social", "n_academic", "n_lab")], F.round("weighted_quality", 6).alias("weighted_quality"), *cols)
 
 
@@ -560,4 +555,4 @@ def _(spark, sf):
 
 @query("full_refresh")
 def _(spark, sf):
-    return C.full_refresh(spark, obs(spark, sf), view(spark, sf, "page_fetches"), enr(spark, sf), fetched, stage_dir(spark, "refresh"))
+    return C.full_refresh(spark, obs(spark, sf), view(spark, sf, "page_fetches"), enr(spark, sf), view(spark, sf, "candidate_fetches"), stage_dir(spark, "refresh"))

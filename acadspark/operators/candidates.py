@@ -26,6 +26,7 @@ PERSON_PATHS = (
     "/faculty/{}", "/people/{}", "/~{}", "/faculty/{}.html", "/people/{}.html", "/directory/{}", "/profiles/{}",
     "/staff/{}", "/{}", "/{}.html", "/faculty/directory/{}", "/psychology/faculty/{}", "/psychology/people/{}",
 )
+DIRECT_HOSTS = ("scholar.google.com", "www.researchgate.net", "orcid.org")
 # query text and link type; {i} stands for the first interests
 QUERY_FORMS = (
     ('"{n}" site:scholar.google.com', "google_scholar"), ('"{n}" {u} site:scholar.google.com', "google_scholar"),
@@ -86,13 +87,18 @@ def _candidate(url: Column, source: str, pct, ord_: int) -> Column:
                     F.lit(ord_).alias("ord"))
 
 
-def domain_candidates() -> Column:
-    """Array of candidates on the person's domains; needs ``full``, ``first_name``, ``last_name`` and ``domains``."""
+def name_forms() -> Column:
+    """The nine forms of a name in a URL (none without a last name); needs ``full``, ``first_name`` and ``last_name``."""
     full, first, last = F.col("full"), F.col("first_name"), F.col("last_name")
-    forms = F.when(last != "", F.array(
+    return F.when(last != "", F.array(
         F.replace(full, F.lit(" "), F.lit("-")), F.replace(full, F.lit(" "), F.lit("_")), F.replace(full, F.lit(" "), F.lit("")),
         F.concat(first, F.lit("-"), last), F.concat(first, F.lit("_"), last), F.concat(F.substring(first, 1, 1), last),
         F.concat(first, F.lit("."), last), last, F.concat(last, F.lit("-"), first))).otherwise(F.array())
+
+
+def domain_candidates() -> Column:
+    """Array of candidates on the person's domains; needs ``full``, ``first_name``, ``last_name`` and ``domains``."""
+    forms = name_forms()
     paths = F.array(*[F.lit(p) for p in PERSON_PATHS])
     return F.flatten(F.transform(F.col("domains"), lambda d: F.flatten(F.transform(forms, lambda n: F.transform(
         paths, lambda p: F.struct(
@@ -154,6 +160,61 @@ def url_candidates(people: DataFrame, keep: tuple[str, ...], top: int | None = N
     return df.select(*keep, F.inline(found))
 
 
+#: Words of 64 bits in the filter of ``indexed_candidates``: 1 MB at most, whatever the number of pages.
+FILTER_WORDS = 1 << 16
+
+
+def candidate_index(fetches: DataFrame) -> DataFrame:
+    """Inverted index of fetched pages: (site, form, url) for every way in which a candidate could have led there.
+
+    ``fetches`` has url and is_accessible. An accessible page on a domain has one row for each person path that its URL
+    fits, keyed by the domain and what stands in the place of the name; a page that a direct form may lead to has a row
+    keyed by its whole URL, with an empty site. A page of several rows is found once for each that a person's forms give,
+    as the candidates themselves repeat.
+    """
+    pages = fetches.filter("is_accessible").select("url").distinct()
+    rest = F.regexp_replace("url", r"^https://[^/]*", "")
+    site = F.regexp_extract("url", r"^https://([^/]*)/", 1)
+    fits = []
+    for p in PERSON_PATHS:
+        before, after = p.split("{}")
+        form = F.substring(rest, F.lit(len(before) + 1), F.length(rest) - len(before) - len(after))
+        fits.append(F.when(rest.startswith(before) & rest.endswith(after) & (F.length(rest) > len(before) + len(after)), form))
+    on_domain = pages.filter(site != "").select(site.alias("site"), F.explode(F.array_compact(F.array(*fits))).alias("form"), "url")
+    direct = pages.filter(F.col("url").rlike("^https://(" + "|".join(h.replace(".", "\\.") for h in DIRECT_HOSTS) + ")/")).select(F.lit("").alias("site"), F.col("url").alias("form"), "url")
+    return on_domain.unionByName(direct)
+
+
+def _filter_bits(site: Column, form: Column) -> tuple[Column, Column]:
+    """Word and bits of a key in the filter: three bits of one word."""
+    h = F.xxhash64(F.lit(3), site, form)
+    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(3)]
+    return F.pmod(F.xxhash64(site, form), F.lit(FILTER_WORDS)).cast("int").alias("word"), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).alias("bits")
+
+
+def key_filter(index: DataFrame) -> DataFrame:
+    """Bloom filter of the keys of an index as a table (word, bits) of FILTER_WORDS rows at most."""
+    return index.select(*_filter_bits(F.col("site"), F.col("form"))).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def indexed_candidates(people: DataFrame, fetches: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The accessible rows of ``url_candidates``, found by the index of the pages: (*keep, url, source, pct).
+
+    A person carries its name forms per domain and its direct forms, not the product of forms and paths. A Bloom filter of
+    the index, whose size does not grow, takes out forms that lead nowhere before the join; the URL comes from the page.
+    """
+    index = candidate_index(fetches)
+    df = with_domains(with_name_parts(people)).withColumn("display_name", N.display_name(F.col("name"))).filter("display_name <> ''")
+    on_domain = F.flatten(F.transform("domains", lambda d: F.transform(name_forms(), lambda n: F.struct(
+        d.alias("site"), n.alias("form"), F.lit("domain_discovery").alias("source"), F.when(d.contains(".edu"), 80).otherwise(60).alias("pct")))))
+    direct = F.transform(direct_candidates(), lambda c: F.struct(F.lit("").alias("site"), c["url"].alias("form"), c["source"].alias("source"), c["pct"].alias("pct")))
+    keys = df.select(*keep, F.inline(F.concat(on_domain, direct)))
+    word, bits = _filter_bits(F.col("site"), F.col("form"))
+    some = F.broadcast(key_filter(index).withColumnRenamed("bits", "known"))
+    open_ = keys.withColumns({"word": word, "bits": bits}).join(some, "word").filter(F.col("known").bitwiseAND(F.col("bits")) == F.col("bits"))
+    return open_.drop("word", "bits", "known").join(index, ["site", "form"]).select(*keep, "url", "source", "pct")
+
+
 def missing_link_forms(people: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """Direct forms for a missing scholar profile (three) or personal site (six): kind, url, ord."""
     df = with_name_parts(people).withColumn("dom", institution_domain(F.col("university")))

@@ -18,22 +18,34 @@ def validate_links(people: DataFrame, fetches: DataFrame) -> tuple[DataFrame, Da
     return checked, L.validated_report(checked, people.agg(F.count("*").alias("people")))
 
 
-def with_better_links(flagged: DataFrame, fetch: Callable[[DataFrame], DataFrame], top: int | None = None, best: int = 3) -> DataFrame:
+Fetched = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def checked_candidates(people: DataFrame, fetch: Fetched, top: int | None = None) -> DataFrame:
+    """Classed and checked candidates of ``people`` with their total confidence.
+
+    ``fetch`` is a table of fetched pages (url, is_accessible), whose index finds the candidates that lead to one; or a
+    function that takes all candidate rows (obs_id, url, source, prior_pct) and adds ``is_accessible``.
+    """
+    if callable(fetch):
+        rows = C.url_candidates(people, ("obs_id",), top=top).withColumnRenamed("pct", "prior_pct")
+        return C.candidate_confidence(fetch(L.categorize_url(rows, "url")))
+    rows = C.indexed_candidates(people, fetch, ("obs_id",)).withColumnRenamed("pct", "prior_pct")
+    return C.candidate_confidence(L.categorize_url(rows, "url").withColumn("is_accessible", F.lit(True)))
+
+
+def with_better_links(flagged: DataFrame, fetch: Fetched, top: int | None = None, best: int = 3) -> DataFrame:
     """Add the upgraded links of ``best_primary_link`` to people with links and replacement flags.
 
     Only people to be replaced leave for the candidates; their few best ones come back in one join.
     """
-    rows = C.url_candidates(flagged.filter("needs_replacement"), ("obs_id",), top=top).withColumnRenamed("pct", "prior_pct")
-    scored = C.candidate_confidence(fetch(L.categorize_url(rows, "url")))
+    scored = checked_candidates(flagged.filter("needs_replacement"), fetch, top)
     return C.upgraded_links(flagged.join(C.ranked_lists(C.top_candidates(scored, best)), "obs_id", "left"))
 
 
-def find_better_links(people: DataFrame, fetch: Callable[[DataFrame], DataFrame], top: int | None = None, best: int = 3) -> DataFrame:
-    """Replace the links of people with social links by their best verified candidates.
-
-    ``fetch`` takes the candidate rows (obs_id, url, source, prior_pct) and adds ``is_accessible``, for example by a
-    join with a table of fetch outcomes.
-    """
+def find_better_links(people: DataFrame, fetch: Fetched, top: int | None = None, best: int = 3) -> DataFrame:
+    """Replace the links of people with social links by their best verified candidates; ``fetch`` as for
+    ``checked_candidates``."""
     flagged = L.secondary_candidates(L.attach_links(people))
     better = with_better_links(flagged, fetch, top, best)
     new = {"personal_website": F.col("new_personal_website"), "lab_website": F.col("new_lab_website"), "was_candidate": F.col("needs_replacement")}
@@ -59,7 +71,7 @@ def fill_missing_links(people: DataFrame, verified: DataFrame) -> DataFrame:
     }).drop("_site", "_scholar")
 
 
-def process_links(people: DataFrame, mode: str, fetch: Callable[[DataFrame], DataFrame] | None = None, labs: DataFrame | None = None) -> DataFrame:
+def process_links(people: DataFrame, mode: str, fetch: Fetched | None = None, labs: DataFrame | None = None) -> DataFrame:
     """Link processing by mode: ``categorize`` only, ``social`` (replace social links), ``labs`` (attach lab records) or ``full``.
 
     ``labs`` has lab_url and its record columns.

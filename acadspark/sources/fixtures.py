@@ -110,6 +110,23 @@ SELECT obs_id, person_key, name, concat('https://www.profiles.edu/people/', CAST
 FROM observations
 """
 
+# pages that exist on the people's own sites and on profile platforms, some of them gone; most of them lead to one of a person's forms
+VIEWS["candidate_fetches"] = r"""
+SELECT url, max(ok) = 1 AS is_accessible FROM (
+  SELECT concat('https://', site, CASE obs_id % 11 WHEN 0 THEN concat('/faculty/', f, '-', l) WHEN 1 THEN concat('/~', l) WHEN 2 THEN concat('/people/', l, '.html')
+      WHEN 3 THEN concat('/', f, '.', l) WHEN 4 THEN concat('/psychology/people/', f, '_', l) WHEN 5 THEN concat('/directory/', l, '-', f) WHEN 6 THEN concat('/faculty/directory/', substr(f, 1, 1), l)
+      WHEN 7 THEN concat('/', f, '-', l, '.html') WHEN 8 THEN concat('/labs/', l) WHEN 9 THEN concat('/research/lab/', f, '/', l) ELSE concat('/people/', f, '-', l) END) AS url,
+    CASE WHEN obs_id % 4 = 0 THEN 0 ELSE 1 END AS ok
+  FROM (SELECT obs_id, split_part(profile_url, '/', 3) AS site, concat('g', translate(CAST(person_key % 40 AS STRING), '0123456789', 'abcdefghij')) AS f,
+    concat('f', translate(CAST(person_key % 700 AS STRING), '0123456789', 'abcdefghij')) AS l FROM observations WHERE profile_url <> '') s
+  UNION ALL
+  SELECT CASE obs_id % 4 WHEN 0 THEN concat('https://scholar.google.com/citations?q=', replace(replace(name, 'Dr. ', ''), ' ', '+'))
+      WHEN 1 THEN concat('https://www.researchgate.net/profile/', replace(lower(replace(name, 'Dr. ', '')), ' ', '-'))
+      WHEN 2 THEN concat('https://scholar.google.com/citations?q=', replace(concat(replace(name, 'Dr. ', ''), ' ', university), ' ', '+'))
+      ELSE concat('https://orcid.org/search?searchQuery=', replace(replace(name, 'Dr. ', ''), ' ', '+')) END, CASE WHEN obs_id % 3 = 0 THEN 0 ELSE 1 END
+  FROM observations WHERE obs_id % 5 < 3) u GROUP BY url
+"""
+
 VIEWS["listing_pages"] = r"""
 SELECT obs_id AS page_id, concat('https://www.directory.edu/list?page=', CAST(obs_id AS STRING)) AS url,
   concat('<html><body><h2>Department of ', department, '</h2><ul><li><a href="/department/', lower(department), '">Department of ', department, '</a></li>',
@@ -122,6 +139,49 @@ SELECT obs_id AS page_id, concat('https://www.directory.edu/list?page=', CAST(ob
 FROM observations
 """
 
+# three levels of lists and of tables, with spans
+VIEWS["nested_pages"] = r"""
+SELECT obs_id AS page_id, concat('https://www.nested.edu/', CAST(obs_id AS STRING)) AS url,
+  concat('<html><body><ul class="a"><li>', department, '<ol><li>', name, '<ul><li>', coalesce(title, ''), '</li><li>', coalesce(lab_name, ''), '</li></ul></li><li>second</li></ol></li><li>tail ',
+    CAST(obs_id AS STRING), '</li></ul><table><tr><th colspan="2">', university, '</th></tr><tr><td rowspan="2">', department, '</td><td><table><tr><td>', name,
+    '</td><td>x<table><tr><td>', coalesce(title, ''), '</td></tr></table></td></tr></table></td></tr><tr><td>last</td></tr></table></body></html>') AS html
+FROM observations
+"""
+
+# a site per university: program, numbered directory, profile and lab pages; profiles lead back to programs, some labs to the start
+VIEWS["crawl_links"] = r"""
+SELECT DISTINCT src, dst FROM (
+  SELECT concat('https://u', uni, '.edu/') AS src, concat('https://u', uni, '.edu/programs/', dep) AS dst FROM (
+    SELECT CAST(person_key % 25 AS STRING) AS uni, lower(replace(department, ' ', '-')) AS dep FROM observations) a
+  UNION ALL SELECT concat('https://u', uni, '.edu/programs/', dep), concat('https://u', uni, '.edu/directory/', dep, '?page=0') FROM (
+    SELECT CAST(person_key % 25 AS STRING) AS uni, lower(replace(department, ' ', '-')) AS dep FROM observations) b
+  UNION ALL SELECT concat('https://u', uni, '.edu/directory/', dep, '?page=', CAST(k AS STRING)), concat('https://u', uni, '.edu/directory/', dep, '?page=', CAST(k + 1 AS STRING)) FROM (
+    SELECT CAST(person_key % 25 AS STRING) AS uni, lower(replace(department, ' ', '-')) AS dep, obs_id % 5 AS k FROM observations) c
+  UNION ALL SELECT concat('https://u', uni, '.edu/directory/', dep, '?page=', CAST(k AS STRING)), concat('https://u', uni, '.edu/people/', CAST(obs_id AS STRING)) FROM (
+    SELECT CAST(person_key % 25 AS STRING) AS uni, lower(replace(department, ' ', '-')) AS dep, obs_id % 5 AS k, obs_id FROM observations) d
+  UNION ALL SELECT concat('https://u', uni, '.edu/people/', CAST(obs_id AS STRING)), concat('https://u', uni, '.edu/', CASE WHEN lab_website IS NULL THEN concat('programs/', dep)
+      ELSE concat('research/lab', CAST(person_key % 50 AS STRING)) END) FROM (
+    SELECT CAST(person_key % 25 AS STRING) AS uni, lower(replace(department, ' ', '-')) AS dep, obs_id, lab_website, person_key FROM observations) e
+  UNION ALL SELECT concat('https://u', CAST(person_key % 25 AS STRING), '.edu/research/lab', CAST(person_key % 50 AS STRING)), concat('https://u', CAST(person_key % 25 AS STRING), '.edu/') FROM observations
+    WHERE person_key % 50 % 2 = 0) u
+"""
+
+VIEWS["crawl_pages"] = r"""
+SELECT 0 AS page_id, src AS url, concat('<html><body><a href="#top">top</a><a href="mailto:a@b.edu">mail</a>', string_agg(concat('<p><a href="', dst, '">there</a> <a href="', dst, '">again</a></p>'), ''),
+  '</body></html>') AS html FROM crawl_links GROUP BY src
+"""
+
+# listing pages of two sites that name people in different ways, and of one without rules
+VIEWS["rule_pages"] = r"""
+SELECT obs_id AS page_id, concat('https://site', CAST(obs_id % 3 AS STRING), '.edu/people?id=', CAST(obs_id AS STRING)) AS url,
+  CASE obs_id % 3 WHEN 0 THEN concat('<html><body><article class="Card big"><h4 class="nm"><a href="/p/', CAST(obs_id AS STRING), '">', name, '</a></h4><span class="role">', coalesce(title, ''),
+      '</span><a href="mailto:', coalesce(email, ''), '">mail</a></article><article class="card"><h4>No name</h4></article></body></html>')
+    WHEN 1 THEN concat('<html><body><table><tr class="row"><td class="who">', name, '</td><td class="pos"><i>', coalesce(title, ''), '</i></td><td><a class="page" href="https://own.edu/', CAST(obs_id AS STRING),
+      '">page</a></td></tr><tr class="row"><td class="who">Second ', department, '</td></tr></table></body></html>')
+    ELSE concat('<html><body><div class="card"><h4 class="nm">', name, '</h4></div></body></html>') END AS html
+FROM observations
+"""
+
 VIEWS["project_pages"] = r"""
 SELECT obs_id AS page_id, concat('https://www.labs.edu/', CAST(obs_id AS STRING)) AS url,
   concat('<html><body><h2>Current Projects</h2><ul><li>Study of ', department, ' funded by the Nation Fund, started in ', CAST(2000 + obs_id % 20 AS STRING),
