@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from acadspark.functions import names as N
 from acadspark.functions import urls as U
+from acadspark.operators import registry as R
 from acadspark.operators.dedup import ORDER, _filled, _first, fold_confidence
 from acadspark.session import stage_table
 
@@ -22,14 +23,34 @@ def with_ids(obs: DataFrame) -> DataFrame:
     })
 
 
-def build_entities(obs: DataFrame, staged: bool = False) -> dict[str, DataFrame]:
+#: Kinds of enrichment facts that become edges of a person.
+FACT_KINDS = ("google_scholar", "links", "profile")
+
+
+def with_registry_ids(obs: DataFrame, people: DataFrame, labs: DataFrame) -> DataFrame:
+    """As ``with_ids``, with the ids of resolved people and labs from their registries; rows without a name are left out."""
+    out = R.with_entities(R.with_entities(obs, R.person_nodes, people, "_person"), R.lab_nodes, labs, "_lab").filter("_person IS NOT NULL")
+    ids = {"person_id": F.col("_person").cast("string"), "lab_id": F.col("_lab").cast("string")}
+    return with_ids(out).withColumns(ids).drop("_person", "_lab")
+
+
+def enrichment_edges(obs_with_ids: DataFrame, facts: DataFrame) -> DataFrame:
+    """Edges of people to their scholar, link and profile facts: enrichment_id, person_id, enrichment_type, pct."""
+    return facts.filter(F.col("enrichment_type").isin(*FACT_KINDS)).select("enrichment_id", "obs_id", "enrichment_type").join(
+        obs_with_ids.select("obs_id", "person_id"), "obs_id").select("enrichment_id", "person_id", "enrichment_type", F.lit(80).alias("pct"))
+
+
+def build_entities(obs: DataFrame, staged: bool = False, registries: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Entity tables (person, university, department, lab) and edge tables (person_department, person_lab,
     lab_department, person_enrichment). Edges keep one row per observation; confidences are hundredths.
 
+    With ``registries`` (of people and of labs) ids are those of resolved entities, which last from batch to batch.
+
     All tables derive from the observations with ids. With ``staged`` these are written to the shared folder first, for
     jobs that use most of the tables; without it each table is one lazy plan over the observations.
     """
-    o = stage_table(with_ids(obs), "ids") if staged else with_ids(obs)
+    o = with_registry_ids(obs, *registries) if registries else with_ids(obs)
+    o = stage_table(o, "ids") if staged else o
     in_order = F.struct(*ORDER)
     host = F.nullif(U.authority(F.col("profile_url")), F.lit(""))
     person = o.groupBy("person_id").agg(
