@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,6 @@ from acadspark.llm.common import WORD, gapless, staged, text_keys
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-EXACT = 1 << 15
 
 
 def word_count(text: Column) -> Column:
@@ -38,28 +39,31 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> Dat
     return found.select("source", "source_size", "weight", F.least(F.col("limit"), F.coalesce(F.col("level") * F.col("weight"), F.col("limit"))).alias("target"))
 
 
-def fit_lengths(lengths: list[int], counts: list[int], budget: int, exact: int = EXACT) -> list[int]:
+def fit_lengths(lengths: list[int], counts: list[int], budget: int, exact: int = 0) -> list[int]:
     """How many documents of each length to take so that their words come to ``budget``, or next to it.
 
-    Every length first gives its share, rounded down, unless all words are fewer than eight times ``exact``. The rest is
-    filled from the longest lengths until at most that many words remain; bounded-knapsack dynamic programming over sums,
-    one bit per sum, then finds the reachable sum nearest to the remainder.
+    At every size of a source, each length first gives its share of the budget but for two longest documents (or ``exact`` words, if those are more): shares are
+    rounded as running sums over rising lengths, so any stretch of lengths gives its part and the words stay within a longest
+    document of the share. Bounded-knapsack dynamic programming over sums, one bit per sum, then finds the reachable sum
+    nearest to what is left, trying lengths in a seeded order, so that it prefers none.
     """
     whole = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget <= 0 or not whole:
         return [0] * len(lengths)
     if budget >= whole:
         return list(counts)
-    limit = exact if whole > 8 * exact else whole
-    take = [c * budget // whole if whole > 8 * exact else 0 for c in counts]
+    rising = sorted(range(len(lengths)), key=lambda i: lengths[i])
+    longest = lengths[rising[-1]]
+    share, take, seen, given = max(0, budget - max(2 * longest, exact)), [0] * len(lengths), 0, 0
+    for i in rising:
+        seen += counts[i]
+        take[i] = seen * share // whole - given
+        given += take[i]
     left = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    for i in order:
-        more = min(counts[i] - take[i], max(0, left - limit) // lengths[i])
-        take[i] += more
-        left -= more * lengths[i]
-    top = left + lengths[order[0]]
+    top = left + longest
     reach, steps, mask = 1, [], (1 << (top + 1)) - 1
+    order = rising[:]
+    random.Random(len(order)).shuffle(order)
     for i in order:
         free, lot = min(counts[i] - take[i], top // lengths[i]), 1
         while free > 0 and not reach >> left & 1:
@@ -111,7 +115,11 @@ def mix(rows: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFram
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words, repeats counted) of every row of ``docs``; null text: no words."""
+    """doc_id, size, source_size, target and taken (words, repeats counted) of every row of ``docs``.
+
+    A null text has no words and takes nothing; a null source is the last one; null and repeated ids stay rows, equal rows
+    are told apart by their place only. An empty table gives no rows; other columns are not read.
+    """
     key = F.struct("doc_id", F.xxhash64("text").alias("k"))
     rows = staged(docs.select("source", word_count(F.col("text")).alias("size"), key.alias("id")), "sizes")
     return mix(rows).select("id.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -86,3 +86,19 @@ def test_fit_lengths_is_exact_where_possible():
             assert all(0 <= t <= c for t, c in zip(take, counts))
             assert abs(sum(n * t for n, t in zip(lengths, take)) - budget) <= max(lengths)
     assert sum(n * t for n, t in zip([7, 5], M.fit_lengths([7, 5], [3, 3], 17))) == 17
+
+
+def test_short_documents_of_a_small_source_are_drawn_in_proportion():
+    rng = random.Random(8)
+    for n in (60, 400, 5000):
+        lengths = sorted(rng.sample(range(5, 60_000 if n == 5000 else 3000), n))
+        counts = [rng.choice([1, 1, 2]) for _ in lengths]
+        whole = sum(a * c for a, c in zip(lengths, counts, strict=True))
+        for part in (0.25, 0.5, 0.8):
+            budget = int(whole * part)
+            take = M.fit_lengths(lengths, counts, budget)
+            assert all(0 <= t <= c for t, c in zip(take, counts, strict=True))
+            assert sum(a * t for a, t in zip(lengths, take, strict=True)) == budget
+            half = n // 2
+            short, long = sum(take[:half]) / sum(counts[:half]), sum(take[half:]) / sum(counts[half:])
+            assert abs(short - part) < 0.15 and abs(long - part) < 0.15, (n, part, short, long)
