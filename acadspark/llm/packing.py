@@ -57,7 +57,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUEN
 def sequences(parts: DataFrame) -> DataFrame:
     """Adds sequence_id and offset to staged pieces. Pieces of one length form a bucket, longest first; a piece is a whole
     sequence of that length, which needs no padding and never holds two documents. Ids run from 0 without gaps."""
-    ranked = gapless(parts, ["length"], ["doc_id", "start"], "_rank")
+    own = [c for c in ("doc_id", "start", "ids", "ids_crc32") if c in parts.columns]  # what a piece holds parts rows without an id
+    ranked = gapless(parts, ["length"], own, "_rank")
     sizes = parts.groupBy("length").agg(F.count(F.lit(1)).alias("_n"))  # as many rows as there are powers of two
     below = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = sizes.select("length", below.alias("_base"))
@@ -65,6 +66,9 @@ def sequences(parts: DataFrame) -> DataFrame:
 
 
 def pack_report(docs: DataFrame) -> DataFrame:
-    """Digest of the packing per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """Digest of the packing per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    Null and repeated ids stay rows with pieces of their own; an empty table gives no rows; other columns are not read.
+    """
     narrow = pieces(docs).select("doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens")
     return sequences(staged(narrow, "pieces"))
