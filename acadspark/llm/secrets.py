@@ -34,6 +34,12 @@ EVERY = 0.3  # and least mean per character
 BACK_OFF = 200.0  # a pair seen a few times is no evidence yet
 UNIFORM = 0.3
 UNSEEN = 0.05  # share of an even choice in ordinary strings, so that one rare character proves nothing
+NUMBER = 2 / 3  # share of digits among the letters and digits of a number-like string, which has models of its own
+HELD_OUT = 5  # one text in so many sets the margins instead of the models
+FALSE_SHARE = 1e-4  # of held-out ordinary strings that may reach the margin
+_DIGIT, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_DIGIT[48:58] = True
+_LETTER[65:91] = _LETTER[97:123] = True
 
 
 def runs(mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,52 +97,132 @@ def transitions(data: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> np.ndarray:
-    """Log-likelihood ratios of character pairs, random strings over identifiers: an array (N + 1, N).
+class Model:
+    """Log-likelihood ratios of character pairs, random strings over ordinary ones, and margins: for strings at large (0) and for
+    number-like ones (1): dates, book, card and account numbers are mostly digits and are compared with each other only."""
 
-    The strings labelled random are those that base patterns find, the ordinary ones all strings of any length
-    that hold none of them, in a sample of about ``texts`` distinct texts of the smallest hash. Pair counts of the sample are summed by
-    Spark: two tables of fixed size reach the driver. Pairs back off to single characters, and these to equal shares, so an
-    empty sample gives a ratio of 0. A random string may be of any alphabet: UNIFORM of its model is an even choice; UNSEEN
-    of the model of ordinary strings is one too.
-    """
-    total = docs.count()
-    share = min(1.0, texts / max(1, total))
+    def __init__(self, ratio: np.ndarray, margin: tuple[float, float]):
+        self.ratio, self.margin = ratio, margin
+
+
+def number_like(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """1 for stretches whose letters and digits are digits to NUMBER or more, else 0."""
+    digits, letters = (np.concatenate([[0], np.cumsum(mask[data])]) for mask in (_DIGIT, _LETTER))
+    d, n = digits[end] - digits[start], letters[end] - letters[start]
+    return ((d > 0) & (d >= NUMBER * (d + n))).astype(np.int64)
+
+
+def labelled_strings(part: np.ndarray, at: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Random strings (values that base patterns find) and ordinary ones (all strings that hold none) of texts."""
+    secret = np.zeros(len(part) + 1, bool)
+    labelled = []
+    for spans in base_spans(part, at):
+        for a, kind, b in spans:
+            secret[a:b] = True
+            if kind == 0:  # the value after the sign
+                a += _ASSIGN.match(part[a:b].tobytes()).start(2)
+            labelled.append((a, b))
+    start, end = strings(part, at, 1)
+    inside = np.concatenate([[0], np.cumsum(secret)])
+    plain = inside[end] == inside[start]  # the rest of a run beside a secret is not ordinary
+    return labelled, list(zip(start[plain].tolist(), end[plain].tolist(), strict=True))
+
+
+def sampled(docs: DataFrame, texts: int, held_out: bool) -> DataFrame:
+    """(text): about ``texts`` distinct texts of the smallest hash, those that set the margins or the others."""
+    share = min(1.0, texts / max(1, docs.count()))
     hashed = F.xxhash64(F.lit(3), "text")
-    sample = docs.select("text").filter(F.col("text").isNotNull() & (hashed <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))))
-    distinct = sample.groupBy(hashed.alias("h")).agg(F.min("text").alias("text"))
+    some = docs.select("text").filter(F.col("text").isNotNull() & (hashed <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))))
+    distinct = some.groupBy(hashed.alias("h")).agg(F.min("text").alias("text"))
+    held = F.pmod(F.xxhash64(F.lit(4), "h"), F.lit(HELD_OUT)) == 0
+    return distinct.filter(held if held_out else ~held).select("text")
+
+
+def train(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> Model:
+    """Models and margins from a sample of about ``texts`` distinct texts.
+
+    The strings labelled random are those that base patterns find, the ordinary ones all strings of any length that hold none
+    of them. Pair counts are summed by Spark: tables of fixed size reach the driver. Pairs back off to single characters, and
+    these to equal shares, so an empty sample gives a ratio of 0. A random string may be of any alphabet: UNIFORM of its
+    model is an even choice; UNSEEN of the model of ordinary strings is one too. A margin is MARGIN or the least above it that
+    no more than FALSE_SHARE of the held-out ordinary strings reach.
+    """
 
     def run(it):
-        tables = np.zeros((2, (N + 1) * N), np.int64)
+        tables = np.zeros((4, (N + 1) * N), np.int64)
         for batch in it:
             data, offsets = utf8(batch.column("text"))
             for i, j in chunks(offsets):
                 part, at = data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i]
-                secret = np.zeros(len(part) + 1, bool)
-                labelled = []
-                for spans in base_spans(part, at):
-                    for a, kind, b in spans:
-                        secret[a:b] = True
-                        if kind == 0:  # the value after the sign
-                            a += _ASSIGN.match(part[a:b].tobytes()).start(2)
-                        labelled.append((a, b))
-                start, end = strings(part, at, 1)
-                inside = np.concatenate([[0], np.cumsum(secret)])
-                plain = inside[end] == inside[start]  # the rest of a run beside a secret is not ordinary
-                tables[0] += transitions(part, labelled)
-                tables[1] += transitions(part, list(zip(start[plain], end[plain], strict=True)))
+                for label, spans in enumerate(labelled_strings(part, at)):
+                    both = np.array(spans, np.int64).reshape(-1, 2)
+                    kind = number_like(part, both[:, 0], both[:, 1])
+                    for k in (0, 1):
+                        tables[2 * k + label] += transitions(part, [s for s, own in zip(spans, kind, strict=True) if own == k])
         label, pair = np.nonzero(tables)
         yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(tables[label, pair])], names=["label", "pair", "n"])
 
-    counted = distinct.select("text").mapInArrow(run, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n"))
-    tables = np.zeros((2, N + 1, N))
-    for r in counted.collect():  # at most 2 (N + 1) N rows
+    counted = sampled(docs, texts, False).mapInArrow(run, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n"))
+    tables = np.zeros((4, N + 1, N))
+    for r in counted.collect():  # at most 4 (N + 1) N rows
         tables[r["label"]].ravel()[r["pair"]] += r["n"]
     single = (tables.sum(1) + 1) / (tables.sum((1, 2)) + N)[:, None]
     pairs = (tables + BACK_OFF * single[:, None, :]) / (tables.sum(2, keepdims=True) + BACK_OFF)
-    pairs[0] = (1 - UNIFORM) * pairs[0] + UNIFORM / N
-    pairs[1] = (1 - UNSEEN) * pairs[1] + UNSEEN / N
-    return np.log(pairs[0]) - np.log(pairs[1])
+    pairs[::2] = (1 - UNIFORM) * pairs[::2] + UNIFORM / N
+    pairs[1::2] = (1 - UNSEEN) * pairs[1::2] + UNSEEN / N
+    model = Model(np.log(pairs[::2]) - np.log(pairs[1::2]), (MARGIN, MARGIN))
+    rates = held_out_scores(docs, model, texts)
+    margin = []
+    for kind in (0, 1):
+        plain = sorted(((s, n) for (label, k, s), n in rates.items() if label == 1 and k == kind), reverse=True)
+        allowed, least = FALSE_SHARE * sum(n for _, n in plain), MARGIN
+        for score, n in plain:
+            allowed -= n
+            if allowed < 0:
+                least = max(least, score + 1.0)
+                break
+        margin.append(least)
+    return Model(model.ratio, (margin[0], margin[1]))
+
+
+def held_out_scores(docs: DataFrame, model: Model, texts: int = SAMPLE_TEXTS) -> dict[tuple[int, int, int], int]:
+    """Numbers of held-out strings by (label: 0 random, 1 ordinary; number-like; whole part of the ratio, 0 for all that fall
+    below it or below EVERY per character): some hundreds of rows reach the driver."""
+
+    def run(it):
+        for batch in it:
+            data, offsets = utf8(batch.column("text"))
+            for i, j in chunks(offsets):
+                part, at = data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i]
+                for label, spans in enumerate(labelled_strings(part, at)):
+                    both = np.array(spans, np.int64).reshape(-1, 2)
+                    if len(both):
+                        score, kind = ratios(part, both[:, 0], both[:, 1], model)
+                        score = np.where(score >= EVERY * (both[:, 1] - both[:, 0]), np.clip(score, 0, 500), 0).astype(np.int64)
+                        pair, n = np.unique(kind * 1000 + score, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), label)), pa.array(pair // 1000), pa.array(pair % 1000), pa.array(n)], names=["label", "kind", "score", "n"])
+
+    found = sampled(docs, texts, True).mapInArrow(run, "label long, kind long, score long, n long").groupBy("label", "kind", "score").agg(F.sum("n").alias("n"))
+    return {(r["label"], r["kind"], r["score"]): r["n"] for r in found.collect()}
+
+
+def ratios(data: np.ndarray, start: np.ndarray, end: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood ratio and kind (number-like or not) of stretches of alphabet characters in order; characters of none, as in
+    labelled values, count 0."""
+    kind = number_like(data, start, end)
+    code = CODE[data].astype(np.int64)
+    score = np.zeros(len(start))
+    for k in (0, 1):
+        own = np.flatnonzero(kind == k)
+        if not len(own):
+            continue
+        before = np.concatenate([[N], code[:-1]])
+        before[start[own]] = N
+        known = (code >= 0) & (before >= 0)
+        each = np.where(known, model.ratio[k][np.where(before < 0, N, before), np.maximum(code, 0)], 0.0)
+        total = np.concatenate([[0.0], np.cumsum(each)])
+        score[own] = total[end[own]] - total[start[own]]
+    return score, kind
 
 
 def outside(start: np.ndarray, end: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -164,22 +250,19 @@ def outside(start: np.ndarray, end: np.ndarray, spans: list[tuple[int, int]]) ->
     return both[:, 0], both[:, 1]
 
 
-def markov_spans(data: np.ndarray, offsets: np.ndarray, ratio: np.ndarray, base: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
-    """Strings outside the spans ``base`` whose log-likelihood ratio and mean ratio reach MARGIN and EVERY, in bytes of
-    ``data``. No length is asked for: strings too short to come to MARGIN at the highest ratio are left out beforehand."""
-    top = max(float(ratio.max()), 1e-9)
-    start, end = outside(*strings(data, offsets, max(1, math.ceil(MARGIN / top))), base or [])
+def markov_spans(data: np.ndarray, offsets: np.ndarray, model: Model, base: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """Strings outside the spans ``base`` whose log-likelihood ratio and mean ratio reach the margin and EVERY, in bytes of
+    ``data``. No length is asked for: strings too short to come to a margin at the highest ratio are left out beforehand."""
+    top = max(float(model.ratio.max()), 1e-9)
+    start, end = outside(*strings(data, offsets, max(1, math.ceil(min(model.margin) / top))), base or [])
     if not len(start):
         return []
-    code = CODE[data].astype(np.int64)
-    before = np.concatenate([[N], code[:-1]])
-    before[start] = N
-    score = np.add.reduceat(np.append(ratio[before, code], 0.0), np.column_stack([start, end]).ravel())[::2]
-    good = (score >= MARGIN) & (score >= EVERY * (end - start))
+    score, kind = ratios(data, start, end, model)
+    good = (score >= np.array(model.margin)[kind]) & (score >= EVERY * (end - start))
     return list(zip(start[good].tolist(), end[good].tolist(), strict=True))
 
 
-def scan(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
+def scan(rows: DataFrame, model: Model) -> DataFrame:
     """``rows`` (row: a struct, text: no null) with n_assign, n_access, n_hex, base and spans (kind:start:end by code
     points, comma-joined) and redacted, the text with each span, overlaps joined, replaced by [SECRET].
 
@@ -196,7 +279,7 @@ def scan(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
                 part, at = data[lo: offsets[j]], offsets[i: j + 1] - lo
                 found = base_spans(part, at)
                 added: list[list] = [[] for _ in found]
-                for a, b in markov_spans(part, at, ratio, [(x, y) for base in found for x, _, y in base]):
+                for a, b in markov_spans(part, at, model, [(x, y) for base in found for x, _, y in base]):
                     added[int(np.searchsorted(at, a, "right")) - 1].append((a, 3, b))
                 for d, base in enumerate(found):
                     a, b = int(at[d]), int(at[d + 1])
@@ -226,7 +309,11 @@ def scan(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
 
 
 def secrets_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row of ``docs``; a null text is an empty one."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row of ``docs``.
+
+    A null text is an empty one and has no spans; null and repeated ids stay rows, equal texts give equal spans; an empty table
+    gives no rows; other columns are not read.
+    """
     rows = docs.select(F.struct("doc_id").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     found = scan(rows, train(docs)).select("row.doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
     return staged(found, "secrets")
