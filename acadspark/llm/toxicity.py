@@ -6,15 +6,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from acadspark.llm.common import chunks, lowered, mix, prefix_hash, span_hash, staged, utf8
 
 BUCKETS = 1 << 18
 STEMS = (4, 5, 6, 7, 8)
 SAMPLE_ROWS = 2500  # labelled documents of each class that the model is fitted on
-SAMPLE_BYTES = 6000  # of at most so many bytes each
-LEAST_DOCUMENTS = 6  # sampled documents that hold a feature
-EPOCHS, RATE, DECAY = 150, 0.15, 0.1
+SAMPLE_BYTES = 8_000_000  # of each class; texts of any length count until the sum reaches it
+LEAST_DOCUMENTS = 4  # sampled documents that hold a feature; the prior keeps rare ones small
+EPOCHS, RATE, DECAY = 150, 0.15, 0.3
+LEAN = 0.5  # power of a class's share: 1 keeps the shares of the labels, 0 makes the classes equal
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -93,16 +95,18 @@ def fit(word: np.ndarray, sentence: np.ndarray, text: np.ndarray, label: np.ndar
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
-    """Model from labelled rows that are not held out: of each class the ``rows`` ids of the smallest hash, weighted back to
-    the share of the class. Nothing but text and ``toxic`` is read. One text counts per id. Word buckets of this bounded
-    sample reach the driver; without labels of both classes the score is constant."""
+    """Model from labelled rows that are not held out: of each class the ``rows`` ids of the smallest hash, as long as their texts
+    do not come to SAMPLE_BYTES, weighted by the share of the class to the power of LEAN. Nothing but text and ``toxic`` is read. One text
+    counts per id, whatever its length. Word buckets of this bounded sample reach the driver; without labels of both classes
+    the score is constant."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     size = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    short = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_BYTES)
     pick = lambda y: usable.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = F.broadcast(pick(0).unionByName(pick(1)))  # 2 x SAMPLE_ROWS ids
-    found = short.join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # of SAMPLE_ROWS rows
+    found = found.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).filter(F.col("before") < SAMPLE_BYTES)
 
     def run(it):
         for batch in it:
@@ -124,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[
     label = np.array([r["toxic"] for r in got], np.int64)
     times = {y: size.get(y, 0) / max(1, int((label == y).sum())) for y in (0, 1)}
     text = np.repeat(np.arange(len(got)), [r["n"] for r in got])
-    return fit(word, sentence, text, label, np.array([times[y] for y in label]))
+    each = {y: times[y] / max(1, size.get(y, 0)) ** (1 - LEAN) for y in (0, 1)}
+    return fit(word, sentence, text, label, np.array([each[y] for y in label]))
 
 
 def score_texts(rows: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
@@ -163,7 +168,12 @@ def score_texts(rows: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted and the worst sentence of every row of ``docs``; a text without words scores 0."""
+    """doc_id, held_out, score, predicted and the worst sentence of every row of ``docs``.
+
+    A text without words, null included, scores 0 and has no worst sentence; null ids are never held out, repeated ids stay
+    rows; without labels, or with those of one class, the score is constant; an empty table gives no rows; other columns are
+    not read.
+    """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     scored = staged(score_texts(rows, train(docs, labels)), "scores")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_sentences", "worst_start", "worst_end")
