@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
-    "text_queries", "link_queries", "page_queries", "entity_queries", "store_queries", "chain_queries",
+    "text_queries", "link_queries", "page_queries", "entity_queries", "store_queries", "chain_queries", "state_queries", "proof_queries",
 )
 
 

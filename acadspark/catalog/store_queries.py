@@ -41,7 +41,7 @@ def now():
 def _(spark, sf):
     cols = [F.col(c) for c in tables.PERSON]
     path = stage_dir(spark, "results")
-    # envelopes of bounded size, cycling through the envelope keys and the bare form
+    # envelopes of bounded size, cycling through the envelope keys; scan_result_variant has the other shapes
     rows = obs(spark, sf).withColumn("chunk", F.col("obs_id").cast("long").bitwiseAND(F.lit(-64)))
     packed = rows.groupBy("chunk").agg(F.collect_list(F.struct(*cols)).alias("people"))
     key = F.pmod(F.xxhash64("chunk"), F.lit(len(tables.ENVELOPES)))

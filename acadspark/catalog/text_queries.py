@@ -174,14 +174,14 @@ def _sql_program_department(col):
 SELECT doc_id, coalesce({S.first_field('text', X.DESCRIPTION_PATTERNS, 20, group=0)}, ({_PARAS})[1], '') AS description,
   {S.joined(_sql_degree('text'))} AS degrees,
   len(list_distinct(list_filter(list_transform(flatten(list_transform({_SPECS}, lambda s: regexp_split_to_array({S.clean('s')}, '[,;]|\\sand\\s'))), lambda x: trim(x)), lambda x: length(x) > 3))) AS n_specializations,
-  {_sql_program_department('substr(text, 1, 80)')} AS department
+  {_sql_program_department('text')} AS department
 FROM documents""")
 def _(spark, sf):
     t = F.col("text")
     return docs(spark, sf).select(
         "doc_id", X.program_description(t).alias("description"), joined(X.degree_types(t)).alias("degrees"),
         F.size(X.specializations(t)).cast("bigint").alias("n_specializations"),
-        X.program_department(F.substring(t, 1, 80)).alias("department"))
+        X.program_department(t).alias("department"))
 
 
 @query("preferred_contact", f"""

@@ -122,12 +122,12 @@ def fold_confidence(rows: DataFrame, key: str, first: float = 0.8, later: float
     place = F.row_number().over(W.partitionBy(key, "day").orderBy(*[F.desc(c) for c in ORDER]))
     half = lambda n: F.pow(F.lit(0.5), n)
     days = ordered.withColumn("place", place).groupBy(key, "day").agg(
-        F.count("*").alias("m"), F.sum(F.coalesce("confidence_score", F.lit(later)) * half(F.col("place"))).alias("offset"))
+        F.count("*").alias("m"), F.sum(F.coalesce("confidence_score", F.lit(later)) * half(F.col("place"))).alias("offset"), F.min_by(F.struct("confidence_score"), F.struct(*ORDER)).alias("s"))
     after = F.coalesce(F.sum("m").over(W.partitionBy(key).orderBy(F.desc("day")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    joined = days.withColumn("after", after).groupBy(key).agg(F.sum("m").alias("n_merged"), F.sum(F.col("offset") * half(F.col("after"))).alias("c"))
-    start = ordered.groupBy(key).agg(F.min_by(F.struct("confidence_score"), F.struct(*ORDER)).alias("s"))
+    joined = days.withColumn("after", after).groupBy(key).agg(
+        F.sum("m").alias("n_merged"), F.sum(F.col("offset") * half(F.col("after"))).alias("c"), F.min_by("s", F.struct("day")).alias("s"))
     extra = 2 * F.coalesce("s.confidence_score", F.lit(first)) - F.coalesce("s.confidence_score", F.lit(later))
-    return joined.join(start, key).select(key, "n_merged", (F.col("c") + extra * half(F.col("n_merged"))).alias("confidence"))
+    return joined.select(key, "n_merged", (F.col("c") + extra * half(F.col("n_merged"))).alias("confidence"))
 
 
 def merge_people(resolved: DataFrame, key: str = "entity") -> DataFrame:
@@ -155,6 +155,14 @@ def interest_union(people: DataFrame, key: str) -> DataFrame:
     return people.select(key, F.explode(X.interests(F.col("research_interests"))).alias("interest")).distinct()
 
 
+def lab_unions(labs: DataFrame, key: str) -> DataFrame:
+    """Distinct (key, kind, value): research areas of a lab's members and equipment that its texts (``text``) name."""
+    rows = labs.select(key, F.inline(F.concat(
+        F.transform(X.interests(F.col("research_interests")), lambda v: F.struct(F.lit("area").alias("kind"), v.alias("value"))),
+        F.transform(X.lab_fields(F.col("text"))["equipment"], lambda v: F.struct(F.lit("equipment").alias("kind"), v.alias("value"))))))
+    return rows.distinct()
+
+
 def merge_profiles(*profiles: DataFrame) -> DataFrame:
     """Set union of (key, category, url) rows of several profile maps."""
     out = profiles[0]

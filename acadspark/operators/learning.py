@@ -8,6 +8,7 @@ from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLT
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from acadspark.operators.predicates import not_lab_text
 
@@ -23,6 +24,22 @@ def split_examples(examples: DataFrame, test_share: int = 5) -> tuple[DataFrame,
     return examples.filter(h != 0), examples.filter(h == 0)
 
 
+def stratified_split(examples: DataFrame, key: str, test_share: int = 5) -> DataFrame:
+    """``examples`` with ``is_test``: exactly one in ``test_share`` of every label (rounded down), by the order of a hash of ``key``.
+
+    Ranks are exact in two steps: the counts per label and slice of the hash range are summed up, and rows are ranked within
+    their slice, so no label has to fit one task. Keys must be unique; rows of a null label are a label of their own.
+    """
+    h = F.md5(F.col(key).cast("string"))
+    rows = examples.withColumns({"_h": h, "_slice": F.substring(h, 1, 3)})
+    counts = rows.groupBy("label", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    label = W.partitionBy("label")
+    below = counts.select(F.col("label").alias("_label"), F.col("_slice").alias("_s"), F.coalesce(F.sum("_n").over(label.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_n").over(label).alias("_all"))
+    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy("label", "_slice").orderBy("_h", key)))
+    joined = ranked.join(below, F.col("label").eqNullSafe(F.col("_label")) & (F.col("_slice") == F.col("_s")))
+    return joined.select(*examples.columns, (F.col("_base") + F.col("_rank") <= F.floor(F.col("_all") / test_share)).alias("is_test"))
+
+
 def train_text_classifier(train: DataFrame, seed: int = 42, terms: int = TERMS, max_iter: int = 100) -> PipelineModel:
     """TF-IDF of words and word pairs into a small perceptron. ``train`` has text and label (0.0 or 1.0)."""
     stages = [

@@ -28,6 +28,7 @@ ROW = r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr>"
 CELL = r"(?is)<t[dh](?:\s[^>]*)?>(.*?)</t[dh]>"
 IMAGE = r"(?is)<img\s[^>]*>"
 SOCIAL_HOSTS = r"facebook\.com|twitter\.com|linkedin\.com|instagram\.com|youtube\.com|tiktok\.com|snapchat\.com"
+# --- fixed values: key words of research sections and navigation, platforms and their hosts ---
 RESEARCH_WORDS = (
     "research", "publication", "project", "study", "investigation", "analysis", "equipment", "method", "technique",
 )

@@ -178,3 +178,26 @@ def distinct_sources(*sources: DataFrame) -> DataFrame:
     for s in sources[1:]:
         out = out.unionByName(s)
     return out.distinct()
+
+
+CHUNK = 1000
+
+
+def documents(entity: DataFrame, key: str, lists: dict[str, tuple[DataFrame, str, list[str]]], chunk: int = CHUNK) -> DataFrame:
+    """(key, part, n, json): nested JSON documents of entities, in parts of bounded size.
+
+    ``lists`` names each list with its edges, their id column (a unique integer) and the columns to keep. Every part holds the
+    edges whose ids lie in one stretch of ``chunk`` ids, so a key with a third of all edges is many documents and no list grows;
+    part -1 is the entity itself, with the number of entries per list. A document of a part has the key, the part and its lists.
+    """
+    head = entity
+    parts = None
+    for name, (edges, edge_id, cols) in lists.items():
+        keyed = edges.select(key, F.floor(F.col(edge_id) / chunk).alias("part"), F.struct(F.col(edge_id).alias("id"), *cols).alias("item"))
+        counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias(f"n_{name}"))
+        head = head.join(counts, key, "left").fillna(0, [f"n_{name}"])
+        grouped = keyed.groupBy(key, "part").agg(F.sort_array(F.collect_list("item")).alias(name))
+        packed = grouped.select(key, "part", F.lit(name).alias("list"), F.size(name).cast("bigint").alias("n"), F.to_json(F.struct(key, F.lit(name).alias("list"), F.col(name).alias("items")), {"ignoreNullFields": "false"}).alias("json"))
+        parts = packed if parts is None else parts.unionByName(packed)
+    whole = head.select(key, F.lit(-1).cast("bigint").alias("part"), F.lit("entity").alias("list"), F.lit(1).cast("bigint").alias("n"), F.to_json(F.struct(*head.columns), {"ignoreNullFields": "false"}).alias("json"))
+    return whole.unionByName(parts) if parts is not None else whole

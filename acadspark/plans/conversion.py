@@ -12,7 +12,7 @@ from acadspark.operators import links as L
 from acadspark.operators import listings as H
 from acadspark.operators import views as V
 from acadspark.plans.links import find_better_links, validate_links
-from acadspark.sources.sinks import export_views
+from acadspark.sources.sinks import export_views, read_counts
 
 
 def extract_university(directories: DataFrame, max_people: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -44,6 +44,11 @@ def convert_and_export(people: DataFrame, enrichments: DataFrame, path: str) ->
     return {**paths, **export_views(views, path)}
 
 
+def exported_counts(spark: SparkSession, people: DataFrame, enrichments: DataFrame, path: str) -> DataFrame:
+    """``convert_and_export``, and the rows of every written table: view, n_rows."""
+    return read_counts(spark, convert_and_export(people, enrichments, path))
+
+
 def full_refresh(spark: SparkSession, people: DataFrame, fetches: DataFrame, enrichments: DataFrame, fetch, path: str) -> DataFrame:
     """Validate, replace, resolve and convert, every stage written before the next one reads it. Returns rows per stage."""
     checked, report = validate_links(people, fetches)

@@ -56,3 +56,19 @@ def crawl_chain(targets: DataFrame, pages: DataFrame, depth: int | None = None)
     found = crawl(targets, edges, depth)
     known = pages.select("url", F.lit(True).alias("fetched")).distinct()
     return found.join(known, "url", "left").select("url", "depth", "parent", page_kind(F.col("url")).alias("kind"), F.coalesce("fetched", F.lit(False)).alias("fetched"))
+
+
+def sitemap_files(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """(url, depth, parent, kind): sitemap files reached from ``roots`` (url) over index files, level by level; ``files`` has url
+    and xml. ``kind`` is index, urlset, or missing for a file that was listed but not fetched. Files that list each other
+    are read once."""
+    child = F.explode(F.regexp_extract_all(F.regexp_replace("xml", "(?is)<!--.*?-->", ""), F.lit(r"(?is)<sitemap>.*?<loc>\s*(.*?)\s*</loc>.*?</sitemap>"), F.lit(1)))
+    edges = cut_lineage(files.filter(F.col("xml").contains("<sitemapindex")).select(F.col("url").alias("src"), child.alias("dst")).withColumn("dst", F.replace("dst", F.lit("&amp;"), F.lit("&"))).distinct())
+    kinds = files.select("url", F.when(F.col("xml").contains("<sitemapindex"), "index").otherwise("urlset").alias("kind"))
+    return crawl(roots, edges).join(kinds, "url", "left").fillna("missing", ["kind"])
+
+
+def sitemap_locations(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """(file, depth, xml) of the url sets that ``roots`` lead to, for ``scan_sitemap``."""
+    found = sitemap_files(files, roots).filter("kind = 'urlset'").select(F.col("url").alias("file"), "depth")
+    return found.join(files.select(F.col("url").alias("file"), "xml"), "file")

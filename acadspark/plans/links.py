@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from acadspark.operators import candidates as C
 from acadspark.operators import links as L
+from acadspark.operators import pages as G
 
 
 def validate_links(people: DataFrame, fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,6 +72,20 @@ def fill_missing_links(people: DataFrame, verified: DataFrame) -> DataFrame:
     }).drop("_site", "_scholar")
 
 
+def find_missing_links(people: DataFrame, pages: DataFrame) -> DataFrame:
+    """``fill_missing_links`` on links that it looks for itself: the direct forms of people without a personal site or scholar
+    profile are joined by URL with the fetched ``pages`` (url, html) and checked against their text.
+
+    Names of people and texts of pages meet for forms that lead to a page only; people with a site leave just the scholar
+    forms.
+    """
+    named = people.filter(F.coalesce(F.trim("name"), F.lit("")) != "")
+    forms = C.missing_link_forms(named, ("obs_id", "name", "personal_website"))
+    forms = forms.filter((F.col("kind") == "scholar") | (F.coalesce("personal_website", F.lit("")) == ""))
+    found = C.verify_candidates(forms.select("obs_id", "name", "url", F.lit(None).cast("string").alias("platform")), G.page_text(pages).select("url", "text"))
+    return fill_missing_links(people, found)
+
+
 def process_links(people: DataFrame, mode: str, fetch: Fetched | None = None, labs: DataFrame | None = None) -> DataFrame:
     """Link processing by mode: ``categorize`` only, ``social`` (replace social links), ``labs`` (attach lab records) or ``full``.
 

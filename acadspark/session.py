@@ -18,6 +18,7 @@ def build_session(app: str = "acadspark", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "512",  # a batch may hold whole pages
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)

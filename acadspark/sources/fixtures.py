@@ -182,6 +182,61 @@ SELECT obs_id AS page_id, concat('https://site', CAST(obs_id % 3 AS STRING), '.e
 FROM observations
 """
 
+# two levels of sitemap index, which list each other and a file that is gone, over url sets
+VIEWS["sitemap_index_files"] = r"""
+SELECT 'https://www.profiles.edu/sitemap.xml' AS url, concat('<?xml version="1.0"?><sitemapindex><sitemap><loc>https://www.profiles.edu/sitemap.xml</loc></sitemap><sitemap><loc> https://www.profiles.edu/gone.xml </loc></sitemap>',
+  string_agg(concat('<sitemap><loc>https://www.profiles.edu/sitemap-', uni, '.xml</loc><lastmod>2024</lastmod></sitemap>'), ''), '</sitemapindex>') AS xml
+FROM (SELECT DISTINCT CAST(person_key % 25 AS STRING) AS uni FROM observations) a
+UNION ALL
+SELECT concat('https://www.profiles.edu/sitemap-', uni, '.xml'), concat('<sitemapindex><!-- <sitemap><loc>https://www.profiles.edu/old.xml</loc></sitemap> --><sitemap><loc>https://www.profiles.edu/sitemap.xml</loc></sitemap>',
+  string_agg(concat('<sitemap><loc>https://www.profiles.edu/map-', uni, '-', CAST(k AS STRING), '.xml</loc></sitemap>'), ''), '</sitemapindex>')
+FROM (SELECT DISTINCT CAST(person_key % 25 AS STRING) AS uni, obs_id % 4 AS k FROM observations) b GROUP BY uni
+UNION ALL
+SELECT concat('https://www.profiles.edu/map-', uni, '-', CAST(k AS STRING), '.xml'), concat('<urlset>', string_agg(concat('<url><loc>https://www.profiles.edu/people/', CAST(obs_id AS STRING), '</loc></url>'), ''), '</urlset>')
+FROM (SELECT CAST(person_key % 25 AS STRING) AS uni, obs_id % 4 AS k, obs_id FROM observations) c GROUP BY uni, k
+"""
+
+# pages that some of the direct forms of people lead to
+VIEWS["form_pages"] = r"""
+SELECT url, concat('<html><body><h1>', max(shown), '</h1><p>', max(words), '</p></body></html>') AS html FROM (
+  SELECT CASE obs_id % 4 WHEN 0 THEN concat('https://www.', dom, '/people/', f, '-', l) WHEN 1 THEN concat('https://www.', dom, '/~', l) WHEN 2 THEN concat('https://', l, '.', dom)
+      ELSE concat('https://scholar.google.com/citations?user=', f, l) END AS url,
+    CASE WHEN person_key % 3 = 0 THEN 'Someone Else' ELSE name END AS shown, CASE WHEN person_key % 2 = 0 THEN 'Publications and research' ELSE 'Welcome' END AS words
+  FROM (SELECT obs_id, person_key, name, concat(replace(lower(replace(university, 'University of ', '')), ' ', ''), '.edu') AS dom, concat('g', translate(CAST(person_key % 40 AS STRING), '0123456789', 'abcdefghij')) AS f,
+    concat('f', translate(CAST(person_key % 700 AS STRING), '0123456789', 'abcdefghij')) AS l FROM observations WHERE person_key % 5 < 3) s) u GROUP BY url
+"""
+
+# profile, scholar, listing and lab pages on which every branch of the extractors is taken
+VIEWS["rich_profiles"] = r"""
+SELECT obs_id AS page_id, concat('https://www.rich.edu/people/', CAST(obs_id AS STRING)) AS url,
+  concat('<html><body><h1>', name, '</h1><div class="bio">Studies of ', department, ' with many students and a long record of teaching.</div><p>Department of ', department, '</p>',
+    '<h3>Research Interests</h3><ul><li>alpha topics</li><li>beta ', department, '</li></ul><h3>Education</h3><p>PhD at ', university, '</p><p>(', CASE obs_id % 2 WHEN 0 THEN 'she/her' ELSE 'prefers they/theirs' END, ')</p>',
+    '<p>Office: Hall ', CAST(obs_id % 90 + 10 AS STRING), ', first floor</p><ul><li>A long enough publication title number ', CAST(obs_id AS STRING), '</li><li>short one</li></ul>',
+    '<p>Our research on ', department, ' asks how people learn and remember over many years.</p><p>The project uses a method of analysis that ', name, ' has made over time.</p><p>research</p></body></html>') AS html
+FROM observations
+"""
+
+VIEWS["scholar_pages"] = r"""
+SELECT obs_id AS page_id, concat('https://scholar.google.com/citations?user=', CAST(obs_id AS STRING)) AS url,
+  concat('<html><body><div class="gsc_prf_il">', university, '</div><div id="gsc_prf_int"><a href="/i1">Memory</a><a href="/i2">', department, '</a><a href="/i3"> </a></div>',
+    '<div class="gsc_rsb_co"><a href="/c1">Co ', name, '</a></div><table><tr class="gsc_a_tr"><td><a class="gsc_a_at" href="/p">Paper ', CAST(obs_id AS STRING), '</a><div class="gs_gray">A One, B Two</div></td>',
+    '<td><a class="gsc_a_ac" href="/c">', CAST(obs_id % 50 AS STRING), '</a></td><td><span class="gsc_a_y">', CAST(2000 + obs_id % 20 AS STRING), '</span></td></tr>',
+    '<tr class="gsc_a_tr"><td><a class="gsc_a_at" href="/q">Draft</a></td></tr><tr class="gsc_a_tr"><td>no title</td></tr></table></body></html>') AS html
+FROM observations
+"""
+
+VIEWS["layout_pages"] = r"""
+SELECT obs_id AS page_id, concat('https://www.layout.edu/', CAST(obs_id AS STRING)) AS url,
+  concat('<html><body>', CASE obs_id % 4 WHEN 0 THEN concat('<table>', repeat('<tr class="person"><td>x</td></tr>', 6), '</table>')
+    WHEN 1 THEN '<div class="card faculty">x</div><img src="/faculty/a.jpg"><div class="pager">2</div>' WHEN 2 THEN '<div class="grid"><ul><li>x</li></ul></div>' ELSE '<p>nothing</p>' END,
+    '<p>See <a href="/a', CAST(obs_id AS STRING), '">one <b>link</b></a> now</p><a href="/b">two</a></body></html>') AS html
+FROM observations
+"""
+
+VIEWS["lab_texts"] = r"""
+SELECT obs_id, lab_name, research_interests, concat('Equipment: EEG amplifier ', CAST(obs_id % 3 AS STRING), '. We also use an eye tracker and a recording system.') AS text FROM observations WHERE lab_name <> ''
+"""
+
 VIEWS["project_pages"] = r"""
 SELECT obs_id AS page_id, concat('https://www.labs.edu/', CAST(obs_id AS STRING)) AS url,
   concat('<html><body><h2>Current Projects</h2><ul><li>Study of ', department, ' funded by the Nation Fund, started in ', CAST(2000 + obs_id % 20 AS STRING),

@@ -51,6 +51,27 @@ def scan_result_json(spark: SparkSession, path: str, multi_line: bool = True) ->
     return raw.select(F.col("_metadata.file_name").alias("file_name"), F.inline(F.coalesce(filled, bare)))
 
 
+def scan_result_variant(spark: SparkSession, path: str) -> DataFrame:
+    """People of result files of any shape, one document per line: an object with one of the envelope keys (the first that holds
+    a list), a bare list, or a single record. Files can be split at lines.
+
+    Returns the person fields, ``record`` (the record's whole JSON, unknown keys included) and ``issue``: null for a person,
+    "missing name", "not a record" (a list entry that is no object) or "not JSON" (the line is in ``record`` then).
+    """
+    lines = spark.read.text(path).select("value", F.try_parse_json("value").alias("doc"))
+    kind = F.schema_of_variant("doc")
+    lists = F.coalesce(*[F.when(F.schema_of_variant(got := F.try_variant_get("doc", f"$.{e}", "variant")).startswith("ARRAY"), got) for e in ENVELOPES])
+    single = F.try_parse_json(F.concat(F.lit("["), F.to_json("doc"), F.lit("]")))
+    items = F.when(kind.startswith("ARRAY"), F.col("doc")).otherwise(F.coalesce(lists, single))
+    read = lines.filter("doc IS NOT NULL").select(items.alias("items"))
+    rows = read.lateralJoin(spark.tvf.variant_explode(F.col("items").outer())).select(F.col("value").alias("item"))
+    name = F.trim(F.try_variant_get("item", "$.name", "string"))
+    issue = F.when(~F.schema_of_variant("item").startswith("OBJECT"), "not a record").when(F.coalesce(name, F.lit("")) == "", "missing name")
+    people = rows.select(*[F.try_variant_get("item", f"$.{c}", "string").alias(c) for c in PERSON], F.to_json("item").alias("record"), issue.alias("issue"))
+    broken = lines.filter("doc IS NULL AND trim(value) <> ''").select(*[F.lit(None).cast("string").alias(c) for c in PERSON], F.col("value").alias("record"), F.lit("not JSON").alias("issue"))
+    return people.unionByName(broken)
+
+
 def load_targets(targets: DataFrame, university: str | None = None, department: str | None = None) -> DataFrame:
     """Programs of target universities, filtered case-insensitively. ``targets`` has university and programs."""
     df = targets

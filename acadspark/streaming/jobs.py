@@ -38,21 +38,29 @@ def stream_upsert(stream: DataFrame, out_path: str, checkpoint: str) -> Streamin
 
 
 def current_table(deltas: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], ts: str) -> DataFrame:
-    """State of an upserted table: the last row per key, when it was first and last seen."""
-    rest = [c for c in deltas.columns if c not in (*keys, "batch_id")]
-    got = deltas.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("batch_id", *order)).alias("b"), F.min(ts).alias("created_at"), F.max(ts).alias("updated_at"))
+    """State of an upserted table: the last row per key, when it was first and last seen. Rows of a compacted table among
+    the deltas keep their created_at and updated_at."""
+    known = [c for c in ("created_at", "updated_at") if c in deltas.columns]
+    rest = [c for c in deltas.columns if c not in (*keys, "batch_id", *known)]
+    first, last = (F.coalesce(c, ts) if c in known else F.col(ts) for c in ("created_at", "updated_at"))
+    number = F.coalesce("batch_id", F.lit(-1)) if "batch_id" in deltas.columns else F.lit(-1)
+    got = deltas.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(number.alias("batch_id"), *order)).alias("b"), F.min(first).alias("created_at"), F.max(last).alias("updated_at"))
     return got.select(*keys, *[F.col(f"b.{c}").alias(c) for c in rest], "created_at", "updated_at")
 
 
-def compact_table(spark: SparkSession, path: str, compacted: str, keys: tuple[str, ...], order: tuple[str, ...], ts: str) -> DataFrame:
-    """Folds the deltas of an upserted table into one row per key in a new folder, from which readers go on.
-
-    Run it while no batch is written; later deltas go beside ``compacted`` and are resolved against it by ``ts`` order.
-    """
-    current_table(spark.read.parquet(path), keys, order, ts).write.mode("overwrite").parquet(compacted)
+def compact_table(spark: SparkSession, path: str, compacted: str, keys: tuple[str, ...], order: tuple[str, ...], ts: str, upto: int | None = None) -> DataFrame:
+    """Folds the deltas of an upserted table (up to batch ``upto``) into one row per key in a new folder. Later deltas go
+    beside it: ``with_deltas`` reads both."""
+    deltas = spark.read.parquet(path)
+    current_table(deltas if upto is None else deltas.filter(F.col("batch_id") <= upto), keys, order, ts).write.mode("overwrite").parquet(compacted)
     return spark.read.parquet(compacted)
 
 
+def with_deltas(compacted: DataFrame, deltas: DataFrame, after: int, keys: tuple[str, ...], order: tuple[str, ...], ts: str) -> DataFrame:
+    """State of a compacted table and the deltas after batch ``after``."""
+    return current_table(compacted.unionByName(deltas.filter(F.col("batch_id") > after), allowMissingColumns=True), keys, order, ts)
+
+
 def stream_categorize(links: DataFrame, out_path: str, checkpoint: str, col: str = "url") -> StreamingQuery:
     """Class links as they arrive."""
     return _append(L.categorize_url(links, col), out_path, checkpoint)
