@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from acadspark.catalog.entity_queries import enr, obs
-from acadspark.catalog.registry import query
+from acadspark.catalog.entity_queries import enr, obs, sql_directory_points
+from acadspark.catalog.page_queries import sql_lab_points
+from acadspark.catalog.registry import ORACLES, query
 from acadspark.catalog.text_queries import _EQUIP, sql_interests
 from acadspark.functions import text as X
 from acadspark.operators import dedup as D
 from acadspark.operators import listings as H
 from acadspark.operators import pages as G
 from acadspark.operators import views as V
-from acadspark.sources.fixtures import table, view
+from acadspark.plans import conversion as C
+from acadspark.plans import enrichment as P
+from acadspark.sources.fixtures import directory_pages, table, view
 
 
 @query("profile_details_full", """SELECT obs_id AS page_id, concat('Studies of ', department, ' with many students and a long record of teaching.') AS bio, concat('alpha topics|beta ', department) AS interests,
-  concat('PhD at ', university) AS education, concat('A long enough publication title number ', CAST(obs_id AS STRING)) AS publications, concat('Department of ', department) AS affiliations,
+  concat('PhD at ', university) AS education, concat(CASE WHEN length(department) > 15 THEN concat('beta ', department, '|') ELSE '' END, 'A long enough publication title number ', CAST(obs_id AS STRING)) AS publications, concat('Department of ', department) AS affiliations,
   concat('Hall ', CAST(obs_id % 90 + 10 AS STRING)) AS office, CASE obs_id % 2 WHEN 0 THEN 'she/her' ELSE 'prefers they/theirs' END AS pronouns FROM observations""")
 def _(spark, sf):
     d = H.profile_details(view(spark, sf, "rich_profiles"))
@@ -70,3 +73,55 @@ def _(spark, sf):
 UNION SELECT DISTINCT lower(trim(lab_name)), 'equipment', unnest({_EQUIP}) FROM lab_texts""")
 def _(spark, sf):
     return D.lab_unions(view(spark, sf, "lab_texts").withColumn("lab_key", F.lower(F.trim("lab_name"))), "lab_key")
+
+
+@query("enhance_sparse_profile", """SELECT obs_id, coalesce(nullif(research_interests, ''), CASE WHEN sparse THEN concat('alpha topics; beta ', department) END) AS research_interests,
+  CASE WHEN sparse THEN concat('Studies of ', department, ' with many students and a long record of teaching.') END AS biography FROM (
+  SELECT *, CASE WHEN coalesce(research_interests, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(personal_website, '') <> '' THEN 1 ELSE 0 END
+    + CASE WHEN coalesce(phone, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(office, '') <> '' THEN 1 ELSE 0 END < 2 AS sparse FROM observations) s""")
+def _(spark, sf):
+    return P.enhance_sparse(obs(spark, sf), view(spark, sf, "rich_profiles")).select("obs_id", "research_interests", "biography")
+
+
+_DEPTS = """(SELECT university, department, url, source, seq FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY source, seq) AS rn FROM (
+  SELECT university, department, concat('https://', CAST(person_key % 25 AS STRING), '.edu/faculty/', lower(department)) AS url, 0 AS source, min(obs_id) AS seq FROM observations GROUP BY ALL
+  UNION ALL SELECT university, department, concat('https://', CAST(person_key % 25 AS STRING), '.edu/', CASE obs_id % 2 WHEN 0 THEN 'staff/' ELSE 'faculty/' END, lower(department)), 1, min(obs_id) FROM observations GROUP BY ALL) u) r WHERE rn = 1)"""
+
+
+@query("university_departments_ranked", f"""WITH s AS (SELECT university, department, url, CAST(source AS BIGINT) AS source, {sql_directory_points('lower(department)', 'lower(url)', 'department')}
+    * CASE WHEN contains(url, 'staff') AND NOT contains(url, 'faculty') THEN CAST(0.1 AS DOUBLE) WHEN contains(url, 'faculty') AND NOT contains(url, 'staff') THEN CAST(1.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS points FROM {_DEPTS} d)
+SELECT university, department, url, source, CAST(row_number() OVER (PARTITION BY university ORDER BY points DESC, url) AS INTEGER) AS rank FROM s""")
+def _(spark, sf):
+    o = obs(spark, sf).select("obs_id", "university", "department", F.concat(F.lit("https://"), (F.col("person_key") % 25).cast("string"), F.lit(".edu/")).alias("base"))
+    source = lambda part: o.select("university", "department", F.concat("base", part, F.lower("department")).alias("url"), "obs_id").groupBy("university", "department", "url").agg(F.min("obs_id").alias("seq"))
+    got = C.university_overview(directory_pages(spark, sf), [source(F.lit("faculty/")), source(F.when(F.col("obs_id") % 2 == 0, "staff/").otherwise("faculty/"))], obs(spark, sf))
+    return got["departments"].select("university", "department", "url", "source", "rank")
+
+
+@query("university_overview", f"""SELECT 'people' AS kind, dedup_key AS key, n_records AS n FROM ({ORACLES['extract_university']}) a
+UNION ALL SELECT 'department', concat(university, '/', department), people FROM ({ORACLES['extract_university_departments']}) b UNION ALL SELECT 'lab', lab_key, n_members FROM ({ORACLES['lab_rollup']}) c""")
+def _(spark, sf):
+    found = C.university_overview(directory_pages(spark, sf), [obs(spark, sf).select("university", "department", F.lit("u").alias("url"), F.col("obs_id").alias("seq"))], obs(spark, sf))
+    rows = lambda name, kind, key, n: found[name].select(F.lit(kind).alias("kind"), key.alias("key"), F.col(n).alias("n"))
+    return rows("people", "people", F.col("dedup_key"), "n_records").unionByName(rows("people_per_department", "department", F.concat_ws("/", "university", "department"), "people")).unionByName(
+        rows("labs", "lab", F.col("lab_key"), "n_members"))
+
+
+@query("discover_labs_plain", f"""SELECT o.obs_id AS page_id, CASE WHEN l.url IS NOT NULL THEN 'link_heuristics' WHEN o.obs_id % 2 = 0 THEN 'external_search' END AS method,
+  coalesce(l.url, CASE WHEN o.obs_id % 2 = 0 THEN concat('https://found.edu/', CAST(o.obs_id AS STRING)) END) AS lab_url, CAST(NULL AS STRING) AS lab_name,
+  coalesce(l.score, CASE WHEN o.obs_id % 2 = 0 THEN CAST(0.5 AS DOUBLE) END) AS confidence
+FROM observations o LEFT JOIN (SELECT * FROM ({ORACLES['lab_links_top3']}) t WHERE rank = 1 AND page_id % 3 < 2) l ON l.page_id = o.obs_id""")
+def _(spark, sf):
+    pages = view(spark, sf, "profile_pages").select("page_id", "url", "html").filter("page_id % 3 < 2").unionByName(view(spark, sf, "layout_pages").filter("page_id % 3 = 2"))
+    hits = obs(spark, sf).filter("obs_id % 2 = 0").select(F.col("obs_id").alias("page_id"), F.concat(F.lit("https://found.edu/"), F.col("obs_id").cast("string")).alias("url"), F.lit(0.5).alias("confidence"))
+    return P.discover_labs(pages, None, hits)
+
+
+@query("nearby_lab_links_full", f"""SELECT page_id, href AS full_url, CAST({sql_lab_points('href', 'text')} + 20 AS INTEGER) AS points, text, context FROM (
+  SELECT obs_id AS page_id, concat('https://lab', CAST(obs_id AS STRING), '.tundra.edu/') AS href, concat('The ', department, ' lab') AS text, concat(department, ' Laboratory website of ', name) AS context FROM observations) a""")
+def _(spark, sf):
+    o = obs(spark, sf)
+    link = F.concat(F.lit('<li><a href="https://lab'), F.col("obs_id").cast("string"), F.lit('.tundra.edu/">The '), "department", F.lit(" lab</a></li>"))
+    html = F.concat(F.lit("<section><h4>"), "department", F.lit(" Laboratory website of "), "name", F.lit("</h4><ul>"), link, link, F.lit('<li><a href="mailto:a@b.edu">lab mail</a></li></ul></section>'))
+    pages = o.select(F.col("obs_id").alias("page_id"), F.lit("https://u.edu/").alias("url"), html.alias("html"))
+    return H.nearby_lab_links(pages)

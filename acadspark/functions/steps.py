@@ -42,3 +42,28 @@ def spread(df: DataFrame) -> DataFrame:
     """
     tasks = df.sparkSession.conf.get("spark.acadspark.scan.tasks", None)
     return df.repartition(int(tasks)) if tasks else df
+
+
+#: Words of 64 bits in a key filter: 1 MB at most, whatever the number of keys.
+FILTER_WORDS = 1 << 16
+
+
+def key_bits(*cols: str) -> tuple[Column, Column]:
+    """Word and bits of a key in a key filter: three bits of one word."""
+    h = F.xxhash64(F.lit(3), *cols)
+    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(3)]
+    return F.pmod(F.xxhash64(*cols), F.lit(FILTER_WORDS)).cast("int").alias("_word"), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).alias("_bits")
+
+
+def key_filter(keys: DataFrame, *cols: str) -> DataFrame:
+    """Bloom filter of the values of ``cols`` as a table (_word, _bits) of FILTER_WORDS rows at most."""
+    return keys.select(*key_bits(*cols)).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, *cols: str) -> DataFrame:
+    """Rows of ``df`` whose values of ``cols`` may be among those of ``keys``: all that are, and few others. Only the filter is
+    broadcast, whose size is bounded; no row of ``df`` is shuffled. Types of the columns must agree."""
+    known = F.broadcast(key_filter(keys, *cols).withColumnRenamed("_bits", "_known"))
+    word, bits = key_bits(*cols)
+    hit = df.withColumns({"_word": word, "_bits": bits}).join(known, "_word").filter(F.col("_known").bitwiseAND(F.col("_bits")) == F.col("_bits"))
+    return hit.select(*[f"`{c}`" for c in df.columns])

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from acadspark.functions import names as N
 from acadspark.functions import urls as U
+from acadspark.functions.steps import maybe_in
 from acadspark.functions.text import contains_any
 
 # --- fixed values: institution domains, short names and URL forms ---
@@ -160,10 +161,6 @@ def url_candidates(people: DataFrame, keep: tuple[str, ...], top: int | None = N
     return df.select(*keep, F.inline(found))
 
 
-#: Words of 64 bits in the filter of ``indexed_candidates``: 1 MB at most, whatever the number of pages.
-FILTER_WORDS = 1 << 16
-
-
 def candidate_index(fetches: DataFrame) -> DataFrame:
     """Inverted index of fetched pages: (site, form, url) for every way in which a candidate could have led there.
 
@@ -185,18 +182,6 @@ def candidate_index(fetches: DataFrame) -> DataFrame:
     return on_domain.unionByName(direct)
 
 
-def _filter_bits(site: Column, form: Column) -> tuple[Column, Column]:
-    """Word and bits of a key in the filter: three bits of one word."""
-    h = F.xxhash64(F.lit(3), site, form)
-    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(3)]
-    return F.pmod(F.xxhash64(site, form), F.lit(FILTER_WORDS)).cast("int").alias("word"), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).alias("bits")
-
-
-def key_filter(index: DataFrame) -> DataFrame:
-    """Bloom filter of the keys of an index as a table (word, bits) of FILTER_WORDS rows at most."""
-    return index.select(*_filter_bits(F.col("site"), F.col("form"))).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-
-
 def indexed_candidates(people: DataFrame, fetches: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """The accessible rows of ``url_candidates``, found by the index of the pages: (*keep, url, source, pct).
 
@@ -209,10 +194,7 @@ def indexed_candidates(people: DataFrame, fetches: DataFrame, keep: tuple[str, .
         d.alias("site"), n.alias("form"), F.lit("domain_discovery").alias("source"), F.when(d.contains(".edu"), 80).otherwise(60).alias("pct")))))
     direct = F.transform(direct_candidates(), lambda c: F.struct(F.lit("").alias("site"), c["url"].alias("form"), c["source"].alias("source"), c["pct"].alias("pct")))
     keys = df.select(*keep, F.inline(F.concat(on_domain, direct)))
-    word, bits = _filter_bits(F.col("site"), F.col("form"))
-    some = F.broadcast(key_filter(index).withColumnRenamed("bits", "known"))
-    open_ = keys.withColumns({"word": word, "bits": bits}).join(some, "word").filter(F.col("known").bitwiseAND(F.col("bits")) == F.col("bits"))
-    return open_.drop("word", "bits", "known").join(index, ["site", "form"]).select(*keep, "url", "source", "pct")
+    return maybe_in(keys, index, "site", "form").join(index, ["site", "form"]).select(*keep, "url", "source", "pct")
 
 
 def missing_link_forms(people: DataFrame, keep: tuple[str, ...]) -> DataFrame:

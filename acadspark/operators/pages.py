@@ -77,6 +77,20 @@ def anchors(body_col: Column) -> Column:
         lambda t: F.struct(F.trim(F.regexp_extract(t, ANCHOR, 1)).alias("href"), inner_text(F.regexp_extract(t, ANCHOR, 2)).alias("text")))
 
 
+def interest_items(body_col: Column) -> Column:
+    """Entries of the list below a heading of research interests or expertise, each of 4 to 99 characters."""
+    part = F.regexp_extract(body_col, r"(?is)(?:research\s*interests?|expertise|specialization)[^<]*</[^>]*>\s*<(ul|ol)[^>]*>(.*?)</\1>", 2)
+    return F.filter(_items(part, ITEM), lambda x: F.length(x).between(4, 99))
+
+
+def biography(body_col: Column) -> Column:
+    """Text of more than 50 characters of an element classed as a biography, else the first paragraph of more than 100 that speaks
+    of work; null without either."""
+    marked = inner_text(F.regexp_extract(body_col, r"""(?is)<(div|section|p)\s[^>]*class=["'](?:[^"']*\s)?(?:bio|biography|about|description|profile-text|faculty-bio)(?:\s[^"']*)?["'][^>]*>(.*?)</\1>""", 2))
+    told = F.get(F.filter(paragraphs(body_col), lambda p: (F.length(p) > 100) & F.lower(p).rlike("research|professor|study|work")), F.lit(0))
+    return F.when(F.length(marked) > 50, marked).otherwise(told)
+
+
 def page_links(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """All anchors: page_id, page_url, pos, href, text."""
     b = with_body(pages)
@@ -145,11 +159,16 @@ def page_images(pages: DataFrame, base: str | None = None) -> DataFrame:
     return rows.withColumn("image_url", shot).drop("url")
 
 
+def without_social(body_col: Column) -> Column:
+    """Inside of the body element without social links."""
+    inner = F.regexp_replace(F.regexp_replace(body_col, r"(?is)^.*?<body[^>]*>", ""), r"(?is)</body>.*$", "")
+    return F.regexp_replace(inner, SOCIAL_ANCHOR, " ")
+
+
 def page_full_text(pages: DataFrame) -> DataFrame:
     """Body text without social links, with the lengths of markup and text."""
     b = with_body(pages)
-    inner = F.regexp_replace(F.regexp_replace("body", r"(?is)^.*?<body[^>]*>", ""), r"(?is)</body>.*$", "")
-    kept = b.withColumn("kept", F.regexp_replace(inner, SOCIAL_ANCHOR, " ")).drop("body")
+    kept = b.withColumn("kept", without_social(F.col("body"))).drop("body")
     out = kept.withColumn("text", inner_text(F.col("kept"))).withColumn("html_length", F.length("kept").cast("bigint")).drop("kept")
     return out.withColumn("text_length", F.length("text").cast("bigint"))
 
@@ -230,30 +249,33 @@ def lab_links(links: DataFrame) -> DataFrame:
 
 def scholar_metrics(pages: DataFrame) -> DataFrame:
     """Citations, h-index, i10-index, interests, affiliation, co-authors and publication rows of scholar pages."""
-    b = with_body(pages)
+    return with_body(pages).select("page_id", *scholar_columns("body"))
+
+
+def scholar_columns(body: str) -> list[Column]:
+    """The columns of ``scholar_metrics`` from a column of bodies."""
 
     def metric(name):
-        got = F.regexp_extract("body", rf"(?is)<td[^>]*>[^<]*{name}[^<]*</td>\s*<td[^>]*>\s*(\d+)\s*</td>", 1)
+        got = F.regexp_extract(body, rf"(?is)<td[^>]*>[^<]*{name}[^<]*</td>\s*<td[^>]*>\s*(\d+)\s*</td>", 1)
         return F.nullif(got, F.lit("")).cast("bigint")
 
     def names_in(pattern):
-        return F.filter(F.transform(F.regexp_extract_all(F.regexp_extract("body", pattern, 1), F.lit(r"(?is)<a[^>]*>(.*?)</a>"), F.lit(1)), inner_text), lambda x: x != "")
+        return F.filter(F.transform(F.regexp_extract_all(F.regexp_extract(body, pattern, 1), F.lit(r"(?is)<a[^>]*>(.*?)</a>"), F.lit(1)), inner_text), lambda x: x != "")
 
     row = r"""(?is)<tr[^>]*class=["']gsc_a_tr["'][^>]*>(.*?)</tr>"""
-    pubs = F.transform(F.regexp_extract_all("body", F.lit(row), F.lit(1)), lambda r: F.struct(
+    pubs = F.transform(F.regexp_extract_all(body, F.lit(row), F.lit(1)), lambda r: F.struct(
         inner_text(F.regexp_extract(r, r"""(?is)<a[^>]*class=["']gsc_a_at["'][^>]*>(.*?)</a>""", 1)).alias("title"),
         inner_text(F.regexp_extract(r, r"""(?is)<div[^>]*class=["']gs_gray["'][^>]*>(.*?)</div>""", 1)).alias("authors"),
         inner_text(F.regexp_extract(r, r"""(?is)<span[^>]*class=["']gsc_a_y["'][^>]*>(.*?)</span>""", 1)).alias("year"),
         F.coalesce(F.nullif(F.regexp_extract(r, r"""(?is)<a[^>]*class=["']gsc_a_ac["'][^>]*>\s*(\d+)\s*</a>""", 1), F.lit("")).cast("bigint"), F.lit(0)).alias("citations")))
-    return b.select(
-        "page_id",
-        F.coalesce(F.nullif(F.regexp_extract("body", r"Cited by (\d+)", 1), F.lit("")).cast("bigint"), metric("citations")).alias("citation_count"),
+    return [
+        F.coalesce(F.nullif(F.regexp_extract(body, r"Cited by (\d+)", 1), F.lit("")).cast("bigint"), metric("citations")).alias("citation_count"),
         metric("h-index").alias("h_index"), metric("i10-index").alias("i10_index"),
         names_in(r"""(?is)<div[^>]*id=["']gsc_prf_int["'][^>]*>(.*?)</div>""").alias("interests"),
-        F.nullif(inner_text(F.regexp_extract("body", r"""(?is)<div[^>]*class=["']gsc_prf_il["'][^>]*>(.*?)</div>""", 1)), F.lit("")).alias("affiliation"),
+        F.nullif(inner_text(F.regexp_extract(body, r"""(?is)<div[^>]*class=["']gsc_prf_il["'][^>]*>(.*?)</div>""", 1)), F.lit("")).alias("affiliation"),
         names_in(r"""(?is)<div[^>]*class=["']gsc_rsb_co["'][^>]*>(.*?)</div>""").alias("co_authors"),
         F.filter(pubs, lambda p: p["title"] != "").alias("publications"),
-    )
+    ]
 
 
 def page_social(links: DataFrame) -> DataFrame:

@@ -4,22 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from acadspark.functions import names as N
 from acadspark.operators import dedup as D
 from acadspark.operators import entities as E
 from acadspark.operators import links as L
 from acadspark.operators import listings as H
+from acadspark.operators import ranking as R
 from acadspark.operators import views as V
 from acadspark.plans.links import find_better_links, validate_links
+from acadspark.session import stage_table
 from acadspark.sources.sinks import export_views, read_counts
 
 
 def extract_university(directories: DataFrame, max_people: int | None = None) -> tuple[DataFrame, DataFrame]:
     """People of directory pages, deduplicated over departments. Returns (people, people per department)."""
     found = H.directory_people(directories, ("page_id", "university", "department"))
-    if max_people:
-        found = found.orderBy("department", "profile_url").limit(max_people)
+    return university_people(found.orderBy("department", "profile_url").limit(max_people) if max_people else found)
+
+
+def university_people(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``extract_university`` on listing entries that are read already."""
     keyed = found.withColumn("dedup_key", N.dedup_key(F.col("name"), F.col("university")))
     order = F.struct("department", "profile_url")
     people = keyed.groupBy("dedup_key").agg(
@@ -28,6 +34,20 @@ def extract_university(directories: DataFrame, max_people: int | None = None) ->
     return people, found.groupBy("university", "department").agg(F.count("*").alias("people"))
 
 
+def university_overview(directories: DataFrame, sources: list[DataFrame], records: DataFrame, target: str | None = None) -> dict[str, DataFrame]:
+    """People of a university's directories with their departments and labs.
+
+    ``people`` and ``people_per_department`` are those of ``extract_university``; ``departments`` are the department pages of
+    several ``sources`` (url, seq, university, department), first source first, ranked as directories within their university;
+    ``labs`` rolls up the labs that the people's ``records`` name.
+    """
+    listed = stage_table(H.directory_people(directories, ("page_id", "university", "department")), "listed")
+    people, counts = university_people(listed)
+    ranked = R.rank_departments(D.combine_departments(*sources), "department", "url", target)
+    place = F.row_number().over(W.partitionBy("university").orderBy(F.desc("points"), "url"))
+    return {"people": people, "people_per_department": counts, "departments": ranked.withColumn("rank", place), "labs": D.lab_rollup(records)[0]}
+
+
 def convert_and_export(people: DataFrame, enrichments: DataFrame, path: str) -> dict[str, str]:
     """Build entity and edge tables, per-person and per-lab views and the relationship map, and write them.
 

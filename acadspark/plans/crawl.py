@@ -21,10 +21,19 @@ def page_kind(url: Column) -> Column:
     return out
 
 
+def without_dots(url: Column) -> Column:
+    """URL whose path has its ``.`` and ``..`` steps carried out; else one page has many addresses, and links up never end."""
+    site, path, rest = (F.regexp_extract(url, r"^([^:/?#]+://[^/?#]*)?([^?#]*)(.*)$", i) for i in (1, 2, 3))
+    steps = F.split(path, "/")
+    last = F.when(F.element_at(steps, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(x))))
+    return F.when(path.contains("/."), F.concat(site, F.array_join(F.concat(kept, last), "/"), rest)).otherwise(url)
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
     """Distinct links (src, dst) of pages (page_id, url, html), resolved and without fragments, mail and script links."""
     found = G.page_links(pages).filter((F.col("href") != "") & ~F.lower("href").rlike("^(#|mailto:|tel:|javascript:)"))
-    dst = F.regexp_replace(U.resolve(F.col("href"), F.col("page_url")), "#.*$", "")
+    dst = without_dots(F.regexp_replace(U.resolve(F.col("href"), F.col("page_url")), "#.*$", ""))
     return found.select(F.col("page_url").alias("src"), dst.alias("dst")).filter("dst IS NOT NULL AND dst <> '' AND dst <> src").distinct()
 
 

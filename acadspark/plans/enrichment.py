@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from acadspark.functions import constants as K
 from acadspark.functions import scores as Z
 from acadspark.functions import text as X
-from acadspark.functions.steps import once
+from acadspark.functions import urls as U
+from acadspark.functions.steps import maybe_in, once
 from acadspark.operators import listings as H
 from acadspark.operators import pages as G
 from acadspark.operators import predicates as P
@@ -33,12 +34,16 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 def lab_page_record(pages: DataFrame) -> DataFrame:
     """Lab record of a page: name, type, areas, labelled fields, contact and location."""
-    rec = page_records(pages)
+    return lab_record(page_records(pages))
+
+
+def lab_record(rec: DataFrame, *keep: str) -> DataFrame:
+    """``lab_page_record`` from title, text and areas that are read already."""
     t = F.col("text")
     lab_word = "lab|laboratory|center|institute"
     name = F.when(F.lower(F.coalesce("title", F.lit(""))).rlike(lab_word), F.col("title"))
     return rec.select(
-        "page_id", F.coalesce(name, X.first_field(t, X.LAB_NAME_PATTERNS, 5)).alias("lab_name"), X.lab_type(t).alias("lab_type"), "areas",
+        "page_id", *keep, F.coalesce(name, X.first_field(t, X.LAB_NAME_PATTERNS, 5)).alias("lab_name"), X.lab_type(t).alias("lab_type"), "areas",
         X.lab_fields(t).alias("fields"), X.preferred(X.emails(t), K.LAB_CONTACT_WORDS).alias("contact_email"),
         X.first_field(t, X.LOCATION_PATTERNS, 3).alias("location"), F.length("text").cast("bigint").alias("page_size"))
 
@@ -82,44 +87,69 @@ def enrich_pages(pages: DataFrame, people: DataFrame, keep_conf: float = 0.2, de
                       (F.col("quality_points") / F.lit(100.0)).alias("content_quality"), (F.col("relevance_points") / F.lit(100.0)).alias("academic_relevance"), "confidence", "detailed")
 
 
+def _scholar_analysis(m: DataFrame, *keep: str) -> DataFrame:
+    p = Z.impact_profile(F.col("citation_count"), F.col("h_index"), F.col("interests"), F.size("publications"), F.size("co_authors"), F.col("affiliation").isNotNull(), F.lit(None).cast("string"))
+    return m.select("page_id", "citation_count", "h_index", "i10_index", p.alias("p"), *keep).select(
+        "page_id", "citation_count", "h_index", "i10_index", "p.impact_level", "p.h_index_note", "p.collaboration_level", "p.completeness", "p.recency", "p.standing", *keep)
+
+
+def _lab_analysis(r: DataFrame, *keep: str) -> DataFrame:
+    p = Z.lab_profile(F.col("fields.members"), F.col("fields.projects"), F.col("areas"), F.col("fields.equipment"), F.array().cast("array<string>"), F.lit(0),
+                      F.coalesce("lab_name", F.lit("")), F.coalesce("fields.description", F.lit("")))
+    return r.select("page_id", *keep, "lab_name", "lab_type", p.alias("p")).select(
+        "page_id", *keep, "lab_name", "lab_type", "p.size_class", "p.has_hierarchy", F.array_join("p.themes", "|").alias("themes"), "p.interdisciplinary", "p.richness", "p.presentation")
+
+
 def analyze_profiles(pages: DataFrame, kind: str) -> DataFrame:
-    """Analysis of profile pages: ``scholar`` (impact and standing), ``lab`` (size, themes, output) or ``comprehensive``."""
+    """Analysis of profile pages: ``scholar`` (impact and standing), ``lab`` (size, themes, output) or ``comprehensive``, both
+    from one reading of a page."""
     if kind == "scholar":
-        m = G.scholar_metrics(pages)
-        p = Z.impact_profile(F.col("citation_count"), F.col("h_index"), F.col("interests"), F.size("publications"), F.size("co_authors"), F.col("affiliation").isNotNull(), F.lit(None).cast("string"))
-        return m.select("page_id", "citation_count", "h_index", "i10_index", p.alias("p")).select(
-            "page_id", "citation_count", "h_index", "i10_index", "p.impact_level", "p.h_index_note", "p.collaboration_level", "p.completeness", "p.recency", "p.standing")
+        return _scholar_analysis(G.scholar_metrics(pages))
     if kind == "lab":
-        r = lab_page_record(pages)
-        p = Z.lab_profile(F.col("fields.members"), F.col("fields.projects"), F.col("areas"), F.col("fields.equipment"), F.array().cast("array<string>"), F.lit(0),
-                          F.coalesce("lab_name", F.lit("")), F.coalesce("fields.description", F.lit("")))
-        return r.select("page_id", "lab_name", "lab_type", p.alias("p")).select(
-            "page_id", "lab_name", "lab_type", "p.size_class", "p.has_hierarchy", F.array_join("p.themes", "|").alias("themes"), "p.interdisciplinary", "p.richness", "p.presentation")
+        return _lab_analysis(lab_page_record(pages))
     if kind == "comprehensive":
-        return analyze_profiles(pages, "scholar").join(analyze_profiles(pages, "lab"), "page_id")
+        b = G.with_body(pages)
+        title = F.nullif(F.trim(F.regexp_extract("body", r"(?is)<title[^>]*>([^<]+)</title>", 1)), F.lit(""))
+        read = once(b.select("page_id", F.struct(*G.scholar_columns("body")).alias("m"), title.alias("title"), G.inner_text(F.col("body")).alias("text")), "m", "title", "text")
+        scholar = _scholar_analysis(read.select("page_id", "m.*", "title", "text"), "title", "text")
+        found = [c for c in scholar.columns if c not in ("page_id", "title", "text")]
+        return _lab_analysis(lab_record(scholar.withColumn("areas", X.list_containing(F.col("text"), K.RESEARCH_AREAS)), *found), *found)
     raise ValueError(f"unknown kind {kind!r}")
 
 
+def profile_fields(pages: DataFrame) -> DataFrame:
+    """Phone, first links by type, interests and biography of profile pages (page_id, url, html), in one pass over the page."""
+    b = G.with_body(pages)
+    links = F.filter(F.transform(G.anchors(F.col("body")), lambda a: F.struct(U.resolve(a["href"], F.col("url")).alias("full"), U.profile_link_class(a["href"], a["text"]).alias("kind"))), lambda x: x["full"].isNotNull())
+    read = once(b.select("page_id", F.get(X.phones(G.inner_text(G.without_social(F.col("body")))), F.lit(0)).alias("phone"), links.alias("links"),
+                         G.interest_items(F.col("body")).alias("interests"), G.biography(F.col("body")).alias("biography")), "phone", "links", "interests", "biography")
+    first = lambda kind: F.get(F.filter("links", lambda x: x["kind"] == kind), F.lit(0))["full"].alias(kind)
+    return read.select("page_id", "phone", *[first(k) for k in ("personal_website", "google_scholar", "lab_website")], "interests", "biography")
+
+
 def enhance_sparse(people: DataFrame, pages: DataFrame) -> DataFrame:
-    """Fill empty phone, interests and links of sparse people from their profile page.
+    """Fill empty phone, interests and links of sparse people from their profile page, and add google_scholar and biography.
 
-    ``pages`` is keyed by the person's ``obs_id``. Contacts and links are extracted where pages are read and only they
-    are joined, so no page body is shuffled.
+    ``pages`` is keyed by the person's ``obs_id``. A key filter of the sparse people, whose size is bounded, leaves out the pages
+    of others before they are parsed; pages are read once, where they lie, and only what is found in them is joined.
     """
     flagged = P.sparse_records(people)
-    contacts = G.page_contacts(pages).select(F.col("page_id").alias("obs_id"), F.get("phones", F.lit(0)).alias("_phone"))
-    links = R.first_link_by_type(G.page_links(pages)).select(F.col("page_id").alias("obs_id"), F.col("personal_website").alias("_site"), F.col("google_scholar").alias("_scholar"), F.col("lab_website").alias("_lab"))
-    j = flagged.join(contacts, "obs_id", "left").join(links, "obs_id", "left")
+    wanted = flagged.filter("needs_enrichment").select(F.col("obs_id").cast(pages.schema["page_id"].dataType).alias("page_id"))
+    found = profile_fields(maybe_in(pages, wanted, "page_id"))
+    got = found.select(F.col("page_id").alias("obs_id"), F.col("phone").alias("_phone"), F.col("personal_website").alias("_site"), F.col("google_scholar").alias("_scholar"),
+                       F.col("lab_website").alias("_lab"), F.when(F.size("interests") > 0, F.array_join("interests", "; ")).alias("_interests"), F.col("biography").alias("_bio"))
+    j = flagged.join(got, "obs_id", "left")
     sparse = F.col("needs_enrichment")
 
     def fill(have, new):
         return F.coalesce(F.nullif(have, F.lit("")), F.when(sparse, F.col(new)))
 
     out = j.withColumns({
-        "phone": fill("phone", "_phone"), "personal_website": fill("personal_website", "_site"), "lab_website": fill("lab_website", "_lab"), "google_scholar": F.when(sparse, F.col("_scholar")),
+        "phone": fill("phone", "_phone"), "personal_website": fill("personal_website", "_site"), "lab_website": fill("lab_website", "_lab"), "research_interests": fill("research_interests", "_interests"),
+        "google_scholar": F.when(sparse, F.col("_scholar")), "biography": F.when(sparse, F.col("_bio")),
         "enriched": sparse & F.coalesce("_phone", "_site", "_scholar", "_lab").isNotNull(),
     })
-    return out.drop("_phone", "_site", "_scholar", "_lab")
+    return out.drop("_phone", "_site", "_scholar", "_lab", "_interests", "_bio")
 
 
 def discover_labs(pages: DataFrame, model: PipelineModel | None = None, hits: DataFrame | None = None, min_conf: float = 0.7) -> DataFrame:

@@ -61,6 +61,10 @@ def test_crawl_ends_on_cycles_and_repeats(spark):
     assert crawl.crawl(spark.createDataFrame([("r",)], "url string"), edges, 1).count() == 3
     page = spark.createDataFrame([(1, "https://a.edu/x/", '<a href="../y#top">y</a><a href="mailto:a@b">m</a><a href="/x/">self</a><a href="https://b.edu/">b</a>')], "page_id long, url string, html string")
     assert sorted(map(tuple, crawl.page_edges(page).collect())) == [("https://a.edu/x/", "https://a.edu/y"), ("https://a.edu/x/", "https://b.edu/")]
+    steps = {"https://a.edu/x/../y": "https://a.edu/y", "https://a.edu/x/./y/../../z?q=/../a": "https://a.edu/z?q=/../a", "https://a.edu/../../b": "https://a.edu/b", "https://a.edu/x/y/..": "https://a.edu/x/", "https://a.edu": "https://a.edu",
+             "https://a.edu/.well/x": "https://a.edu/.well/x", "https://a.edu/x/.": "https://a.edu/x/"}
+    got = spark.createDataFrame([(u,) for u in steps], "u string").select("u", crawl.without_dots(F.col("u")).alias("v"))
+    assert {r.u: r.v for r in got.collect()} == steps
 
 
 def test_spans_and_nesting(spark):
