@@ -13,6 +13,7 @@ from acadspark.llm.common import WORD, gapless, staged, text_keys
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
+EXACT = 1 << 15  # words that are left to dynamic programming at most, beside two longest documents
 
 
 def word_count(text: Column) -> Column:
@@ -39,13 +40,13 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> Dat
     return found.select("source", "source_size", "weight", F.least(F.col("limit"), F.coalesce(F.col("level") * F.col("weight"), F.col("limit"))).alias("target"))
 
 
-def fit_lengths(lengths: list[int], counts: list[int], budget: int, exact: int = 0) -> list[int]:
+def fit_lengths(lengths: list[int], counts: list[int], budget: int, exact: int = EXACT) -> list[int]:
     """How many documents of each length to take so that their words come to ``budget``, or next to it.
 
-    At every size of a source, each length first gives its share of the budget but for two longest documents (or ``exact`` words, if those are more): shares are
+    At every size of a source, each length first gives its share of the budget but for two longest documents: shares are
     rounded as running sums over rising lengths, so any stretch of lengths gives its part and the words stay within a longest
-    document of the share. Bounded-knapsack dynamic programming over sums, one bit per sum, then finds the reachable sum
-    nearest to what is left, trying lengths in a seeded order, so that it prefers none.
+    document of the share. Bounded-knapsack dynamic programming then fills what is left. Where it can't meet the budget to
+    the word, twice as much is left to it, and so on, up to ``exact`` words; the nearest sum found counts.
     """
     whole = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget <= 0 or not whole:
@@ -53,14 +54,27 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int, exact: int =
     if budget >= whole:
         return list(counts)
     rising = sorted(range(len(lengths)), key=lambda i: lengths[i])
-    longest = lengths[rising[-1]]
-    share, take, seen, given = max(0, budget - max(2 * longest, exact)), [0] * len(lengths), 0, 0
-    for i in rising:
-        seen += counts[i]
-        take[i] = seen * share // whole - given
-        given += take[i]
-    left = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
-    top = left + longest
+    room, best = 2 * lengths[rising[-1]], None
+    while True:
+        share, take, seen, given = max(0, budget - room), [0] * len(lengths), 0, 0
+        for i in rising:
+            seen += counts[i]
+            take[i] = seen * share // whole - given
+            given += take[i]
+        miss = fill_rest(lengths, counts, take, rising, budget - sum(n * t for n, t in zip(lengths, take, strict=True)))
+        if best is None or miss < best[0]:
+            best = miss, take
+        if not miss or room >= min(budget, exact):
+            return best[1]
+        room *= 2
+
+
+def fill_rest(lengths: list[int], counts: list[int], take: list[int], rising: list[int], left: int) -> int:
+    """Adds documents to ``take`` whose words come nearest to ``left``, and returns by how many words they miss it.
+
+    Dynamic programming over reachable sums, one bit per sum; lengths are tried in a seeded order, so that it prefers none.
+    """
+    top = left + lengths[rising[-1]]
     reach, steps, mask = 1, [], (1 << (top + 1)) - 1
     order = rising[:]
     random.Random(len(order)).shuffle(order)
@@ -76,11 +90,12 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int, exact: int =
     above = reach >> left
     over = (above & -above).bit_length() - 1 if above else top
     total = below if left - below <= over else left + over
+    miss = abs(left - total)
     for i, lot, before in reversed(steps):
         if not before >> total & 1:
             take[i] += lot
             total -= lot * lengths[i]
-    return take
+    return miss
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
