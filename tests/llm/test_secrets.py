@@ -96,3 +96,13 @@ def test_short_strings_are_judged_by_the_model(spark, corpus):
     assert judged("key qZ7xP2mK9vR4tW8y end") == [(4, 20)]
     assert judged("the-stingle an_ering onerstle ing") == []
     assert [x.tolist() for x in S.outside(np.array([0, 4]), np.array([3, 7]), [(1, 2), (4, 5), (4, 6)])] == [[0, 2, 6], [1, 3, 7]]
+
+
+def test_dates_book_card_and_account_numbers_stay(spark, corpus):
+    numbers = ["2024-03-15T12", "2024-03-15", "978-3-16-148410-0", "9783161484100", "DE89370400440532013000", "GB29NWBK60161331926819", "4111111111111111", "4111-1111-1111-1111", "550e8400-e29b-41d4-a716-446655440000"]
+    more = [(5000 + i, f"on {rng_date} for {i:013d} and {i * 7919:016d}", None, 1) for i, rng_date in enumerate(f"20{y}-0{m}-1{d}" for y in range(10, 24) for m in range(1, 9) for d in range(9))]
+    for df in (corpus, corpus.unionByName(spark.createDataFrame(more, corpus.schema))):
+        model = S.train(df)
+        judged = {t: S.markov_spans(np.frombuffer(f"no {t} end".encode(), np.uint8), np.array([0, len(t) + 7]), model) for t in numbers}
+        assert not any(judged.values()), judged
+        assert S.markov_spans(np.frombuffer(KEY.encode(), np.uint8), np.array([0, len(KEY)]), model)
