@@ -13,7 +13,7 @@ from acadspark.llm.common import chunks, lowered, mix, prefix_hash, span_hash, s
 BUCKETS = 1 << 18
 STEMS = (4, 5, 6, 7, 8)
 SAMPLE_ROWS = 2500  # labelled documents of each class that the model is fitted on
-SAMPLE_BYTES = 8_000_000  # of each class; texts of any length count until the sum reaches it
+SAMPLE_BYTES = 5_000_000  # of each class; texts of any length count until the sum reaches it
 LEAST_DOCUMENTS = 4  # sampled documents that hold a feature; the prior keeps rare ones small
 EPOCHS, RATE, DECAY = 150, 0.15, 0.3
 LEAN = 0.5  # power of a class's share: 1 keeps the shares of the labels, 0 makes the classes equal
@@ -128,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[
     label = np.array([r["toxic"] for r in got], np.int64)
     times = {y: size.get(y, 0) / max(1, int((label == y).sum())) for y in (0, 1)}
     text = np.repeat(np.arange(len(got)), [r["n"] for r in got])
+    del got  # the arrays are made
     each = {y: times[y] / max(1, size.get(y, 0)) ** (1 - LEAN) for y in (0, 1)}
     return fit(word, sentence, text, label, np.array([each[y] for y in label]))
 
