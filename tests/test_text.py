@@ -66,3 +66,17 @@ def test_resolve(spark, href, want):
 def test_office_and_lab(spark):
     assert one(spark, "Office: Room 210, Main", lambda c: X.first_field(c, X.OFFICE_PATTERNS, 3, 100)) == "Room 210"
     assert one(spark, "Director, Memory Lab", lambda c: X.first_field(c, X.LAB_NAME_PATTERNS, 5)) == "Memory Lab"
+
+
+def test_anchored_patterns_find_the_same(spark):
+    import random
+
+    from acadspark.functions import text as X
+
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choices((",", "\n", "a", " ", "Lab", "LABORATORY", "center", "Director", "Institute", "La", "é"), k=rnd.randint(0, 14))) for _ in range(2000)] + ["x" * 3000, "", "lab"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for plain, anchored in X.ANCHORED.items():
+        assert anchored != plain
+        got = df.select(F.regexp_extract("t", plain, 1).alias("a"), F.regexp_extract("t", anchored, 1).alias("b")).filter("a <> b")
+        assert got.count() == 0
