@@ -28,7 +28,6 @@ CODE[np.frombuffer(ALPHABET, np.uint8)] = np.arange(N)
 HEXES = np.zeros(256, bool)
 HEXES[np.frombuffer(b"0123456789abcdef", np.uint8)] = True
 
-SAMPLE_TEXTS = 6000  # distinct texts that give the labelled strings
 MARGIN = 12.0  # log-likelihood ratio of a secret
 EVERY = 0.3  # and least mean per character
 BACK_OFF = 200.0  # a pair seen a few times is no evidence yet
@@ -87,14 +86,19 @@ def strings(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
     return start - shift, end - shift
 
 
-def transitions(data: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Counts of character pairs in strings; the row N is the start of a string."""
-    out = np.zeros((N + 1) * N, np.int64)
-    for a, b in spans:
-        code = CODE[data[a:b]]
-        code = code[code >= 0].astype(np.int64)
-        np.add.at(out, np.concatenate([[N], code[:-1]])[: len(code)] * N + code, 1)
-    return out
+def transitions(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Counts of character pairs in stretches (in order, without overlaps); the row N is the start of a stretch. Characters outside
+    the alphabet are passed over."""
+    edge = np.zeros(len(data) + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, end, -1)
+    code = CODE[data].astype(np.int64)
+    at = np.flatnonzero((np.cumsum(edge)[:-1] > 0) & (code >= 0))
+    own = np.searchsorted(start, at, "right")
+    code = code[at]
+    before = np.concatenate([[N], code[:-1]])
+    before[np.flatnonzero(np.diff(own, prepend=-1))] = N
+    return np.bincount(before * N + code, minlength=(N + 1) * N)
 
 
 class Model:
@@ -112,8 +116,8 @@ def number_like(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return ((d > 0) & (d >= NUMBER * (d + n))).astype(np.int64)
 
 
-def labelled_strings(part: np.ndarray, at: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Random strings (values that base patterns find) and ordinary ones (all strings that hold none) of texts."""
+def labelled_strings(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Random strings (values that base patterns find) and ordinary ones (all strings that hold none) of texts: starts and ends."""
     secret = np.zeros(len(part) + 1, bool)
     labelled = []
     for spans in base_spans(part, at):
@@ -125,25 +129,32 @@ def labelled_strings(part: np.ndarray, at: np.ndarray) -> tuple[list[tuple[int,
     start, end = strings(part, at, 1)
     inside = np.concatenate([[0], np.cumsum(secret)])
     plain = inside[end] == inside[start]  # the rest of a run beside a secret is not ordinary
-    return labelled, list(zip(start[plain].tolist(), end[plain].tolist(), strict=True))
+    return np.array(labelled, np.int64).reshape(-1, 2), np.stack([start[plain], end[plain]], 1)
+
+
+def apart(spans: np.ndarray) -> list[np.ndarray]:
+    """Spans as sets in order without overlaps; values of different base patterns may overlap."""
+    spans, sets = spans[np.lexsort((spans[:, 1], spans[:, 0]))], []
+    while len(spans):
+        reach = np.maximum.accumulate(np.concatenate([[0], spans[:-1, 1]]))
+        free = spans[:, 0] >= reach
+        sets.append(spans[free])
+        spans = spans[~free]
+    return sets
 
 
-def sampled(docs: DataFrame, texts: int, held_out: bool) -> DataFrame:
-    """(text): about ``texts`` distinct texts of the smallest hash, those that set the margins or the others."""
-    share = min(1.0, texts / max(1, docs.count()))
-    hashed = F.xxhash64(F.lit(3), "text")
-    some = docs.select("text").filter(F.col("text").isNotNull() & (hashed <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))))
-    distinct = some.groupBy(hashed.alias("h")).agg(F.min("text").alias("text"))
-    held = F.pmod(F.xxhash64(F.lit(4), "h"), F.lit(HELD_OUT)) == 0
-    return distinct.filter(held if held_out else ~held).select("text")
+def texts_of(docs: DataFrame, held_out: bool) -> DataFrame:
+    """(text): every text that sets the margins, or every other one. Copies of a text are on the same side and count each."""
+    held = F.pmod(F.xxhash64(F.lit(4), "text"), F.lit(HELD_OUT)) == 0
+    return docs.select("text").filter(F.col("text").isNotNull()).filter(held if held_out else ~held)
 
 
-def train(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> Model:
-    """Models and margins from a sample of about ``texts`` distinct texts.
+def train(docs: DataFrame) -> Model:
+    """Models and margins from all texts: one in HELD_OUT sets the margins, the others give the counts.
 
     The strings labelled random are those that base patterns find, the ordinary ones all strings of any length that hold none
     of them. Pair counts are summed by Spark: tables of fixed size reach the driver. Pairs back off to single characters, and
-    these to equal shares, so an empty sample gives a ratio of 0. A random string may be of any alphabet: UNIFORM of its
+    these to equal shares, so an empty table gives a ratio of 0. A random string may be of any alphabet: UNIFORM of its
     model is an even choice; UNSEEN of the model of ordinary strings is one too. A margin is MARGIN or the least above it that
     no more than FALSE_SHARE of the held-out ordinary strings reach.
     """
@@ -154,15 +165,15 @@ def train(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> Model:
             data, offsets = utf8(batch.column("text"))
             for i, j in chunks(offsets):
                 part, at = data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i]
-                for label, spans in enumerate(labelled_strings(part, at)):
-                    both = np.array(spans, np.int64).reshape(-1, 2)
+                for label, both in enumerate(labelled_strings(part, at)):
                     kind = number_like(part, both[:, 0], both[:, 1])
                     for k in (0, 1):
-                        tables[2 * k + label] += transitions(part, [s for s, own in zip(spans, kind, strict=True) if own == k])
+                        for own in apart(both[kind == k]):
+                            tables[2 * k + label] += transitions(part, own[:, 0], own[:, 1])
         label, pair = np.nonzero(tables)
         yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(tables[label, pair])], names=["label", "pair", "n"])
 
-    counted = sampled(docs, texts, False).mapInArrow(run, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n"))
+    counted = texts_of(docs, False).mapInArrow(run, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n"))
     tables = np.zeros((4, N + 1, N))
     for r in counted.collect():  # at most 4 (N + 1) N rows
         tables[r["label"]].ravel()[r["pair"]] += r["n"]
@@ -171,7 +182,7 @@ def train(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> Model:
     pairs[::2] = (1 - UNIFORM) * pairs[::2] + UNIFORM / N
     pairs[1::2] = (1 - UNSEEN) * pairs[1::2] + UNSEEN / N
     model = Model(np.log(pairs[::2]) - np.log(pairs[1::2]), (MARGIN, MARGIN))
-    rates = held_out_scores(docs, model, texts)
+    rates = held_out_scores(docs, model)
     margin = []
     for kind in (0, 1):
         plain = sorted(((s, n) for (label, k, s), n in rates.items() if label == 1 and k == kind), reverse=True)
@@ -185,7 +196,7 @@ def train(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> Model:
     return Model(model.ratio, (margin[0], margin[1]))
 
 
-def held_out_scores(docs: DataFrame, model: Model, texts: int = SAMPLE_TEXTS) -> dict[tuple[int, int, int], int]:
+def held_out_scores(docs: DataFrame, model: Model) -> dict[tuple[int, int, int], int]:
     """Numbers of held-out strings by (label: 0 random, 1 ordinary; number-like; whole part of the ratio, 0 for all that fall
     below it or below EVERY per character): some hundreds of rows reach the driver."""
 
@@ -194,15 +205,15 @@ def held_out_scores(docs: DataFrame, model: Model, texts: int = SAMPLE_TEXTS) ->
             data, offsets = utf8(batch.column("text"))
             for i, j in chunks(offsets):
                 part, at = data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i]
-                for label, spans in enumerate(labelled_strings(part, at)):
-                    both = np.array(spans, np.int64).reshape(-1, 2)
+                for label, both in enumerate(labelled_strings(part, at)):
+                    both = both[np.lexsort((both[:, 1], both[:, 0]))]
                     if len(both):
                         score, kind = ratios(part, both[:, 0], both[:, 1], model)
                         score = np.where(score >= EVERY * (both[:, 1] - both[:, 0]), np.clip(score, 0, 500), 0).astype(np.int64)
                         pair, n = np.unique(kind * 1000 + score, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), label)), pa.array(pair // 1000), pa.array(pair % 1000), pa.array(n)], names=["label", "kind", "score", "n"])
 
-    found = sampled(docs, texts, True).mapInArrow(run, "label long, kind long, score long, n long").groupBy("label", "kind", "score").agg(F.sum("n").alias("n"))
+    found = texts_of(docs, True).mapInArrow(run, "label long, kind long, score long, n long").groupBy("label", "kind", "score").agg(F.sum("n").alias("n"))
     return {(r["label"], r["kind"], r["score"]): r["n"] for r in found.collect()}
 
 
