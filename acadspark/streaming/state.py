@@ -7,107 +7,79 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from acadspark.streaming.jobs import _append, _timed
 
 BUCKETS = 64
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class LatestRow(StatefulProcessor):
-    """Last row of a key in event time, when it was first and last seen, and a timer that ends it ``ttl`` seconds after the last
-    row. Emits a row per key and batch that changes it (``live``), and one when it ends (not ``live``)."""
-
-    def __init__(self, key: str, ts: str, order: str, columns: list[str], ttl: int, schema: str):
-        self.key, self.ts, self.order, self.columns, self.ttl, self.schema = key, ts, order, columns, ttl, schema
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.row = handle.getValueState("row", self.schema)
-
-    def _out(self, key, row: tuple, live: bool) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *row, live)], columns=[self.key, *self.columns, "created_at", "updated_at", "live"])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.row.get() if self.row.exists() else None
-        best, first, last = (held[:-2], held[-2], held[-1]) if held else (None, None, None)
-        place = lambda r: (r[self.columns.index(self.ts)], r[self.columns.index(self.order)])
-        before = held
-        for part in rows:
-            part = part.sort_values([self.ts, self.order])
-            top = tuple(part.iloc[-1][c] for c in self.columns)
-            if best is None or place(top) > place(best):
-                best = top
-            low, high = part[self.ts].iloc[0], part[self.ts].iloc[-1]
-            first, last = low if first is None else min(first, low), high if last is None else max(last, high)
-        now = (*best, first, last)
-        if before is None or tuple(before) != now:
-            self.row.update(now)
-            for old in [t for page in self.handle.listTimers() for t in (page if isinstance(page, list) else [page])]:
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(int(pd.Timestamp(last).timestamp() * 1000) + self.ttl * 1000)
-            yield self._out(key, now, True)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.row.exists():
-            out = self._out(key, tuple(self.row.get()), False)
-            self.row.clear()
-            yield out
-
-    def close(self) -> None:
-        pass
 
 
 def stream_latest(stream: DataFrame, out_path: str, checkpoint: str, key: str, ts: str, order: str, ttl: int, watermark: str = "0 seconds") -> StreamingQuery:
     """Upserted table with one row per key: the last row by (ts, order), created_at and updated_at; a key without rows for
-    ``ttl`` seconds of event time leaves it. Rows older than the watermark are late and change nothing.
+    ``ttl`` seconds of event time leaves it. Rows that are not newer than the watermark are late and change nothing, nor do
+    rows without a time.
 
-    The state of a key is one value and one timer. A batch's changes go to the buckets of their keys: touched buckets are
-    written anew, in a version of the batch's number, which a repeated batch overwrites. ``read_latest`` reads the newest
-    version of each bucket and folds nothing.
+    The table is the state. A batch is reduced to a row per key and folded with the buckets of its keys, by one aggregate;
+    these are written anew, in a version of the batch's number, which a repeated batch overwrites. The watermark of a version
+    (the latest time so far less the delay) is part of its folder's name, so keys of buckets that no batch touches end on read.
     """
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     columns = [c for c in stream.columns if c != key]
-    timed = _timed(stream, ts, watermark)
-    types = {f.name: f.dataType.simpleString() for f in timed.schema.fields}
-    held = ", ".join([*(f"{c} {types[c]}" for c in columns), "created_at timestamp", "updated_at timestamp"])
-    processor = LatestRow(key, ts, order, columns, ttl, held)
-    changes = timed.groupBy(key).transformWithStateInPandas(processor, outputStructType=f"{key} {types[key]}, {held}, live boolean", outputMode="Update", timeMode="EventTime")
+
+    def folded(rows: DataFrame) -> DataFrame:
+        best = F.max_by(F.struct(*columns), F.struct(ts, order, "held")).alias("r")
+        return rows.groupBy("bucket", key).agg(best, F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at")).select("bucket", key, "r.*", "created_at", "updated_at")
 
     def merge(batch: DataFrame, number: int) -> None:
-        order_last = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), F.struct("updated_at", ~F.col("live"))).alias("r")).select(key, "r.*")
-        rows = order_last.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
-        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # BUCKETS at most
-        if not touched:
-            return
+        held, mark = _newest(batch.sparkSession, out_path, number)
+        timed = batch.withColumn(ts, F.col(ts).cast("timestamp")).filter(F.col(ts).isNotNull() if mark is None else F.col(ts) > F.timestamp_micros(F.lit(mark)))
+        timed = timed.withColumns({"bucket": F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"), "created_at": F.col(ts), "updated_at": F.col(ts), "held": F.lit(False)})
+        rows = folded(timed).persist()
         try:
-            old = read_latest(batch.sparkSession, out_path, before=number).filter(F.col("bucket").isin(touched)).join(rows.select(key), key, "left_anti")
-            new = old.unionByName(rows.filter("live").drop("live"))
-        except FileNotFoundError:
-            new = rows.filter("live").drop("live")
-        empty = batch.sparkSession.createDataFrame([(b,) for b in touched], "bucket int")
-        new = new.withColumn("gone", F.lit(False)).unionByName(empty.withColumn("gone", F.lit(True)), allowMissingColumns=True)  # an emptied bucket has a version as well
-        new.withColumn("version", F.lit(number)).repartition("bucket").write.mode("overwrite").partitionBy("version", "bucket").option("partitionOverwriteMode", "dynamic").parquet(out_path)
-
-    return changes.writeStream.foreachBatch(merge).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def read_latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """Rows of the newest version of every bucket. Versions are partition folders: which to read is known without their rows."""
+            seen = rows.groupBy("bucket").agg(F.unix_micros(F.max("updated_at") - F.expr(f"INTERVAL {watermark}")).alias("mark")).collect()  # BUCKETS at most
+            if not seen:
+                return
+            now = max([r["mark"] for r in seen] + ([] if mark is None else [mark]))
+            whole = rows
+            if held is not None:
+                old = held.filter(F.col("bucket").isin([r["bucket"] for r in seen])).select(*rows.columns, F.lit(True).alias("held"))
+                whole = folded(old.unionByName(rows.withColumn("held", F.lit(False))))
+            ends = F.col("updated_at") + F.make_interval(secs=F.lit(ttl))
+            whole = whole.withColumn("ends_at", ends).filter(F.col("ends_at") >= F.timestamp_micros(F.lit(now))).withColumn("gone", F.lit(False))
+            empty = batch.sparkSession.createDataFrame([(r["bucket"], True) for r in seen], "bucket int, gone boolean")  # an emptied bucket has a version as well
+            whole = whole.unionByName(empty, allowMissingColumns=True).withColumns({"version": F.lit(number), "mark": F.lit(now)})
+            whole.repartition("bucket").write.mode("overwrite").partitionBy("version", "mark", "bucket").option("partitionOverwriteMode", "dynamic").parquet(out_path)
+        finally:
+            rows.unpersist()
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _newest(spark: SparkSession, path: str, before: int | None = None) -> tuple[DataFrame | None, int | None]:
+    """Live rows of the newest version of every bucket and the watermark in microseconds, or (None, None) without any version.
+    Versions and watermarks are partition folders: which to read is known without their rows."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        raise FileNotFoundError(path)
+        return None, None
     table = spark.read.parquet(path)
-    versions = table.select("version", "bucket").distinct()
+    versions = table.select("version", "mark", "bucket").distinct()
     if before is not None:
         versions = versions.filter(F.col("version") < before)
-    newest = {r["bucket"]: r["v"] for r in versions.groupBy("bucket").agg(F.max("version").alias("v")).collect()}  # BUCKETS at most
+    newest = versions.groupBy("bucket").agg(F.max("version").alias("v"), F.max("mark").alias("mark")).collect()  # BUCKETS at most
+    if not newest:
+        return None, None
     keep = F.lit(False)
-    for bucket, v in newest.items():
-        keep = keep | ((F.col("bucket") == bucket) & (F.col("version") == v))
-    return table.filter(keep & ~F.col("gone")).drop("version", "gone")
+    for r in newest:
+        keep = keep | ((F.col("bucket") == r["bucket"]) & (F.col("version") == r["v"]))
+    mark = max(r["mark"] for r in newest)
+    return table.filter(keep & ~F.col("gone") & (F.col("ends_at") >= F.timestamp_micros(F.lit(mark)))).drop("version", "mark", "gone", "ends_at"), mark
+
+
+def read_latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Rows of an upserted table with state, as of its last batch or of that before ``before``."""
+    table, _ = _newest(spark, path, before)
+    if table is None:
+        raise FileNotFoundError(path)
+    return table
 
 
 def first_of_parts(log: DataFrame, key: str, ts: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Streams with state, jobs that go on after a failure, crawl order and site rules on small inputs."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +122,20 @@ def test_result_shapes(spark, tmp_path):
     got = {(r.name, r.email, r.record, r.issue) for r in tables.scan_result_variant(spark, str(tmp_path / "r")).collect()}
     assert got == {("A", None, '{"name":"A","x":{"y":1}}', None), (None, None, "5", "not a record"), (" ", None, '{"name":" "}', "missing name"), ("B", "b@c", '{"email":"b@c","name":"B"}', None), (None, None, "nope", "not JSON"),
                    (None, None, '{"results":{"name":"C"}}', "missing name")}
+
+
+def test_latest_rows_need_no_python_per_key(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+
+    def run(df):
+        df.write.mode("append").parquet(src)
+        jobs.run_to_end(state.stream_latest(jobs.read_dir(spark, src, df.schema), out, ck, "k", "ts", "seq", 86400))
+        return state.read_latest(spark, out)
+
+    log = spark.range(40000).select((F.col("id") % 20000).alias("k"), F.col("id").alias("seq"), F.timestamp_seconds(F.col("id") + 1_000_000).alias("ts"))
+    plans = run(log.filter("seq < 20000"))
+    assert "Python" not in plans._jdf.queryExecution().toString() and not os.path.exists(f"{ck}/state")
+    tied = spark.createDataFrame([(0, 90000), (None, 90001)], "k long, seq long").withColumn("ts", F.timestamp_seconds(F.lit(1_040_000)))
+    got = run(log.filter("seq >= 20000").unionByName(tied))
+    assert got.count() == 20001 and got.filter("k >= 1 AND seq = k + 20000 AND unix_seconds(created_at) = k + 1000000 AND unix_seconds(updated_at) = k + 1020000").count() == 19999
+    assert {(r.k, r.seq) for r in got.filter("k = 0 OR k IS NULL").collect()} == {(0, 90000), (None, 90001)}
