@@ -131,3 +131,19 @@ def test_html_is_pruned_after_extraction(spark, sf_dir):
     plan = G.page_social(G.page_links(table(spark, sf_dir, "pages")))._jdf.queryExecution().executedPlan().toString()
     above_shuffle = plan[: plan.index("Exchange hashpartitioning")]
     assert "html" not in above_shuffle
+
+
+def test_listing_pages_are_dealt_over_many_tasks_whatever_their_departments(spark, sf_dir):
+    from acadspark.sources.fixtures import directory_pages
+
+    plan = directory_pages(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [university" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_overview_reads_pages_only_for_tables_that_need_them(spark):
+    from acadspark.plans import conversion
+
+    broken = spark.range(1).selectExpr("raise_error('read') AS html", "1L AS page_id", "'u' AS university", "'d' AS department", "'x' AS url").drop("id")
+    source = spark.createDataFrame([("u", "d", "https://u.edu/d", 1)], "university string, department string, url string, seq long")
+    got = conversion.university_overview(broken, [source], broken, parts=("departments",))
+    assert set(got) == {"departments"} and got["departments"].count() == 1
