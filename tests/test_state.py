@@ -139,3 +139,15 @@ def test_latest_rows_need_no_python_per_key(spark, tmp_path):
     got = run(log.filter("seq >= 20000").unionByName(tied))
     assert got.count() == 20001 and got.filter("k >= 1 AND seq = k + 20000 AND unix_seconds(created_at) = k + 1000000 AND unix_seconds(updated_at) = k + 1020000").count() == 19999
     assert {(r.k, r.seq) for r in got.filter("k = 0 OR k IS NULL").collect()} == {(0, 90000), (None, 90001)}
+
+
+def test_counts_of_forms_are_counts_of_urls(spark):
+    rows = [(1, "Dr. Ann Lee", "U", "https://x.edu/p", 2), (1, "Ann B. Lee", "U", "https://x.edu/q", 3), (2, "Cher", None, "https://x.edu/p", 1), (3, "Al Bo", "U", "https://x.edu/", 1), (3, "Al Bo.html", "U", "https://x.edu/", 5),
+            (3, "Al ~Bo", "U", "https://x.edu/", 7), (3, "Al people/Bo", "U", "https://x.edu/", 11), (4, "", "U", "https://x.edu/", 1), (None, "Ann Lee", "MIT", None, 4)]
+    people = spark.createDataFrame(rows, "k long, name string, university string, profile_url string, times long")
+    want = C.url_candidates(people, ("k", "times")).groupBy("k", "source", "url").agg(F.max("pct").alias("pct"), F.sum("times").alias("n"))
+    got = C.candidate_counts(people, "k").select(*want.columns)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(got) == key(want) and got.filter("k = 3 AND n > 5").count() > 13
+    dealt = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(k" in dealt and "source#" not in dealt.split("Exchange hashpartitioning(k")[1].split(")")[0]
