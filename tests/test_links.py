@@ -108,3 +108,13 @@ def test_cache_entries_expire(spark):
     hits, misses = R.cache_split(req, cache, F.lit(now).cast("timestamp_ntz"))
     assert [(r["fetch_id"], r["result"]) for r in hits.collect()] == [(1, "new")]
     assert {r["fetch_id"] for r in misses.collect()} == {2, 3}
+
+
+def test_classes_of_hosts_and_forms_are_those_of_urls(spark):
+    names = ["Dr. Ann Lee", "Cher", "", None, "Labs Ann Social", "Ann ~Lee", "Ann home/Lee", "Ann B?lab/x", "Ann #Study Applied", "Researcher Cognitive", "Ann X.html"]
+    urls = ["https://x.edu/p", "https://www.X.ac.uk/p", "https://ann.github.io/", "https://own.org/", "https://arxiv.org/a", "https://u.unknown/", "", None]
+    people = spark.createDataFrame([(i, n, u, p) for i, (n, u, p) in enumerate((n, u, p) for n in names for u in ("MIT", "U", None) for p in urls)], "obs_id long, name string, university string, profile_url string")
+    want = L.categorize_url(C.url_candidates(people, ("obs_id",)).withColumnRenamed("pct", "prior_pct"), "url")
+    got = C.classed_candidates(people, ("obs_id",))
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and want.select("link_type").distinct().count() > 5
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("github") <= 2  # hosts are judged before the forms, not with each URL
