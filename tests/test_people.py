@@ -147,3 +147,19 @@ def test_overview_reads_pages_only_for_tables_that_need_them(spark):
     source = spark.createDataFrame([("u", "d", "https://u.edu/d", 1)], "university string, department string, url string, seq long")
     got = conversion.university_overview(broken, [source], broken, parts=("departments",))
     assert set(got) == {"departments"} and got["departments"].count() == 1
+
+
+def test_only_pages_of_sparse_people_are_parsed_at_any_number(spark, sf_dir):
+    from acadspark.plans import enrichment
+    from acadspark.sources.fixtures import view
+
+    plan = enrichment.enhance_sparse(view(spark, sf_dir, "observations"), view(spark, sf_dir, "profile_pages"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" not in plan and "LeftSemi" in plan  # no filter that fills up
+    assert " AS body" in plan.split("LeftSemi")[0] and " AS body" not in plan.split("LeftSemi")[1]  # pages are made after the join
+
+
+def test_names_of_people_need_no_fold(spark, sf_dir):
+    from acadspark.catalog.registry import QUERIES
+    import acadspark.catalog.entity_queries  # noqa: F401
+
+    assert "pow" not in QUERIES["person_departments"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().lower()
