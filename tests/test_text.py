@@ -80,3 +80,16 @@ def test_anchored_patterns_find_the_same(spark):
         assert anchored != plain
         got = df.select(F.regexp_extract("t", plain, 1).alias("a"), F.regexp_extract("t", anchored, 1).alias("b")).filter("a <> b")
         assert got.count() == 0
+
+
+def test_lab_profile_reads_a_text_once_for_each_field(spark):
+    from acadspark.plans.enrichment import lab_profiles
+
+    docs = spark.createDataFrame([(1, "About: a &amp; b work on memory together with many others. More follows here. Lab Manager: Ann Lee\nfunded by NSF core, x"), (2, None)], "doc_id long, text string")
+    got = lab_profiles(docs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(w) for w in ("PhD Student", "Ongoing Research", "About|Overview", "Instrumentation", "onr|afosr")] == [1] * 5
+    assert not any(w in plan for w in ("laboratory space", "Dataset|Database", "Recruiting", "methodology"))  # fields that no column needs
+    rows = {r.doc_id: r for r in got.collect()}
+    assert (rows[1].size_class, rows[1].themes, rows[1].funding_diversity, rows[1].richness, rows[1].presentation) == ("minimal", "cognitive", 0.25, 0.5, 0.8)
+    assert (rows[2].size_class, rows[2].themes, rows[2].richness, rows[2].presentation) == ("minimal", "", 0.0, 0.6)
