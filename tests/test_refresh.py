@@ -41,3 +41,11 @@ def test_refresh_classes_links_once(spark, monkeypatch, tmp_path):
     better = spark.read.parquet(str(tmp_path / "r" / "people"))
     each = J.find_better_links(obs(spark, sf), lambda c: c.join(view(spark, sf, "candidate_fetches").filter("is_accessible"), "url")).drop("replacement_reasons")
     assert sorted(map(str, better.collect())) == sorted(map(str, each.select(better.columns).collect()))
+
+
+def test_ranked_departments_read_no_pages(spark):
+    first = spark.createDataFrame([("U", "Physics", "https://x.edu/faculty/physics", 1)], "university string, department string, url string, seq long")
+    second = spark.createDataFrame([("U", "Physics", "https://x.edu/staff/physics", 2), ("U", "Other", "https://x.edu/faculty/physics", 0)], first.schema)
+    got = P.university_overview(None, [first, second], None, parts=("departments",))
+    rows = sorted((r.department, r.url, r.source, r["rank"]) for r in got["departments"].collect())
+    assert list(got) == ["departments"] and rows == [("Physics", "https://x.edu/faculty/physics", 0, 1), ("Physics", "https://x.edu/staff/physics", 1, 2)]
