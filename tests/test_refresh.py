@@ -49,3 +49,12 @@ def test_ranked_departments_read_no_pages(spark):
     got = P.university_overview(None, [first, second], None, parts=("departments",))
     rows = sorted((r.department, r.url, r.source, r["rank"]) for r in got["departments"].collect())
     assert list(got) == ["departments"] and rows == [("Physics", "https://x.edu/faculty/physics", 0, 1), ("Physics", "https://x.edu/staff/physics", 1, 2)]
+
+
+def test_ranked_departments_join_and_group_people_once(spark, sf_dir):
+    from acadspark.catalog import load_all
+
+    df = load_all()[0]["university_departments_ranked"](spark, sf_dir)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Join [o_custkey") == 1 and final.count("FileScan parquet") == 2
